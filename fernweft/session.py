@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -31,3 +33,14 @@ def get_session(app: str = "fernweft", cpus: int | None = None, **conf: object)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def make_importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from the driver's folder.
+
+    Where the package is installed or sent with the job, this changes nothing.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
