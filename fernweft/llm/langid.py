@@ -187,13 +187,17 @@ def sample(labelled: DataFrame, t: Training, text_col: str, lang_col: str) -> li
     and only the windows leave the executors."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(t.rows_per_language)) / F.col("n"))
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * float(1 << 30)
+    # The net has an output for each language, so the driver may hold a number
+    # for each; a join would shuffle texts by language.
+    counts = dict(rows.groupBy("lang").count().collect())
+    if not counts:
+        return []
+    limits = [x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, t.rows_per_language / n) * float(1 << 30)))]
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.create_map(*limits)[F.col("lang")]
     size = F.greatest(F.lit(1), F.length("text") - t.window)
     starts = [F.pmod(F.xxhash64("text", F.lit(k)), size.cast("long")).cast("int") + 1 for k in range(t.windows)]
     windows = F.array(*[F.substring("text", s, F.lit(t.window)) for s in starts])
-    picked = rows.join(counts, "lang").where(drawn).select("lang", windows.alias("windows"), F.xxhash64("text").alias("key"))
+    picked = rows.where(drawn).select("lang", windows.alias("windows"), F.xxhash64("text").alias("key"))
     picked = picked.dropDuplicates(["lang", "key"]).orderBy("key", "lang").limit(t.rows)
     return sorted((r["lang"], r["windows"]) for r in picked.toLocalIterator())
 
