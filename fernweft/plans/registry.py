@@ -6,7 +6,7 @@ from importlib import import_module
 
 from fernweft.plans.catalog import Query
 
-MODULES = ("relational", "scalars")
+MODULES = ("relational", "scalars", "streams", "extensions")
 
 
 def queries() -> dict[str, Query]:
