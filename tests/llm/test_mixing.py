@@ -1,0 +1,82 @@
+"""Mixing: SQL on tables with nulls and ties, and the law of targets."""
+
+from __future__ import annotations
+
+import duckdb
+import pandas as pd
+import pytest
+
+from fernweft.llm.mixing import Mix, apply_mix, plan_mix
+from fernweft.llm.queries.op9 import ORACLE
+from tools.compare import differences
+
+SCHEMA = "doc_id bigint, text string, source string"
+
+
+def plan(spark, rows):
+    out = plan_mix(spark.createDataFrame(rows, SCHEMA))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source").toPandas()
+
+
+def law(rows):
+    """Targets by the words of the contract: share, cap, share again."""
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, capped = sum(sizes.values()), {}
+    while True:
+        live = [s for s in order if s not in capped]
+        share = {s: left * weight[s] / sum(weight[x] for x in live) for s in live}
+        over = [s for s in live if share[s] > 3 * sizes[s]]
+        if not over:
+            return share | capped
+        for s in over:
+            capped[s] = 3.0 * sizes[s]
+            left -= 3 * sizes[s]
+
+
+def make(n, hot=0):
+    rows = [(i, "w " * (i % 13), "hot" if i < hot else f"s{i % 5}") for i in range(n)]
+    return [*rows, (n, None, "s1"), (n + 1, "", None), (n + 2, "a b c", None), (n + 3, " \t", "zz"), (None, "x y", "s2"), (3, "w w w", "s3"), (3, "w w w", "s3")]
+
+
+@pytest.mark.parametrize("rows", [make(40), make(90, hot=60), make(0), [(1, "a b", "one")], [(1, None, None)], [(1, "word " * 200_000, "a"), (2, "b c", "b")]])
+def test_plan_agrees_with_sql_and_with_the_law(spark, rows):
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})  # noqa: F841  read by DuckDB
+    got = plan(spark, rows)
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert differences(got, con.execute(ORACLE).df()) == ""
+    targets = law(rows)
+    for r in got.itertuples():
+        source = None if pd.isna(r.source) else r.source
+        assert r.target == pytest.approx(targets[source])
+        assert r.taken <= 3 * r.size
+    longest = got.groupby("source", dropna=False)["size"].max().sum()
+    for source, part in got.groupby("source", dropna=False):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= longest
+
+
+def test_buckets_do_not_change_the_plan(spark, monkeypatch):
+    rows = make(120, hot=50)
+    whole = plan(spark, rows)
+    monkeypatch.setattr("fernweft.llm.mixing.bucket_bits", lambda n, most=60: 5)
+    assert differences(plan(spark, rows), whole) == ""
+
+
+def test_applied_mix_repeats_rows_as_planned(spark):
+    rows = [(*r, "kept", i) for i, r in enumerate(make(60, hot=30))]
+    docs = spark.createDataFrame(rows, SCHEMA + ", __mark string, __nth int")
+    mixed = apply_mix(docs)
+    assert mixed.columns == docs.columns
+    planned = plan_mix(docs).where("doc_id is not null").groupBy("doc_id", "source").sum("takes").where("`sum(takes)` > 0").collect()
+    taken = mixed.where("doc_id is not null").groupBy("doc_id", "source").count().collect()
+    assert {tuple(r) for r in taken} == {tuple(r) for r in planned}
+    assert {tuple(r) for r in mixed.collect()} <= set(rows)
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert plan_mix(empty).count() == 0 and apply_mix(empty, Mix()).count() == 0
