@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
-A test item's n-grams are counted over all training documents, and the rarer
-half of them become its seeds. Passages around a document's seeds are aligned
-with the item by Smith-Waterman over words, so that edited copies score by the
-words they keep in order. Benchmarks are taken in blocks of bounded size, each
+A test item's n-grams are counted over all training documents. The rarer ones
+are seeds by themselves, and common ones are where several meet: a leak raises
+the counts of the very n-grams that it keeps. Passages around a document's
+seeds are aligned with the item by Smith-Waterman over words, so that edited
+copies score by the words they keep in order. Benchmarks are taken in blocks of bounded size, each
 of which every executor holds; documents are read in place and not shuffled.
 """
 
@@ -31,7 +32,8 @@ PIECE = 1 << 20
 @dataclass(frozen=True)
 class Matching:
     """``n``: words of a seed. ``seed_share``: share of an item's n-grams,
-    rarest first, that are seeds (ties of the last are all taken).
+    rarest first, that are seeds alone (ties of the last are all taken).
+    ``common``: different n-grams of any count in a passage that are seeds.
     ``least_score``: alignment score over that of a verbatim copy.
     ``slack``: words, as a share of the item, that a passage reaches beyond it.
     ``block_chars``: characters of benchmark text that executors hold at once.
@@ -39,6 +41,7 @@ class Matching:
 
     n: int = 3
     seed_share: float = 0.5
+    common: int = 2
     least_score: float = 0.5
     slack: float = 0.3
     block_chars: int = 8_000_000
@@ -133,7 +136,7 @@ class Block:
         return np.concatenate(parts)
 
     def seeds(self, counts: np.ndarray, share: float) -> np.ndarray:
-        """Which entries (item, offset) are seeds, given each gram's count."""
+        """Which entries (item, offset) are rare, given each gram's count."""
         chosen = np.zeros(len(self.gram), bool)
         for k in range(len(self.items)):
             mine = np.flatnonzero(self.owner == k) if len(self.items) < 64 else self._of(k)
@@ -176,11 +179,10 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 class Matcher:
     """Finds a block's items in texts, given the seeds."""
 
-    def __init__(self, block: Block, chosen: np.ndarray, how: Matching):
+    def __init__(self, block: Block, rare: np.ndarray, how: Matching):
         self.block, self.how = block, how
-        order = np.flatnonzero(chosen)
-        order = order[np.argsort(block.gram[order], kind="stable")]
-        self.entry_gram = block.gram[order]
+        order = np.argsort(block.gram, kind="stable")
+        self.entry_gram, self.entry_rare = block.gram[order], rare[order]
         self.entry_owner, self.entry_offset = block.owner[order], block.offset[order]
 
     def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
@@ -194,13 +196,21 @@ class Matcher:
             return []
         entry = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         owner, begin = self.entry_owner[entry], np.repeat(place, count) - self.entry_offset[entry]
+        rare, entry_gram = self.entry_rare[entry], self.entry_gram[entry]
+        # An item with one gram in all of the text, a common one, is no candidate.
+        weight = np.bincount(owner) + self.how.common * np.bincount(owner, rare)
         out = []
-        for k in np.unique(owner):
+        for k in np.flatnonzero(weight >= self.how.common):
             item_id, item = self.block.items[k]
             pad = int(np.ceil(self.how.slack * len(item))) + 2
+            mine = np.flatnonzero(owner == k)
+            mine = mine[np.argsort(begin[mine], kind="stable")]
             best = (0, 0, 0)
-            for lo, hi in spans(np.unique(begin[owner == k]), pad, len(item) + pad):
-                lo, hi = max(0, lo), min(len(ids), hi)
+            for first_hit, last_hit in groups(begin[mine], len(item) + 2 * pad):
+                hits = mine[first_hit:last_hit]
+                if not rare[hits].any() and len(np.unique(entry_gram[hits])) < self.how.common:
+                    continue
+                lo, hi = max(0, begin[hits[0]] - pad), min(len(ids), begin[hits[-1]] + len(item) + pad)
                 score, start, end = align(item, ids[lo:hi])
                 if score > best[0]:
                     best = (score, lo + start, lo + end)
@@ -210,18 +220,12 @@ class Matcher:
         return out
 
 
-def spans(begins: np.ndarray, before: int, after: int) -> Iterator[tuple[int, int]]:
-    """Passages around sorted beginnings, merged where they overlap."""
-    lo = hi = None
-    for b in begins.tolist():
-        if hi is not None and b - before <= hi:
-            hi = b + after
-            continue
-        if hi is not None:
-            yield lo, hi
-        lo, hi = b - before, b + after
-    if hi is not None:
-        yield lo, hi
+def groups(begins: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
+    """Runs (first, beyond last) of sorted beginnings without a gap over
+    ``reach``: their passages overlap."""
+    cuts = np.flatnonzero(np.diff(begins) > reach) + 1
+    bounds = [0, *cuts.tolist(), len(begins)]
+    yield from zip(bounds, bounds[1:])
 
 
 def blocks(benchmark: DataFrame, how: Matching, id_col: str, text_col: str) -> Iterator[Block]:
