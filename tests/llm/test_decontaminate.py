@@ -1,0 +1,113 @@
+"""Decontamination: planted leaks, verbatim and edited, and plain alignment."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from fernweft.llm.decontaminate import Block, Matching, align, decontaminate, find_leaks, words
+from fernweft.llm.queries import op7
+
+
+def plain_alignment(item, passage):
+    """Smith-Waterman cell by cell."""
+    best, above = 0, [0] * (len(passage) + 1)
+    for a in item:
+        row = [0]
+        for j, b in enumerate(passage):
+            row.append(max(0, above[j] + (2 if a == b else -1), above[j + 1] - 1, row[j] - 1))
+        best, above = max(best, *row), row
+    return best
+
+
+def test_alignment_agrees_with_plain_one():
+    rng = random.Random(1)
+    for _ in range(300):
+        item = [rng.randrange(4) for _ in range(rng.randrange(1, 12))]
+        passage = [rng.randrange(-1, 5) for _ in range(rng.randrange(1, 20))]
+        score, start, end = align(np.array(item), np.array(passage))
+        assert score == plain_alignment(item, passage)
+        if score:
+            assert plain_alignment(item, passage[start:end]) == score
+
+
+def corpus(spark, seed=0, n=60):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    prose = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    items = [prose(rng.randrange(14, 50)) for _ in range(12)]
+    docs, leaks = [], set()
+    for i in range(n):
+        body = prose(rng.randrange(5, 300))
+        if i % 3 == 0:
+            k = rng.randrange(len(items))
+            edited = list(items[k])
+            if i % 2:
+                for at in range(0, len(edited), 7):
+                    edited[at] = "changed"
+                edited.insert(9, "added")
+                del edited[4]
+            at = rng.randrange(len(body) + 1)
+            body[at:at] = edited
+            leaks.add((i, k))
+        docs.append((i, " ".join(body).capitalize()))
+    docs += [(1000 + j, " ".join(items[0][: len(items[0]) // 4] + prose(40))) for j in range(3)]
+    return (
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame([(k, ", ".join(w).upper() + ".") for k, w in enumerate(items)], "item_id bigint, text string"),
+        leaks,
+    )
+
+
+@pytest.mark.parametrize("block", [8_000_000, 300])
+def test_planted_leaks_are_found_and_clean_documents_left(spark, block):
+    docs, items, leaks = corpus(spark)
+    how = Matching(block_chars=block)
+    found = {(r.doc_id, h.item_id) for r in find_leaks(docs, items, how=how).collect() for h in r.leaks}
+    assert found == leaks
+    kept = {r.doc_id for r in decontaminate(docs, items, how).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {i for i, _ in leaks}
+
+
+def test_a_passage_in_most_documents_is_still_found(spark):
+    docs, items, _ = corpus(spark, n=4)
+    hot = items.where("item_id = 3").first().text
+    many = spark.createDataFrame([(5000 + i, f"intro {i} {hot} outro") for i in range(300)], "doc_id bigint, text string")
+    found = {r.doc_id for r in find_leaks(docs.unionByName(many), items).collect() if any(h.item_id == 3 for h in r.leaks)}
+    assert {5000 + i for i in range(300)} <= found
+
+
+def test_spans_hold_the_passage(spark):
+    docs, items, _ = corpus(spark)
+    texts = {r.item_id: words(r.text) for r in items.collect()}
+    for r in find_leaks(docs, items).collect():
+        for h in r.leaks:
+            if h.score == 1.0:
+                assert words(r.text)[h.start : h.end] == texts[h.item_id]
+
+
+def test_query_finds_verbatim_items(spark, sf_dir):
+    flat = lambda t: " ".join(words(t))
+    items = {r.item_id: flat(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    want = {(r.doc_id, k) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() for k, v in items.items() if v in flat(r.text)}
+    assert want <= {(r.doc_id, r.item_id) for r in op7.query(spark, sf_dir).collect()}
+
+
+def test_nulls_short_items_long_texts_and_clashing_columns(spark):
+    rows = [(1, None, 0), (2, "", 0), (3, "just two words", 0), (4, "filler " * 200_000 + "alpha beta gamma delta epsilon", 0), (5, "alpha beta", 0), (5, "alpha beta", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __leaks int")
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "two words"), (3, None), (None, "just two"), (4, ""), (2, "two words")], "item_id bigint, text string")
+    found = {r.doc_id: [h.item_id for h in r.leaks] for r in find_leaks(docs, items).collect()}
+    assert found == {1: [], 2: [], 3: [2], 4: [1], 5: []}
+    kept = decontaminate(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 5]
+    assert decontaminate(docs, items.limit(0)).count() == len(rows)
+    assert decontaminate(docs.limit(0), items).count() == 0
+
+
+def test_repeated_words_do_not_make_seeds_of_the_wrong_item():
+    block = Block([(1, "a a a a b"), (2, "c d e")], 3)
+    place, gram = block.hits(block.encode("a a a a b c d e"))
+    assert set(place.tolist()) == {0, 1, 2, 5}

@@ -1,0 +1,86 @@
+"""Language identification: gradients, held-out accuracy and edge cases."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fernweft.llm.langid import ByteNet, Training, cut, identify, lots, reject_unknown, train
+from fernweft.llm.queries import op8
+
+SMALL = Training(widths=(1, 3), filters=3, embedding=2, window=16)
+
+
+def test_gradients_agree_with_differences():
+    net = ByteNet.initial(["x", "y"], SMALL)
+    for name in ("table", "kernel", "bias", "out", "out_bias", "mask"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    rng = np.random.default_rng(0)
+    windows, labels = rng.integers(97, 105, (5, 16)).astype(np.uint8), np.array([0, 1, 0, 1, 1])
+    loss = lambda: -np.log(net.probabilities(windows)[np.arange(5), labels]).mean()
+    for name, gradient in net.gradients(windows, labels).items():
+        values = getattr(net, name)
+        for at in [np.unravel_index(i, values.shape) for i in rng.choice(values.size, min(12, values.size), replace=False)]:
+            old = values[at]
+            values[at] = old + 1e-6
+            up = loss()
+            values[at] = old - 1e-6
+            down = loss()
+            values[at] = old
+            if name == "kernel" and not net.mask[at]:
+                assert gradient[at] == 0
+            else:
+                assert gradient[at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
+def test_windows_cover_the_whole_text():
+    text = "é" * 5000 + "tail"
+    windows, weights = cut(text, 64)
+    assert windows.tobytes().rstrip(b"\0") == text.encode() and weights.sum() == len(text.encode())
+    parts = list(lots(iter([(0, text), (1, "abc")]), 64))
+    assert sum(len(p[0]) for p in parts) == len(windows) + 1
+    assert cut("", 64)[0].shape == (0, 64)
+
+
+@pytest.fixture(scope="module")
+def net(spark, sf_dir):
+    return op8.fitted(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def test_held_out_accuracy(spark, sf_dir, net):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    judged = identify(docs, net, "found").where(op8.held_out()).select("lang", "found.lang", "found.score").collect()
+    assert np.mean([r[0] == r[1] for r in judged]) >= 0.95
+    assert all(0 <= r.score <= 1 for r in judged)
+
+
+def test_training_ignores_held_out_labels(spark, sf_dir, net):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spoiled = docs.withColumn("lang", F.when(op8.held_out(), "spoiled").otherwise(F.col("lang")))
+    assert op8.fitted(spoiled).languages == net.languages == ["de", "en", "es", "fr"]
+
+
+def test_query_gives_a_row_for_each_document(spark, sf_dir):
+    rows = op8.query(spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert {"doc_id", "held_out", "lang_pred", "score"} == set(rows[0].asDict())
+
+
+def test_texts_without_letters_nulls_and_clashing_columns(spark, sf_dir, net):
+    german = " ".join(r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'de'").orderBy("doc_id").limit(9).collect())
+    rows = [(1, None, "a"), (2, "", "a"), (3, "123 !? 456", "a"), (4, "the and that of", "a"), (4, "the and that of", "a"), (5, german * (1 + 1_000_000 // len(german)), "a"), (6, " \n", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, language string")
+    got = {r.doc_id: r.language for r in identify(docs, net).collect()}
+    assert {i for i, v in got.items() if v.lang == "und" and v.score == 0} == {1, 2, 3, 6}
+    assert got[4].lang == "en" and got[5].lang == "de"
+    kept = reject_unknown(docs, net)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 4, 5]
+    assert identify(docs.limit(0), net).count() == 0
+
+
+def test_without_labels_nothing_is_known(spark):
+    docs = spark.createDataFrame([(1, "words", None), (2, None, "en")], "doc_id bigint, text string, lang string")
+    blank = train(docs)
+    assert [r.language.lang for r in identify(docs, blank).collect()] == ["und", "und"]
+    assert train(docs.limit(0)).languages == []
