@@ -1,0 +1,108 @@
+"""URL verdicts: rules one by one, Viterbi against all splits, the model."""
+
+from __future__ import annotations
+
+import itertools
+import math
+import re
+
+import pytest
+
+from fernweft.llm.queries import op2
+from fernweft.llm.url_filter import Rule, UrlModel, judge, segment, viterbi, word_counts, word_odds
+
+
+def plain(url, rules=op2.RULES):
+    """Host, path and rule by the words of the contract."""
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest)[0]
+    path = re.split("[?#]", rest[len(host) :])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return host, path, max(fits, key=lambda r: len(r.name()), default=None)
+
+
+URLS = [
+    None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7?x#y", "https://example.com/en/71", "https://com/en/", "x://notexample.com/EN/7",
+    "http://m.example.net/de/8", "http://m.example.net/de/7", "http://q.org/es/", "http://q.org/es", "a://b://c.com/en/1", "http://x.com?u=/en/",
+    "http://É.COM/en/ü", "http://cheappills.test/offer", "http://library.test/books", "http://x.test/\ny", "http://" + "spam" * 2000 + ".test/",
+]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def test_rules_and_parts(spark, tables):
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(1, "", "x")], "page_id bigint, url string, judged string")
+    rows = judge(pages, *tables, op2.RULES).collect()
+    assert len(rows) == len(URLS) + 1
+    for r in rows:
+        host, path, rule = plain(r.url)
+        assert (r.judged.host, r.judged.path, r.judged.rule) == (host, path, rule and rule.name()), r.url
+        if rule:
+            assert r.judged.verdict == rule.verdict
+    by_url = {r.url: r.judged for r in rows}
+    assert by_url["http://cheappills.test/offer"].verdict == "block"
+    assert by_url["http://library.test/books"].verdict == "allow"
+    assert by_url[None].verdict == "allow"
+    assert judge(pages.limit(0), *tables, op2.RULES).count() == 0
+
+
+def test_longest_rule_wins_whatever_their_order(spark, tables):
+    rules = [Rule("b.test", "/x/y", "block"), Rule("b.test", "/", "allow")]
+    pages = spark.createDataFrame([("h://a.b.test/x/y/z",), ("h://b.test/x",)], "url string")
+    for order in (rules, rules[::-1]):
+        assert [r.judged.verdict for r in judge(pages, *tables, order).orderBy("url").collect()] == ["block", "allow"]
+
+
+def test_viterbi_agrees_with_all_splits():
+    known = {"ab": (-3.0, 1.0), "abc": (-6.5, None), "c": (-4.0, -1.0), "bc": (-2.5, 0.5), "a": (-5.0, None)}
+
+    def cost(word):
+        return known[word][0] if word in known else -math.log(1000.0) - math.log(26) * len(word)
+
+    for n in range(8):
+        for letters in itertools.product("abc", repeat=n):
+            name = "".join(letters)
+            splits = []
+            for bits in itertools.product([0, 1], repeat=max(0, n - 1)):
+                cuts = [0, *[i + 1 for i, b in enumerate(bits) if b], n]
+                splits.append([name[a:b] for a, b in zip(cuts, cuts[1:])] if n else [])
+            best = max(sum(map(cost, s)) for s in splits)
+            words, odds = viterbi(name, known, 1000.0, 20)
+            assert "".join(words) == name and sum(map(cost, words)) == pytest.approx(best)
+            assert odds == pytest.approx(sum(known[w][1] or 0 for w in words if w in known))
+
+
+def test_names_are_split_into_words(spark, tables):
+    model = UrlModel()
+    counts, total = word_counts(tables[0], "text", model)
+    names = spark.createDataFrame([(n,) for n in ("cheappills", "onlinecasinobonus", "spamfarm", "the", "qzx", "localnews")], "name string")
+    split = {r.name: r.words for r in segment(names, counts, total, word_odds(*tables, "text", model), model).collect()}
+    assert split["cheappills"] == ["cheap", "pills"] and split["spamfarm"] == ["spam", "farm"]
+    assert split["localnews"] == ["local", "news"] and split["the"] == ["the"] and "".join(split["qzx"]) == "qzx"
+
+
+def test_counts_cover_all_documents(spark, tables):
+    model = UrlModel(seed_share=0.0)
+    counts, _ = word_counts(tables[0], "text", model)
+    word, n = counts.orderBy("n", ascending=False).first()
+    texts = [r.text.lower() for r in tables[0].collect()]
+    assert n - 1 <= sum(re.findall(r"[^\W\d_]+", t).count(word) for t in texts) <= n
+
+
+def test_query_on_pages(spark, sf_dir):
+    for r in op2.query(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), "page_id").collect():
+        host, path, rule = plain(r.url)
+        assert (r.host, r.path, r.rule) == (host, path, rule and rule.name())
+        assert r.verdict in ("allow", "block") and (not rule or r.verdict == rule.verdict)
+
+
+def test_empty_corpus(spark, tables):
+    pages = spark.createDataFrame([("http://casino.test/",), ("http://museum.test/",)], "url string")
+    rows = judge(pages, tables[0].limit(0), tables[1].limit(0), []).orderBy("url").collect()
+    assert [r.judged.verdict for r in rows] == ["block", "allow"]
