@@ -134,7 +134,7 @@ class ByteNet:
             return names, scores
         sums = np.zeros((len(texts), len(self.languages)))
         sizes = np.zeros(len(texts))
-        judged = [i for i, t in enumerate(texts) if t and _letter.search(t)]
+        judged = [i for i, t in enumerate(texts) if has_letters(t)]
         for owners, windows, weights in lots(((i, texts[i]) for i in judged), self.window):
             np.add.at(sums, owners, self.probabilities(windows) * weights[:, None])
             np.add.at(sizes, owners, weights)
@@ -144,6 +144,11 @@ class ByteNet:
         return names, scores
 
 
+def has_letters(text: str | None) -> bool:
+    """Digits such as superscripts are word characters, but no letters."""
+    return any(m.group().isalpha() for m in _letter.finditer(text or ""))
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -210,7 +215,7 @@ def train(labelled: DataFrame, t: Training = Training(), text_col: str = "text",
     drawn = sample(labelled, t, text_col, lang_col)
     languages = sorted({lang for lang, _ in drawn})
     net = ByteNet.initial(languages, t)
-    pairs = [(cut(w, t.window)[0][0], languages.index(lang)) for lang, ws in drawn for w in ws if _letter.search(w)]
+    pairs = [(cut(w, t.window)[0][0], languages.index(lang)) for lang, ws in drawn for w in ws if has_letters(w)]
     if pairs:
         net.fit(np.stack([w for w, _ in pairs]), np.array([k for _, k in pairs]), t)
     return net

@@ -69,7 +69,7 @@ def test_query_gives_a_row_for_each_document(spark, sf_dir):
 
 def test_texts_without_letters_nulls_and_clashing_columns(spark, sf_dir, net):
     german = " ".join(r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'de'").orderBy("doc_id").limit(9).collect())
-    rows = [(1, None, "a"), (2, "", "a"), (3, "123 !? 456", "a"), (4, "the and that of", "a"), (4, "the and that of", "a"), (5, german * (1 + 1_000_000 // len(german)), "a"), (6, " \n", "a")]
+    rows = [(1, None, "a"), (2, "", "a"), (3, "12³ !? 4½_6", "a"), (4, "the and that of", "a"), (4, "the and that of", "a"), (5, german * (1 + 1_000_000 // len(german)), "a"), (6, " \n", "a")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, language string")
     got = {r.doc_id: r.language for r in identify(docs, net).collect()}
     assert {i for i, v in got.items() if v.lang == "und" and v.score == 0} == {1, 2, 3, 6}
