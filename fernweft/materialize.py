@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+#: Paths that each application has written and not deleted, in order.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -41,14 +43,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` returned."""
-    spark = df.sparkSession
+def written(spark: SparkSession) -> list[str]:
+    """Paths that ``materialize`` wrote in this application and are still there."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``materialize`` wrote; nothing may read them later."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if folder.startswith(shared_root(spark).replace("file:///", "file:/")) or folder.startswith(shared_root(spark)):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
+    own = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for p in paths:
+        if p in own:
+            path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
+            own.remove(p)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` returned."""
+    files = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+    delete(df.sparkSession, [p for p in written(df.sparkSession) if p.rpartition("/")[2] in files])
