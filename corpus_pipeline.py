@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fernweft.llm import decontaminate, langid, mixing, sharding, simhash
-from fernweft.materialize import materialize
+from fernweft.materialize import delete, materialize, written
 from fernweft.session import make_importable
 from fernweft.tables import read_table
 
@@ -61,9 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written to the shared folder."""
+    """The stages applied to ``documents``, each written to the shared folder.
+
+    Once a stage is written, what it and the stages before wrote on the way is
+    deleted."""
     make_importable(spark)
+    earlier = set(written(spark))
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        delete(spark, [p for p in written(spark)[:-1] if p not in earlier])
     return docs
