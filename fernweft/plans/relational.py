@@ -106,7 +106,7 @@ CATALOG.add_sql(
     """select c_custkey, t.n, t.top from {customer}, lateral
        (select count(*) as n, max(o_totalprice) as top from {orders} where o_custkey = c_custkey) t""",
 )
-for hint in ("broadcast", "merge", "shuffle_hash"):
+for hint in ("broadcast", "merge", "shuffle_hash", "shuffle_replicate_nl"):
     JOINED = "select {hint} n_name, count(*) as n from {{supplier}} s join {{nation}} n on s_nationkey = n_nationkey group by n_name"
     CATALOG.add_sql(f"j8_{hint}_hint", "supplier nation", JOINED.format(hint=f"/*+ {hint}(n) */"), JOINED.format(hint="").format(supplier="supplier", nation="nation"))
 CATALOG.add_sql(
@@ -192,6 +192,17 @@ CATALOG.add_sql(
               round(regr_slope(l_extendedprice, l_quantity), 6) as slope
        from lineitem group by l_returnflag""",
 )
+CATALOG.add_sql(
+    "a12_mode_any_kurtosis",
+    "lineitem",
+    """select l_returnflag, mode() within group (order by l_linestatus) as common, any_value(l_returnflag) as one,
+              round(kurtosis(l_quantity), 6) as kurt, count_if(l_quantity > 40) as many from {lineitem} group by l_returnflag""",
+    """with moments as (select l_returnflag, avg(l_quantity) as m from lineitem group by 1), counts as (
+         select l_returnflag, l_linestatus, row_number() over (partition by l_returnflag order by count(*) desc, l_linestatus) as nr from lineitem group by 1, 2)
+       select l.l_returnflag, any_value(c.l_linestatus) as common, any_value(l.l_returnflag) as one,
+              round(avg((l_quantity - m) ** 4) / avg((l_quantity - m) ** 2) ** 2 - 3, 6) as kurt, count(*) filter (l_quantity > 40) as many
+       from lineitem l join moments using (l_returnflag) join counts c on c.l_returnflag = l.l_returnflag and nr = 1 group by l.l_returnflag""",
+)
 CATALOG.add_sql(
     "a12_filter_having",
     "orders",

@@ -19,6 +19,12 @@ CATALOG.add_sql(
     r"select doc_id, md5(regexp_replace(text, '[0-9]+', '#', 'g')) as digits, md5(regexp_replace(text, '[ \t\n]+', ' ', 'g')) as spaces from documents",
 )
 CATALOG.add_sql("f3_lower_trim", "documents", "select doc_id, md5(lower(text)) as low, md5(trim(text)) as trimmed, left(text, 7) as head, right(text, 7) as tail from {documents}")
+CATALOG.add_sql(
+    "f4_upper",
+    "documents",
+    "select doc_id, md5(upper(replace(text, 'ß', 'ss'))) as up, initcap(lang) as cap from {documents}",
+    "select doc_id, md5(upper(replace(text, 'ß', 'ss'))) as up, upper(lang[1]) || lang[2:] as cap from documents",
+)
 CATALOG.add_sql(
     "f5_tokens",
     "documents",
@@ -48,6 +54,15 @@ CATALOG.add_sql(
     """select l_orderkey, l_partkey, l_linenumber, floor(l_quantity / 7) * 1.0::double as fl, mod(l_partkey, 13) as md, cast(l_partkey // 13 as bigint) as dv, abs(l_discount - 0.05::double) as ab,
               cast(sign(l_tax - 0.04::double) as double) as sg, ceil(l_quantity / 7) * 1.0::double as ce from lineitem""",
 )
+CATALOG.add_sql(
+    "f8_rounding",
+    "lineitem",
+    """select l_orderkey, l_partkey, l_linenumber, cast(round(cast(l_extendedprice as decimal(12,2)), 1) as double) as up,
+              cast(bround(cast(l_extendedprice as decimal(12,2)), 1) as double) as even from {lineitem}""",
+    """select l_orderkey, l_partkey, l_linenumber, cast(round(cast(l_extendedprice as decimal(12,2)), 1) as double) as up,
+              cast(case when abs(cents) % 10 = 5 then (cents - 5) / 10 + abs((cents - 5) // 10) % 2 else round(cents / 10) end as double) / 10 as even
+       from (select *, cast(cast(l_extendedprice as decimal(12,2)) * 100 as bigint) as cents from lineitem)""",
+)
 CATALOG.add_sql(
     "f9_json_path",
     "events",
@@ -92,6 +107,20 @@ CATALOG.add_sql(
     """select o_orderkey, cast(cast(cast(o_orderdate as date) + interval 1 month as date) as string) as next, cast(last_day(cast(o_orderdate as date)) as string) as last, strftime(o_orderdate, '%Y/%m/%d') as shown,
               cast(make_date(year(o_orderdate), 2, 1) as varchar) as feb, cast(datediff('day', date '1970-01-01', cast(o_orderdate as date)) as int) as n from orders""",
 )
+CATALOG.add_sql(
+    "f14_spans",
+    "orders",
+    """select o_orderkey, cast(months_between(date_trunc('month', o_orderdate), date '1995-01-01') as int) as months, cast(timestampdiff(hour, timestamp_ntz'1995-01-01', o_orderdate) as bigint) as hours,
+              cast(make_timestamp(year(o_orderdate), 3, 1, 12, 30, 0) as timestamp_ntz) as made, quarter(o_orderdate) as q, dayofyear(o_orderdate) as doy from {orders}""",
+    """select o_orderkey, cast(datediff('month', date '1995-01-01', cast(o_orderdate as date)) as int) as months, datediff('hour', timestamp '1995-01-01', o_orderdate) as hours,
+              make_timestamp(year(o_orderdate), 3, 1, 12, 30, 0) as made, cast(quarter(o_orderdate) as int) as q, cast(dayofyear(o_orderdate) as int) as doy from orders""",
+)
+CATALOG.add_sql(
+    "f15_buckets",
+    "lineitem",
+    "select width_bucket(l_quantity, 0, 50, 7) as bucket, count(*) as n from {lineitem} group by 1",
+    "select cast(case when l_quantity < 0 then 0 when l_quantity >= 50 then 8 else floor(l_quantity / (50.0::double / 7)) + 1 end as bigint) as bucket, count(*) as n from lineitem group by 1",
+)
 CATALOG.add_sql(
     "f15_math",
     "lineitem",

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fernweft.materialize import new_path
 from fernweft.plans.catalog import Catalog
-from fernweft.streaming.runs import run_append, run_complete, stream_table
+from fernweft.streaming.runs import run_append, run_complete, run_memory, stream_table
 from fernweft.streaming.windows import first_seen, paired, running_counts, sessions, sliding, timed, tumbling
 from fernweft.tables import read_table
 
@@ -103,3 +104,32 @@ def stream_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = run_append(running_counts(stream_table(spark, sf_dir, "events").select("user_id"), "user_id"), "counts")
     return counts.groupBy("user_id").agg(F.max("n").alias("n"))
+
+
+@CATALOG.add("s4_memory_sink", "select event_type, count(*) as n from events group by event_type")
+def memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each type of event fits the driver."""
+    counted = stream_table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return run_memory(counted, "complete", "types")
+
+
+@CATALOG.add(
+    "t9_late_rows",
+    """select date_trunc('hour', ts) as window_start, date_trunc('hour', ts) + interval 1 hour as window_end, count(*) as n from events
+       where event_id % 50 <> 0 and date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events where event_id % 50 <> 0) - interval 1 hour
+       group by 1, 2""",
+)
+def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of a stream in which each fiftieth event comes last, when
+    the watermark has closed its hour: it is dropped, the others are counted.
+    Spark drops by the watermark of the batch before, so a batch lies between."""
+    events, source = read_table(spark, sf_dir, "events"), new_path(spark, "late")
+    timely = events.where("event_id % 50 <> 0")
+    for part in (timely.where("event_id % 50 <> 1"), timely.where("event_id % 50 = 1")):
+        part.coalesce(1).write.mode("append").parquet(source)
+    cutoff = timely.agg((F.max("ts") - F.expr("interval 3 hours")).alias("t"))
+    late = events.where("event_id % 50 = 0").join(F.broadcast(cutoff), F.col("ts") < F.col("t")).drop("t")
+    late.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    counted = tumbling(timed(stream, "ts", "1 hour"), "ts", "1 hour", [], n=F.count(F.lit(1)))
+    return plain(run_append(counted, "late-hours"))

@@ -54,3 +54,16 @@ def run_complete(stream: DataFrame, label: str = "stream") -> DataFrame:
     if not last:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{out}/batch-{max(last)}")
+
+
+def run_memory(stream: DataFrame, mode: str = "complete", name: str = "stream") -> DataFrame:
+    """Run to the end of the input into the memory sink, a table on the driver:
+    for results of a size known to be small."""
+    spark = stream.sparkSession
+    table = f"{name}_{new_path(spark, 'memory').rpartition('-')[2]}"
+    query = stream.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+    return spark.table(table)
