@@ -52,8 +52,13 @@ UNLIKELY = {
     "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "masthead", "cookie", "cookies", "consent",
     "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "comment", "comments", "commentlist", "disqus", "replies", "reply",
     "respond", "share", "sharing", "social", "related", "recommended", "recommendations", "newsletter", "subscribe", "subscription", "signup",
-    "login", "search", "pagination", "pager", "toolbar", "widget", "skip", "hidden",
+    "login", "search", "pagination", "pager", "toolbar", "topbar", "widget", "skip", "hidden", "copyright", "announcement", "toast", "lightbox",
+    "outbrain", "taboola", "adsense", "adslot", "adunit", "adcontainer", "subnav", "sidenav", "mainmenu", "feedback", "poll",
 }
+#: Strings that do so within longer words as well.
+UNLIKELY_PARTS = ("sidebar", "comment", "cookie", "advert", "newsletter", "breadcrumb", "sponsor", "navbar", "footer", "popup", "disqus", "subscri")
+#: Words that, beside "header", mark the header of the article itself.
+OF_ARTICLE = {"post", "article", "entry", "content", "story", "title", "heading", "page"}
 UNLIKELY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 NEVER_UNLIKELY = {"html", "body", "article", "main"}
 
@@ -105,7 +110,11 @@ def unlikely(name: str, attrs: str, parent: Element) -> tuple[bool, frozenset[st
     style = found.get("style", "").replace(" ", "")
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
         return True, marks
-    return bool(marks & UNLIKELY) or found.get("role") in UNLIKELY_ROLES, marks
+    if found.get("role") in UNLIKELY_ROLES or marks & UNLIKELY:
+        return True, marks
+    if "header" in marks and not marks & OF_ARTICLE and not parent.within({"article", "main"}):
+        return True, marks
+    return any(part in m and not m.startswith("commentar") for m in marks for part in UNLIKELY_PARTS), marks
 
 
 def parse(html: str) -> Element:
@@ -254,6 +263,9 @@ def kept(root: Element, how: Scoring) -> list[Element]:
     if parent is None or best.name == "body":
         return [best]
     bar = best.points * how.sibling_share
+    # Beside an article that the page itself marks, only its title is its own.
+    marked, title = best.name in ("article", "main"), any(n.name == "h1" for n in walk(best))
+    paragraphs = (set() if title else HEADINGS) if marked else PARAGRAPHS - {"li", "td", "th"}
     out = []
     for c in parent.children:
         if not isinstance(c, Element) or c is best:
@@ -261,8 +273,10 @@ def kept(root: Element, how: Scoring) -> list[Element]:
             continue
         if density(c) > how.most_links:
             continue
-        like = c.marks == best.marks and c.name == best.name
-        if c.name in PARAGRAPHS - {"li", "td", "th"} and c.chars or (c.points >= bar or like) and c.points > 0:
+        titled = not title and any(n.name == "h1" for n in walk(c))
+        alike = c.name == best.name and c.marks == best.marks and bool(c.marks)
+        enough = c.points >= bar and (c.name == best.name or not marked) or alike and not marked
+        if c.name in paragraphs and c.chars or titled or enough and c.points > 0:
             out.append(c)
     return out
 

@@ -21,6 +21,12 @@ LAYOUTS = {
     "<div class=comments>{comments}</div><footer><p>By someone</p></footer></article></body>",
     "tables": "<table><tr><td class=menu>{menu}<td>{body}</table>",
     "links": "<div>{body}</div><div>{menu}</div>",
+    "div header": "<div id='header'><h1>Site name, and slogan</h1></div><div class='story'><div class='story-header'>{head}</div>{rest}</div><div class='leftsidebar'><p>About us, and more</p></div>",
+    "notices": "<p role='alert'>Notice, read this</p><article>{body}</article><p>Subscribe now, it is free, it is good</p><div class='usercomments'>{comments}</div>",
+    "parts": "<div class='page'><div class='part'>{head}</div><div class='part'>{rest}</div></div><div class='topbar'><p>Log in, now</p></div>",
+    "site title": "<div class='brand'><h1>The site</h1></div><h2>Slogan, here</h2><article>{body}</article>",
+    "title outside": "<div class='top'>{head}</div><article>{rest}</article>",
+    "teasers": "<div><article>{body}</article><article><p>More, here</p></article></div>",
 }
 
 
