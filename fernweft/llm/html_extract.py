@@ -9,6 +9,7 @@ siblings that belong to the article, and its blocks are the text.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -121,6 +122,15 @@ def parse(html: str) -> Element:
     """The element tree, with ends implied as in HTML."""
     root = Element("#root", None, False)
     at, node, n = 0, root, len(html)
+    # Open elements by name: a tag that closes none of them costs no search.
+    opened: Counter[str] = Counter()
+
+    def back_to(target: Element) -> Element:
+        at = node
+        while at is not target:
+            opened[at.name] -= 1
+            at = at.parent
+        return target
 
     def put(text: str) -> None:
         if text and not node.dropped:
@@ -142,12 +152,13 @@ def parse(html: str) -> Element:
         if not name:
             continue
         if m["close"]:
-            node = closed(node, name)
+            if opened[name]:
+                node = back_to(closed(node, name))
             continue
-        if name not in INLINE:
-            node = ended(node, {"p"})
-        if name in CLOSES:
-            node = ended(node, CLOSES[name])
+        if name not in INLINE and opened["p"]:
+            node = back_to(ended(node, {"p"}))
+        if any(opened[c] for c in CLOSES.get(name, ())):
+            node = back_to(ended(node, CLOSES[name]))
         dropped, marks = unlikely(name, m["attrs"] or "", node)
         child = Element(name, node, node.dropped or dropped, marks)
         if not child.dropped:
@@ -155,10 +166,9 @@ def parse(html: str) -> Element:
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(html, at)
             at = end.end() if end else n
-        elif name not in VOID and not (m["attrs"] or "").endswith("/"):
-            node = child
-        elif name not in VOID and name not in INLINE:
+        elif name not in VOID and not (name in INLINE and (m["attrs"] or "").endswith("/")):
             node = child
+            opened[name] += 1
     return root
 
 

@@ -72,6 +72,7 @@ def test_odd_pages(page, text):
 
 
 def test_deep_and_long_pages():
+    assert extract("<b>" * 20_000 + "x" + "</i></div>" * 20_000) == "x"
     assert extract("<div>" * 20_000 + "<p>deep</p>") == "deep"
     long = " ".join(["word"] * 200_000)
     assert extract(f"<nav>{MENU}</nav><article><p>{long}</p></article>") == long
