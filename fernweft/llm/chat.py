@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +38,27 @@ class Template:
     foreign: tuple[str, ...] = ("<|endoftext|>", "<|im_start|>", "<|im_end|>")
     learned: tuple[str, ...] = ("assistant",)
 
+    @cached_property
     def reserved(self) -> dict[str, int]:
         return {c: self.first_reserved + i for i, c in enumerate(CONTROLS)}
 
+    @cached_property
     def _marks(self) -> re.Pattern[str]:
         strings = sorted({*CONTROLS, *self.foreign}, key=len, reverse=True)
         return re.compile(rf"{re.escape(ESCAPE)}|(?=(?:{'|'.join(map(re.escape, strings))}))")
 
+    @cached_property
+    def _signs(self) -> tuple[str, ...]:
+        """Characters of which a text needs one for anything to be escaped."""
+        return tuple({ESCAPE, *(s[0] for s in (*CONTROLS, *self.foreign))})
+
     def escape(self, text: str) -> str:
         """Double each escape sign, and put one after the first character of
         each control string, overlapping ones included."""
+        if not any(sign in text for sign in self._signs):
+            return text
         out, at = [], 0
-        for m in self._marks().finditer(text):
+        for m in self._marks.finditer(text):
             end = m.end() if m.group() else m.start() + 1
             if end > at:
                 out += [text[at:end], ESCAPE]
@@ -69,22 +79,22 @@ class Template:
     def assemble(self, turns: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, np.ndarray, str]:
         """Ids, loss mask and formatted text of a conversation. Null roles and
         texts count as empty."""
-        encode, reserved = byte_bpe(self.vocabulary).encode_ordinary, self.reserved()
+        encode, reserved = byte_bpe(self.vocabulary).encode_to_numpy, self.reserved
         segments = [("<s>", True, False)]
         for role, text in turns:
             segments += self.segments(role or "", text or "")
-        parts = [np.array([reserved[s]] if control else encode(s), np.int32) for s, control, _ in segments]
+        parts = [np.array([reserved[s]]) if control else encode(s, disallowed_special=()) for s, control, _ in segments]
         ends = np.cumsum([len(p) for p in parts])
         change = np.zeros(ends[-1] + 1, np.int8)
         for (_, _, learned), part, end in zip(segments, parts, ends):
             if learned:
                 change[end - len(part)] += 1
                 change[end] -= 1
-        return np.concatenate(parts), np.cumsum(change[:-1]) > 0, "".join(s for s, _, _ in segments)
+        return np.concatenate(parts).astype(np.int32), np.cumsum(change[:-1]) > 0, "".join(s for s, _, _ in segments)
 
     def read(self, ids: np.ndarray, mask: np.ndarray) -> tuple[list[tuple[str, str]], list[str]]:
         """Turns (role, text) and learned texts, read back from the tokens."""
-        names = {i: c for c, i in self.reserved().items()}
+        names = {i: c for c, i in self.reserved.items()}
         opened = {before: role for role, (before, _) in TURNS.items() if before}
         decode = byte_bpe(self.vocabulary).decode_bytes
         turns, learned = [], []

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,8 +29,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for ids, masks in batches:
             out = []
-            for i, m in zip(ids, masks):
-                turns, learned = template.read(np.array(i.as_py(), np.int64), np.array(m.as_py(), bool))
+            bounds = ids.offsets.to_numpy()
+            flat, under = ids.values.to_numpy(), masks.values.to_numpy(zero_copy_only=False)
+            mask_at = masks.offsets.to_numpy()
+            for k in range(len(ids)):
+                turns, learned = template.read(flat[bounds[k] : bounds[k + 1]], under[mask_at[k] : mask_at[k + 1]])
                 loss = "".join(learned)
                 out.append({"n_turns": len(turns), "turns_sha256": sha("".join(f"{r}\n{t}\n" for r, t in turns)), "loss_chars": len(loss), "loss_sha256": sha(loss)})
             yield pa.array(out, pa.struct([("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string())]))
