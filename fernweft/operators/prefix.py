@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-#: Rows that one bucket should hold, so that a task sorts them in memory.
-ROWS_PER_BUCKET = 50_000
+#: Rows that one bucket should hold at most, so that a task sorts them in
+#: memory, and rows that make a bucket worth having.
+MOST_IN_BUCKET, LEAST_IN_BUCKET = 50_000, 250
 
 
-def bucket_bits(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET, most: int = 40) -> int:
+def bucket_rows(spark: SparkSession, rows: int) -> int:
+    """Rows for each bucket, so that all shuffle partitions get some buckets.
+
+    Both bounds are of sizes: no row is left out of a bucket."""
+    share = rows // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return min(MOST_IN_BUCKET, max(LEAST_IN_BUCKET, share))
+
+
+def bucket_bits(rows: int, rows_per_bucket: int) -> int:
     """Bits of a uniform hash that split ``rows`` into buckets of that size."""
-    return min(most, max(0, (max(rows, 1) // rows_per_bucket).bit_length()))
+    return (max(rows, 0) // rows_per_bucket).bit_length()
 
 
 def running_total(

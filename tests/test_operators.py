@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fernweft.functions.vectors import top_neighbours
 from fernweft.operators.asof import asof_join, interval_join
-from fernweft.operators.prefix import bucket_bits, running_total
+from fernweft.operators.prefix import bucket_bits, bucket_rows, running_total
 from fernweft.operators.skew import salted_distinct_count, salted_join, two_step_sum
 from fernweft.operators.topk import top_per_group
 from fernweft.sources.files import read_files, round_trip
@@ -50,8 +50,9 @@ def test_running_total_agrees_with_one_pass(spark, bits):
     assert got == want
 
 
-def test_bucket_bits_grow_with_rows():
-    assert [bucket_bits(n) for n in (0, 49_999, 50_000, 1_000_000)] == [0, 0, 1, 5]
+def test_buckets_grow_with_rows(spark):
+    assert [bucket_bits(n, 50_000) for n in (0, 49_999, 50_000, 1_000_000)] == [0, 0, 1, 5]
+    assert [bucket_rows(spark, n) for n in (0, 160_000, 10**9)] == [250, 10_000, 50_000]
 
 
 def test_salted_forms_agree_with_plain_ones(spark):
