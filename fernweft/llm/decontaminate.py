@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,7 @@ class Block:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
             if ids:
                 self.items.append((item_id, np.array(ids, np.int64)))
+        self.short = any(len(ids) < n for _, ids in self.items)
         self.base = len(self.vocabulary) + 1
         keys, owners, offsets = [], [], []
         for k, (_, ids) in enumerate(self.items):
@@ -95,9 +97,6 @@ class Block:
             key = key * self.base + ids[k : k + len(key)]
         return key
 
-    def short(self) -> bool:
-        return any(len(ids) < self.n for _, ids in self.items)
-
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and gram numbers of the block's grams in a text of word ids
         (-1: not in the vocabulary)."""
@@ -111,7 +110,7 @@ class Block:
         for k in range(self.n):
             key = key * self.base + ids[at[0] + k]
         keys = [key]
-        if self.short():
+        if self.short:
             for size in range(1, self.n):
                 some = np.flatnonzero(np.logical_and.reduce([known[k : len(known) - size + 1 + k] for k in range(size)])) if len(ids) >= size else np.zeros(0, np.int64)
                 key = np.zeros(len(some), np.int64)
@@ -132,7 +131,7 @@ class Block:
         parts = [np.zeros(0, np.int64)]
         for piece in pieces(text or "", PIECE):
             found = words(piece)
-            parts.append(np.fromiter((get(w, -1) for w in found), np.int64, len(found)))
+            parts.append(np.fromiter(map(get, found, repeat(-1)), np.int64, len(found)))
         return np.concatenate(parts)
 
     def seeds(self, counts: np.ndarray, share: float) -> np.ndarray:
