@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fernweft.llm.common import fresh, id_hash, word_count
 from fernweft.materialize import materialize
-from fernweft.operators.prefix import bucket_bits, running_total
+from fernweft.operators.prefix import bucket_bits, bucket_rows, running_total
 
 HASH_BITS = 60
 
@@ -88,11 +88,14 @@ def queue(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str
     )
     goals = materialize(targets(rows, mix), "mix-targets")
     n, budget = goals.agg(F.sum("rows"), F.max("budget")).first()
-    bits = bucket_bits(n or 0, most=HASH_BITS)
-    goal = goals.select(F.col("source").alias("__source"), "rank", F.col("size_all").alias("source_size"), "target")
+    each = bucket_rows(docs.sparkSession, n or 0)
+    # A source has slices in proportion to its rows: about log2(rows / each)
+    # leading bits of the hash.
+    shift = HASH_BITS - F.length(F.regexp_replace(F.bin(F.floor(F.col("rows") / each)), "^0+", ""))
+    goal = goals.select(F.col("source").alias("__source"), "rank", F.col("size_all").alias("source_size"), "target", shift.alias("shift"))
     known = rows.join(goal, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     lined = running_total(
-        known.withColumn("slice", F.shiftright("place", HASH_BITS - bits)),
+        known.withColumn("slice", F.expr("shiftright(place, shift)")).drop("shift"),
         F.col("size"),
         "cum",
         within=["rank"],
@@ -107,7 +110,7 @@ def queue(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str
         lined.where("size > 0")
         .select("rank", "cum", "size", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(mix.epochs - 1))).alias("epoch"))
         .withColumn("finish", finish)
-        .withColumn("slice", F.floor(F.col("finish") * float(1 << bits)))
+        .withColumn("slice", F.floor(F.col("finish") * float(1 << bucket_bits(n or 0, each))))
     )
     served = running_total(
         order, F.col("size"), "served", within=[], bucket="slice", order=[F.col("finish"), F.col("rank"), F.col("cum")]

@@ -62,7 +62,7 @@ def test_plan_agrees_with_sql_and_with_the_law(spark, rows):
 def test_buckets_do_not_change_the_plan(spark, monkeypatch):
     rows = make(120, hot=50)
     whole = plan(spark, rows)
-    monkeypatch.setattr("fernweft.llm.mixing.bucket_bits", lambda n, most=60: 5)
+    monkeypatch.setattr("fernweft.llm.mixing.bucket_rows", lambda spark, n: 3)
     assert differences(plan(spark, rows), whole) == ""
 
 
