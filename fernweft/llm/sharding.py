@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fernweft.llm.common import id_hash
 from fernweft.materialize import materialize
-from fernweft.operators.prefix import bucket_bits, running_total
+from fernweft.operators.prefix import bucket_bits, bucket_rows, running_total
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,8 @@ def assign(docs: DataFrame, tree: Node, grown: Node | None = None, id_col: str =
         ),
         "shards",
     )
-    bits = bucket_bits(placed.count() // max(1, tree.shards()), most=60)
+    n = placed.count()
+    bits = bucket_bits(n // max(1, tree.shards()), bucket_rows(docs.sparkSession, n))
     order = [F.col("place"), F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")]
     numbered = running_total(
         placed.withColumn("slice", F.shiftright("place", 60 - bits)), F.lit(1), "slot", within=["shard"], bucket="slice", order=order

@@ -66,7 +66,7 @@ def test_more_weight_moves_rows_only_into_its_subtree(spark):
 
 @pytest.mark.parametrize("bits", [0, 4])
 def test_slots_sizes_and_checksums(spark, monkeypatch, bits):
-    monkeypatch.setattr("fernweft.llm.sharding.bucket_bits", lambda n, most=60: bits)
+    monkeypatch.setattr("fernweft.llm.sharding.bucket_bits", lambda n, each: bits)
     texts = ["", None, "é", "plain", "long " * 100_000]
     rows = [(i, texts[i % 5], "clash") for i in range(100)] + [(7, "é", "again"), (7, "é", "again"), (None, "n", "x"), (None, "n", "x")]
     got = assign(spark.createDataFrame(rows, SCHEMA), shard_tree(8), shard_tree(9)).collect()
