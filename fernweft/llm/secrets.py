@@ -35,7 +35,12 @@ _hints = ("passw", "secret", "token", "apikey", "api_key")
 #: Every match but those of ``assign`` lies in a run of this many characters.
 _run = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _digest = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-_uuid = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: Signs that join words as well as they stand in keys, and what lies between.
+_signs = re.compile(r"[+/_=-]")
+_part = re.compile(r"[A-Za-z0-9]+")
+#: A number with its groups, or a part.
+_group = re.compile(r"\d+(?:[+/_=-]\d+)*(?![A-Za-z0-9])|[A-Za-z0-9]+", re.ASCII)
+_uuid = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 _digest_lengths = {32, 40, 56, 64, 96, 128}
 
@@ -51,14 +56,18 @@ class Scan:
 
 
 def known(candidate: str) -> bool:
-    """A digest of a usual length, a UUID or a plain number."""
-    if candidate.isdigit() or _uuid.fullmatch(candidate):
+    """A digest of a usual length, a UUID or a number, plain or grouped."""
+    if _signs.sub("", candidate).isdigit() or _uuid.fullmatch(candidate):
         return True
     return len(candidate) in _digest_lengths and _digest.fullmatch(candidate) is not None
 
 
-def is_random(candidate: str, scan: Scan) -> bool:
-    """Whether few characters go to a token and the string is no known one.
+def tokens(text: str, scan: Scan) -> int:
+    return len(byte_bpe(scan.vocabulary).encode_ordinary(text))
+
+
+def fit(candidate: str, scan: Scan) -> bool:
+    """Long enough for the ratio, and no known string.
 
     Letters of one case without digits are words of some language."""
     if len(candidate) < scan.min_chars or known(candidate):
@@ -66,17 +75,57 @@ def is_random(candidate: str, scan: Scan) -> bool:
     digit = any(c.isdigit() for c in candidate)
     upper = any("A" <= c <= "Z" for c in candidate)
     lower = any("a" <= c <= "z" for c in candidate)
-    if digit + upper + lower < 2:
-        return False
-    return len(candidate) < scan.max_ratio * len(byte_bpe(scan.vocabulary).encode_ordinary(candidate))
+    return digit + upper + lower >= 2
+
+
+def is_random(candidate: str, scan: Scan) -> bool:
+    """Whether few characters go to a token and the string is no known one."""
+    return fit(candidate, scan) and len(candidate) < scan.max_ratio * tokens(candidate, scan)
+
+
+def random_parts(text: str, start: int, end: int, scan: Scan) -> list[tuple[int, int]]:
+    """Spans of random strings in a stretch of ``text``.
+
+    A stretch that is random as a whole is one span. Otherwise its parts
+    between signs are weighed, as a key may be glued to words, and so are
+    neighbours together, as signs may be the key's own: of the series of parts
+    that are random together, those furthest below the bar are taken first.
+    A longer series holds a random one that starts within twice the least
+    length, so no more need a look. Signs count for neither side."""
+    if end - start < scan.min_chars:
+        return []
+    if is_random(text[start:end], scan):
+        return [(start, end)]
+    parts = [m.span() for m in _part.finditer(text, start, end)]
+    weights = [scan.max_ratio * tokens(text[a:b], scan) - (b - a) for a, b in parts]
+    series = []
+    for i, (a, _) in enumerate(parts):
+        total, j = 0.0, i
+        while j < len(parts) and parts[j][0] - a < 2 * scan.min_chars:
+            total += weights[j]
+            if total > 0 and fit(text[a : parts[j][1]], scan):
+                series.append((-total, i, j))
+            j += 1
+    taken: list[tuple[int, int]] = []
+    free = [True] * len(parts)
+    for _, i, j in sorted(series):
+        if all(free[i : j + 1]):
+            # Random parts next to a series are more of the same key.
+            while i > 0 and free[i - 1] and weights[i - 1] > 0:
+                i -= 1
+            while j + 1 < len(parts) and free[j + 1] and weights[j + 1] > 0:
+                j += 1
+            free[i : j + 1] = [False] * (j + 1 - i)
+            taken.append((i, j))
+    return [(parts[i][0], parts[j][1]) for i, j in taken]
 
 
 def find(text: str | None, scan: Scan = Scan()) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in code points, by start and then kind.
 
     Base kinds are matched leftmost and without overlap, each by itself; a
-    match that is too short is dropped. Random strings that overlap no base
-    span follow. Null and empty texts have none.
+    match that is too short is dropped. Random strings are sought in what is
+    left of each run outside them. Null and empty texts have none.
     """
     if not text:
         return []
@@ -89,13 +138,21 @@ def find(text: str | None, scan: Scan = Scan()) -> list[tuple[str, int, int]]:
         found += [(m.start(), 1, m.end()) for m in _access.finditer(text, start, end) if m.end() - m.start() >= LEAST["access"]]
         found += [(m.start(), 2, m.end()) for m in _hex.finditer(text, start, end) if m.end() - m.start() >= LEAST["hex"]]
     found.sort()
-    base, at, reach = list(found), 0, 0
+    # What is left of the runs between base spans and identifiers.
+    barred = [(start, end) for start, _, end in found]
+    for start, end in runs:
+        barred += [m.span() for m in _uuid.finditer(text, start, end)]
+        barred += [m.span() for m in _group.finditer(text, start, end) if m.end() - m.start() >= scan.min_chars and known(m.group())]
+    barred.sort()
+    at, reach = 0, 0
     for start, end in runs:
-        while at < len(base) and base[at][0] < end:
-            reach = max(reach, base[at][2])
+        left = max(start, reach)
+        while at < len(barred) and barred[at][0] < end:
+            found += [(a, 3, b) for a, b in random_parts(text, left, barred[at][0], scan)]
+            reach = max(reach, barred[at][1])
+            left = max(left, reach)
             at += 1
-        if reach <= start and is_random(text[start:end], scan):
-            found.append((start, 3, end))
+        found += [(a, 3, b) for a, b in random_parts(text, left, end, scan)]
     return [(KINDS[kind], start, end) for start, kind, end in sorted(found)]
 
 

@@ -57,6 +57,26 @@ def test_random_strings_are_added_and_known_ones_are_not():
     assert [k for k, _, _ in find(f"token={secret}")] == ["assign"], "it lies in a base span"
 
 
+KEY = "kJ8sQ2vN7xR4tZ9pL3wB6yD1"
+
+
+@pytest.mark.parametrize("before", ["documentation/configuration/credentials/", "https://example.com/internal/", "SERVICE_ACCOUNT_PRODUCTION_KEY_", "release-build-deployment-region=", "f" * 32 + "-"])
+@pytest.mark.parametrize("after", ["", "/configuration/documentation", "_" + "0" * 40])
+@pytest.mark.parametrize("key", [KEY, KEY[:9] + "/" + KEY[9:17] + "+" + KEY[17:]])
+def test_random_strings_beside_words_and_digests(before, after, key):
+    found = [(a, b) for k, a, b in find(f"use {before}{key}{after} now") if k == "random"]
+    start = 4 + len(before)
+    assert len(found) == 1 and found[0][0] <= start and found[0][1] >= start + len(key), found
+
+
+def test_identifiers_beside_words_are_not_random():
+    for clean in (
+        "documents/123e4567-e89b-12d3-a456-426614174000/configuration", "md5-D41D8CD98F00B204E9800998ECF8427E-documentation",
+        "archive/2024-01-02-2024-03-04-12345678901/index", "documentation/configuration/internal_service_account_settings",
+    ):
+        assert find(f"use {clean} now") == [], clean
+
+
 def test_threshold_is_a_parameter():
     assert find("use internationalizationAndLocalization now", Scan(max_ratio=99.0)) != []
 
