@@ -56,8 +56,9 @@ class Scan:
 
 
 def known(candidate: str) -> bool:
-    """A digest of a usual length, a UUID or a number, plain or grouped."""
-    if _signs.sub("", candidate).isdigit() or _uuid.fullmatch(candidate):
+    """A digest of a usual length, a UUID, a number, plain or grouped, or signs alone."""
+    bare = _signs.sub("", candidate)
+    if not bare or bare.isdigit() or _uuid.fullmatch(candidate):
         return True
     return len(candidate) in _digest_lengths and _digest.fullmatch(candidate) is not None
 
@@ -67,15 +68,8 @@ def tokens(text: str, scan: Scan) -> int:
 
 
 def fit(candidate: str, scan: Scan) -> bool:
-    """Long enough for the ratio, and no known string.
-
-    Letters of one case without digits are words of some language."""
-    if len(candidate) < scan.min_chars or known(candidate):
-        return False
-    digit = any(c.isdigit() for c in candidate)
-    upper = any("A" <= c <= "Z" for c in candidate)
-    lower = any("a" <= c <= "z" for c in candidate)
-    return digit + upper + lower >= 2
+    """Long enough for the ratio, and no known string."""
+    return len(candidate) >= scan.min_chars and not known(candidate)
 
 
 def is_random(candidate: str, scan: Scan) -> bool:

@@ -77,6 +77,16 @@ def test_identifiers_beside_words_are_not_random():
         assert find(f"use {clean} now") == [], clean
 
 
+def test_random_strings_of_one_case():
+    rng = random.Random(3)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for n in (24, 40, 80):
+            secret = "".join(rng.choice(letters) for _ in range(n))
+            assert find(f"use {secret} now") == [("random", 4, 4 + n)]
+    for clean in ("-" * 40, "=" * 21, "_" * 300, "+-" * 20, "donaudampfschifffahrtsgesellschaft", "INTERNATIONALIZATION"):
+        assert [k for k, _, _ in find(f"use {clean} now")] == [], clean
+
+
 def test_threshold_is_a_parameter():
     assert find("use internationalizationAndLocalization now", Scan(max_ratio=99.0)) != []
 
