@@ -12,7 +12,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from html import unescape
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -58,10 +60,14 @@ UNLIKELY = {
 }
 #: Strings that do so within longer words as well.
 UNLIKELY_PARTS = ("sidebar", "comment", "cookie", "advert", "newsletter", "breadcrumb", "sponsor", "navbar", "footer", "popup", "disqus", "subscri")
-#: Words that, beside "header", mark the header of the article itself.
+#: Words before a mark that tell a state of the page: "no-sidebar" is none.
+STATES = {"no", "not", "has", "have", "with", "without"}
+#: Words that, beside a mark, tell that it may be on the article itself.
 OF_ARTICLE = {"post", "article", "entry", "content", "story", "title", "heading", "page"}
 UNLIKELY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 NEVER_UNLIKELY = {"html", "body", "article", "main"}
+#: Elements that may stand in a head; any other, or text, ends it.
+IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 
 
 @dataclass(frozen=True)
@@ -69,20 +75,23 @@ class Scoring:
     """Points of a paragraph: ``base``, one for each comma, and one for each
     ``chars_per_point`` characters up to ``most_for_length``. Siblings of the
     best container stay with ``sibling_share`` of its points or as paragraphs;
-    ``most_links`` bounds the share of link text in what is kept."""
+    ``most_links`` bounds the share of link text in what is kept. An element
+    that is marked as the article and as none of it stays where it has
+    ``marked_share`` of the points that it and the unmarked page have."""
 
     base: float = 1.0
     chars_per_point: int = 100
     most_for_length: int = 3
     sibling_share: float = 0.2
     most_links: float = 0.5
+    marked_share: float = 0.5
 
 
 class Element:
-    __slots__ = ("name", "parent", "children", "points", "dropped", "links", "chars", "marks")
+    __slots__ = ("name", "parent", "children", "points", "dropped", "links", "chars", "marks", "doubtful")
 
-    def __init__(self, name: str, parent: Element | None, dropped: bool, marks: frozenset[str] = frozenset()):
-        self.name, self.parent, self.dropped, self.marks = name, parent, dropped, marks
+    def __init__(self, name: str, parent: Element | None, dropped: bool, marks: frozenset[str] = frozenset(), doubtful: bool = False):
+        self.name, self.parent, self.dropped, self.marks, self.doubtful = name, parent, dropped, marks, doubtful
         self.children: list[Element | str] = []
         self.points, self.links, self.chars = 0.0, 0, 0
 
@@ -95,27 +104,42 @@ class Element:
         return False
 
 
-def unlikely(name: str, attrs: str, parent: Element) -> tuple[bool, frozenset[str]]:
-    """Whether an element is none of the article's, and its class words."""
+def marked(token: str) -> bool:
+    """Whether a class or id marks something other than the article."""
+    words = [w for w in _split.split(token) if w]
+    for before, m in zip(["", *words], words):
+        if before not in STATES and (m in UNLIKELY or any(part in m and not m.startswith("commentar") for part in UNLIKELY_PARTS)):
+            return True
+    return False
+
+
+def unlikely(name: str, attrs: str, parent: Element) -> tuple[bool, frozenset[str], bool]:
+    """Whether an element is none of the article's, its class words, and
+    whether its points must tell, as it is marked both ways."""
     if name in DROPPED:
-        return True, frozenset()
+        return True, frozenset(), False
     # A page's header holds its banner; an article's header holds its title.
     if name == "header" and not parent.within({"article", "main"}):
-        return True, frozenset()
+        return True, frozenset(), False
     if not attrs or attrs.isspace():
-        return False, frozenset()
+        return False, frozenset(), False
     found = {k.lower(): unescape(v.strip("\"'")).lower() for k, v in _attr.findall(attrs)}
     marks = frozenset(_split.split(found.get("class", "") + " " + found.get("id", ""))) - {""}
     if name in NEVER_UNLIKELY:
-        return False, marks
+        return False, marks, False
     style = found.get("style", "").replace(" ", "")
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
-        return True, marks
-    if found.get("role") in UNLIKELY_ROLES or marks & UNLIKELY:
-        return True, marks
+        return True, marks, False
+    if found.get("role") in UNLIKELY_ROLES:
+        return True, marks, False
     if "header" in marks and not marks & OF_ARTICLE and not parent.within({"article", "main"}):
-        return True, marks
-    return any(part in m and not m.startswith("commentar") for m in marks for part in UNLIKELY_PARTS), marks
+        return True, marks, False
+    tokens = (found.get("class", "") + " " + found.get("id", "")).split()
+    against = {t for t in tokens if marked(t)}
+    if not against:
+        return False, marks, False
+    of_article = any(OF_ARTICLE & set(_split.split(t)) for t in tokens if t not in against)
+    return not of_article, marks, of_article
 
 
 def parse(html: str) -> Element:
@@ -133,6 +157,9 @@ def parse(html: str) -> Element:
         return target
 
     def put(text: str) -> None:
+        nonlocal node
+        if node.name == "head" and not text.isspace() and text:
+            node = back_to(ended(node, {"head"}))
         if text and not node.dropped:
             node.children.append(unescape(text) if "&" in text else text)
 
@@ -159,8 +186,10 @@ def parse(html: str) -> Element:
             node = back_to(ended(node, {"p"}))
         if any(opened[c] for c in CLOSES.get(name, ())):
             node = back_to(ended(node, CLOSES[name]))
-        dropped, marks = unlikely(name, m["attrs"] or "", node)
-        child = Element(name, node, node.dropped or dropped, marks)
+        if opened["head"] and (name == "body" or node.name == "head" and name not in IN_HEAD):
+            node = back_to(ended(node, {"head"}))
+        dropped, marks, doubtful = unlikely(name, m["attrs"] or "", node)
+        child = Element(name, node, node.dropped or dropped, marks, doubtful)
         if not child.dropped:
             node.children.append(child)
         if name in RAW:
@@ -207,24 +236,72 @@ def walk(root: Element) -> list[Element]:
     return out
 
 
-def score(root: Element, how: Scoring) -> list[Element]:
-    """Give points to all elements; returns them parents first."""
-    nodes = walk(root)
+def measure(nodes: list[Element]) -> None:
+    """Characters of all elements, given parents first, and those in links."""
     for node in reversed(nodes):
+        node.chars = node.links = 0
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(c) - c.count(" ") if not c.isspace() else 0
             else:
                 node.chars += c.chars
                 node.links += c.chars if c.name == "a" else c.links
+
+
+def worth(node: Element, how: Scoring) -> float:
+    """Points of an element's own paragraph, if it has one."""
+    text = inner(node) if node.name in PARAGRAPHS else own_text(node)
+    if not text:
+        return 0.0
+    points = how.base + text.count(",") + min(len(text) // how.chars_per_point, how.most_for_length)
+    return points * (1 - density(node))
+
+
+def settle(root: Element, how: Scoring) -> None:
+    """Drop the doubtful elements that carry little, those with most first.
+
+    What a doubtful element carries leaves out doubtful ones within, which are
+    judged after it and stay out of it if they carry less."""
+    nodes = walk(root)
+    if not any(n.doubtful for n in nodes):
+        return
+    measure(nodes)
+    carried, most, within = {}, {}, {}
+    for node in reversed(nodes):
+        total, best, inside = worth(node, how), 0.0, []
+        for c in node.children:
+            if isinstance(c, Element):
+                best = max(best, most[c])
+                if c.doubtful:
+                    inside.append(c)
+                else:
+                    total += carried[c]
+                    inside, fewer = sorted((inside, within.pop(c)), key=len, reverse=True)
+                    inside += fewer
+        carried[node], most[node], within[node] = total, max(best, total if node.doubtful else 0.0), inside
+    rest, order = carried[root], count()
+    heap = [(-most[n], next(order), n) for n in within[root]]
+    heapify(heap)
+    while heap:
+        top, _, node = heappop(heap)
+        if top < 0 and -top >= how.marked_share * (rest - top):
+            rest += carried[node]
+            for n in within[node]:
+                heappush(heap, (-most[n], next(order), n))
+        else:
+            node.dropped = True
     for node in nodes:
-        if node.name not in PARAGRAPHS and not own_text(node):
-            continue
-        text = inner(node) if node.name in PARAGRAPHS else own_text(node)
-        if not text:
+        node.children = [c for c in node.children if isinstance(c, str) or not c.dropped]
+
+
+def score(root: Element, how: Scoring) -> list[Element]:
+    """Give points to all elements; returns them parents first."""
+    nodes = walk(root)
+    measure(nodes)
+    for node in nodes:
+        points = worth(node, how)
+        if not points:
             continue
-        points = how.base + text.count(",") + min(len(text) // how.chars_per_point, how.most_for_length)
-        points *= 1 - density(node)
         at, level = node.parent if node.name in PARAGRAPHS else node, 0
         while at is not None:
             at.points += points / (1, 2)[level] if level < 2 else points / (level * 3)
@@ -259,6 +336,7 @@ def inner(node: Element) -> str:
 
 def kept(root: Element, how: Scoring) -> list[Element]:
     """The best container, or the article around it, and fit siblings."""
+    settle(root, how)
     nodes = [n for n in score(root, how) if n.name not in INLINE and n.name not in PARAGRAPHS - {"td", "blockquote"}]
     best = max(nodes, key=lambda n: n.points * (1 - density(n)))
     if best.points <= 0:
@@ -274,8 +352,8 @@ def kept(root: Element, how: Scoring) -> list[Element]:
         return [best]
     bar = best.points * how.sibling_share
     # Beside an article that the page itself marks, only its title is its own.
-    marked, title = best.name in ("article", "main"), any(n.name == "h1" for n in walk(best))
-    paragraphs = (set() if title else HEADINGS) if marked else PARAGRAPHS - {"li", "td", "th"}
+    by_page, title = best.name in ("article", "main"), any(n.name == "h1" for n in walk(best))
+    paragraphs = (set() if title else HEADINGS) if by_page else PARAGRAPHS - {"li", "td", "th"}
     out = []
     for c in parent.children:
         if not isinstance(c, Element) or c is best:
@@ -285,7 +363,7 @@ def kept(root: Element, how: Scoring) -> list[Element]:
             continue
         titled = not title and any(n.name == "h1" for n in walk(c))
         alike = c.name == best.name and c.marks == best.marks and bool(c.marks)
-        enough = c.points >= bar and (c.name == best.name or not marked) or alike and not marked
+        enough = c.points >= bar and (c.name == best.name or not by_page) or alike and not by_page
         if c.name in paragraphs and c.chars or titled or enough and c.points > 0:
             out.append(c)
     return out

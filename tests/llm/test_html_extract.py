@@ -71,6 +71,29 @@ def test_odd_pages(page, text):
     assert extract(page) == text
 
 
+MARKED = [
+    "<div class='content no-sidebar'>{body}</div>", "<div class='post has-sidebar'>{body}</div>", "<div class='entry social-share'>{body}</div>",
+    "<div id='page-with-comments'>{body}</div>", "<div class='widget' id='story'><div class='post nosidebar'>{body}</div></div>",
+    "<div class='entry social-share'>{body}<div class='post related'><p>More, and more</p></div></div><div class='comments'>{comments}</div>",
+    "<div class='content'>{body}<div class='post promo'><p>Buy, or not</p></div></div>",
+]
+
+
+@pytest.mark.parametrize("layout", MARKED)
+@pytest.mark.parametrize("head", ["<head><title>T</title></head><body>", "<head><meta charset=utf-8><title>T</title><body>", "<head><title>T</title>\n<link href=x>", ""])
+def test_marks_on_the_article_and_open_heads(layout, head):
+    for seed in range(5):
+        rng = random.Random(seed)
+        blocks = article(rng)
+        page = layout.format(body="".join(markup(blocks, rng)), comments=COMMENTS)
+        assert extract(f"<html>{head}<nav>{MENU}</nav>{page}</html>") == "\n".join(" ".join(t.split()) for _, t in blocks)
+
+
+def test_text_and_inline_elements_end_a_head():
+    assert extract("<head><title>T</title>words <b>here</b>") == "words here"
+    assert extract("<head><script>x</script><style>y</style><template><p>no</p></template><noscript>z</noscript>") == ""
+
+
 def test_deep_and_long_pages():
     assert extract("<b>" * 20_000 + "x" + "</i></div>" * 20_000) == "x"
     assert extract("<div>" * 20_000 + "<p>deep</p>") == "deep"
