@@ -15,14 +15,21 @@ from fernweft.tables import read_table
 
 #: The law of ``op6_hash_tree``: shards that the corpus is written to.
 SHARDS = 8
+#: Made-up texts that the net learns, as a share of the labelled windows.
+STRANGERS = 0.5
+#: Probability of any known language that a document needs. Held-out documents
+#: score higher (README), and gibberish and other scripts lower.
+LEAST_KNOWN = 0.05
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no known language: null or free of letters.
+    """Rejects documents of no known language: null, free of letters, or by
+    the net most likely made-up.
 
-    The net is fitted on a bounded draw of the input's labelled rows. A low
-    score rejects nothing, as short and mixed texts score low."""
-    return langid.reject_unknown(docs, langid.train(docs, langid.Training()))
+    The net is fitted on a bounded draw of the input's labelled rows and on
+    made-up texts. A text counts as known by the sum of all languages, so a
+    mixed one does not score low."""
+    return langid.reject_unknown(docs, langid.train(docs, langid.Training(strangers=STRANGERS)), LEAST_KNOWN)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

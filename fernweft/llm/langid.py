@@ -21,6 +21,12 @@ UNKNOWN = "und"
 _letter = re.compile(r"[^\W\d_]")
 #: Windows scored at once, which bounds the memory of a forward pass.
 LOT = 512
+#: First and last letters of scripts that made-up texts are drawn from; those
+#: after the first stand for languages that no label names.
+SCRIPTS = (
+    (0x61, 0x7A), (0x3B1, 0x3C9), (0x430, 0x44F), (0x561, 0x586), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0x985, 0x9A8), (0xB85, 0xBB9),
+    (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x1200, 0x1248), (0x1780, 0x17A2), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+)
 
 
 @dataclass(frozen=True)
@@ -30,6 +36,8 @@ class Training:
     About ``rows_per_language`` labelled texts at most are drawn for each
     language and ``rows`` in all, and ``windows`` windows of ``window``
     characters from each; the net's windows are of ``window`` bytes.
+    ``strangers``: made-up texts, as a share of those windows, that the net
+    learns as ``und``; without them it knows only the labelled languages.
     """
 
     rows_per_language: int = 1500
@@ -43,6 +51,7 @@ class Training:
     lot: int = 64
     rate: float = 0.01
     seed: int = 7
+    strangers: float = 0.0
 
 
 @dataclass
@@ -132,16 +141,32 @@ class ByteNet:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return names, scores
+        judged, sums, sizes = self.weighed(texts)
+        for i in judged:
+            k = int(sums[i].argmax())
+            names[i], scores[i] = self.languages[k], float(min(1.0, sums[i, k] / sizes[i]))
+        return names, scores
+
+    def weighed(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Texts with letters, and sums of their windows' probabilities and bytes."""
         sums = np.zeros((len(texts), len(self.languages)))
         sizes = np.zeros(len(texts))
         judged = [i for i, t in enumerate(texts) if has_letters(t)]
         for owners, windows, weights in lots(((i, texts[i]) for i in judged), self.window):
             np.add.at(sums, owners, self.probabilities(windows) * weights[:, None])
             np.add.at(sizes, owners, weights)
+        return judged, sums, sizes
+
+    def known(self, texts: list[str | None]) -> list[float]:
+        """Probability that each text is of any known language, whichever it
+        is: -1 without letters, and 1 with letters if nothing else is known."""
+        if set(self.languages) <= {UNKNOWN}:
+            return [1.0 if has_letters(t) else -1.0 for t in texts]
+        judged, sums, sizes = self.weighed(texts)
+        out, languages = [-1.0] * len(texts), [k for k, name in enumerate(self.languages) if name != UNKNOWN]
         for i in judged:
-            k = int(sums[i].argmax())
-            names[i], scores[i] = self.languages[k], float(min(1.0, sums[i, k] / sizes[i]))
-        return names, scores
+            out[i] = float(min(1.0, sums[i, languages].sum() / sizes[i]))
+        return out
 
 
 def has_letters(text: str | None) -> bool:
@@ -207,15 +232,39 @@ def sample(labelled: DataFrame, t: Training, text_col: str, lang_col: str) -> li
     return sorted((r["lang"], r["windows"]) for r in picked.toLocalIterator())
 
 
+def made_up(n: int, learned: list[str], t: Training) -> list[str]:
+    """Texts of no language, as long as learned ones: letters at random, half
+    of them Latin, and half of other scripts that no learned text uses."""
+    rng = np.random.default_rng(t.seed + 2)
+    used = {c for text in learned for c in set(text.lower())}
+    foreign = [s for s in SCRIPTS[1:] if not any(s[0] <= ord(c) <= s[1] for c in used)]
+    out = []
+    for i in range(n):
+        first, last = foreign[rng.integers(len(foreign))] if foreign and i % 2 else SCRIPTS[0]
+        # Few letters or all, even or uneven, in words or run together.
+        letters = rng.permutation(np.arange(first, last + 1))[: rng.integers(8, last - first + 2)]
+        if i % 4 == 2:
+            letters = np.concatenate([letters, np.arange(0x30, 0x3A)])
+        odds = rng.dirichlet(np.full(len(letters), rng.choice([0.5, 3.0, 100.0])))
+        size = len(learned[rng.integers(len(learned))])
+        chars = [chr(c) for c in rng.choice(letters, size=size, p=odds)]
+        gap = rng.choice([0.08, 0.15, 0.25]) if rng.random() < 0.75 else 0.0
+        out.append("".join(" " if k and blank else c for k, (c, blank) in enumerate(zip(chars, rng.random(len(chars)) < gap))))
+    return out
+
+
 def train(labelled: DataFrame, t: Training = Training(), text_col: str = "text", lang_col: str = "lang") -> ByteNet:
     """Fit a net on labelled rows, within the bounds of ``t``.
 
     Without usable rows the net knows no language and answers ``und``.
     """
     drawn = sample(labelled, t, text_col, lang_col)
-    languages = sorted({lang for lang, _ in drawn})
+    texts = [(lang, w) for lang, ws in drawn for w in ws if has_letters(w)]
+    if texts and t.strangers:
+        texts += [(UNKNOWN, w) for w in made_up(int(len(texts) * t.strangers), [w for _, w in texts], t) if has_letters(w)]
+    languages = sorted({lang for lang, _ in drawn} | {lang for lang, _ in texts})
     net = ByteNet.initial(languages, t)
-    pairs = [(cut(w, t.window)[0][0], languages.index(lang)) for lang, ws in drawn for w in ws if has_letters(w)]
+    pairs = [(cut(w, t.window)[0][0], languages.index(lang)) for lang, w in texts]
     if pairs:
         net.fit(np.stack([w for w, _ in pairs]), np.array([k for _, k in pairs]), t)
     return net
@@ -245,7 +294,13 @@ def identify(docs: DataFrame, net: ByteNet, name: str = "language", text_col: st
 
 
 def reject_unknown(docs: DataFrame, net: ByteNet, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """Rows whose language is known and scores ``least_score`` or more, with
-    all columns of the input."""
-    judged = language_column(net, F.col(text_col))
-    return docs.where((judged["lang"] != UNKNOWN) & (judged["score"] >= least_score))
+    """Rows with letters that are of known languages, whichever they are, with
+    probability ``least_score`` or more, with all columns of the input. A net
+    without languages rejects only texts without letters."""
+
+    @F.arrow_udf("double")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(net.known(texts.to_pylist()), pa.float64())
+
+    return docs.where(known(F.col(text_col)) >= max(0.0, least_score))

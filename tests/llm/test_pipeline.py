@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fernweft.llm.decontaminate import words
@@ -45,6 +47,21 @@ def test_language_id_rejects_only_what_has_no_letters(stages):
     assert Counter(after) == Counter(clean) and len(clean) == len(before) - 3
 
 
+def test_language_id_rejects_gibberish_and_other_scripts_unless_nothing_is_known(spark):
+    rng, clean = random.Random(4), spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    made = [
+        " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 10))) for _ in range(rng.randrange(10, 60)))
+        for letters in ("bcdfghjklmnpqrstvwxz", "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшы", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "".join(map(chr, range(0x4E00, 0x9FA5))))
+        for _ in range(40)
+    ]
+    docs = clean.unionByName(spark.createDataFrame([(-1 - i, m, None) for i, m in enumerate(made)], "doc_id bigint, text string, lang string"))
+    kept = [r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()]
+    assert sum(k >= 0 for k in kept) == clean.count() and sum(k < 0 for k in kept) <= 0.05 * len(made)
+    blank = clean.limit(20).withColumn("lang", F.lit(None).cast("string"))
+    odd = spark.createDataFrame([(-1, None, None), (-2, "12 34", None)], blank.schema)
+    assert Counter(corpus_pipeline.identify_language(spark, blank.unionByName(odd), "").collect()) == Counter(blank.collect())
+
+
 def test_near_dedup_keeps_one_of_each_group(stages):
     before, after = stages["near_dedup"]
     prints = {r.doc_id: plain_fingerprint(r.text) for r in before}
