@@ -79,7 +79,7 @@ def closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.add("t5_dedup_stream", "select event_id, user_id from events")
 def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_append(first_seen(stream_table(spark, sf_dir, "events"), "ts", ["event_id"], "1 hour").select("event_id", "user_id"), "first-seen")
+    return run_append(first_seen(stream_table(spark, sf_dir, "events", None), "ts", ["event_id"], "1 hour").select("event_id", "user_id"), "first-seen")
 
 
 @CATALOG.add("t6_stream_static_join", "select event_id, c_name, c_mktsegment from events join customer on user_id = c_custkey where event_type = 'error'")
@@ -95,8 +95,8 @@ def stream_static(spark: SparkSession, sf_dir: str) -> DataFrame:
        and b.ts > a.ts and b.ts <= a.ts + interval 6 hour where a.event_type = 'view' and b.event_type = 'purchase'""",
 )
 def stream_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views = stream_table(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", "user_id", "ts")
-    buys = stream_table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    views = stream_table(spark, sf_dir, "events", None).where("event_type = 'view'").select("event_id", "user_id", "ts")
+    buys = stream_table(spark, sf_dir, "events", None).where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     return run_append(paired(views, buys, "user_id", "ts", 6 * 3600, "1 hour").select("event_id", "right_event_id"), "pairs")
 
 

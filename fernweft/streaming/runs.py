@@ -8,13 +8,18 @@ from fernweft.materialize import new_path
 from fernweft.tables import read_table
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """A table as a stream of its files.
+def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = 1) -> DataFrame:
+    """A table as a stream of its files, all in one batch without a number.
+
+    Files come by time of change, not by that of their rows: where a watermark
+    drops late rows, only one batch gives what the whole table holds.
 
     A table is a file or a folder of files; the schema is taken from a scan.
     """
     schema = read_table(spark, sf_dir, name).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
     if path.getFileSystem(conf).getFileStatus(path).isDirectory():

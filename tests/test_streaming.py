@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from fernweft.plans.streams import CATALOG
 from fernweft.streaming.runs import run_append, run_complete
 from fernweft.streaming.windows import first_seen, running_counts, sessions, timed, tumbling
 
@@ -54,3 +55,14 @@ def test_sessions_join_rows_within_the_gap(stream):
     batches = [(1, "a", 0), (2, "a", 20), (3, "a", 100)], [(4, "a", 1000)], [(5, "a", 1001)]
     got = run_append(sessions(timed(stream(*batches), "ts", "10 minutes"), "ts", "30 minutes", ["user"], n=F.count(F.lit(1)))).collect()
     assert sorted((r.window_start, r.n) for r in got) == [(START, 2), (START + timedelta(minutes=100), 1)]
+
+
+@pytest.mark.parametrize("name", ["t5_dedup_stream", "t7_stream_stream_join"])
+def test_files_out_of_time_order_lose_no_rows(spark, sf_dir, duck, tmp_path, name):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    days = sorted(r[0] for r in events.select(F.to_date("ts")).distinct().collect())
+    for k in (2, 0, 3, 1):
+        part = events.where(F.to_date("ts").isin([d for i, d in enumerate(days) if i * 4 // len(days) == k]))
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = CATALOG.queries[name](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(duck.execute(CATALOG.sql[name]).fetchall())
