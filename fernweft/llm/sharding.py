@@ -1,16 +1,19 @@
 """Shards by a hierarchical weighted hash tree.
 
-A document descends from the root through regions and racks to a shard. At
-every node each child draws ``-ln(u) / weight`` with ``u`` hashed from the
-document's id and the child's path, and the least draw wins. A child is so
-chosen in proportion to its weight, and a draw depends on nothing but that
-child: when weights change, only documents that a changed subtree wins or
-loses move. A shard added as a subtree of its own takes documents only into
-itself.
+A document descends from the root through regions and racks to a shard. Every
+shard draws ``-ln(u) / weight`` with ``u`` hashed from the document's id and the
+shard's path; a subtree's draw is the least of its shards' draws, which is again
+an exponential draw at the subtree's weight. At every level the child with the
+least draw wins, so a child is chosen in proportion to its weight. A draw
+depends on nothing but that shard: when a weight changes, or a shard is added
+anywhere, only documents that the changed shard wins or loses move, and they
+move into or out of that shard alone.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,6 +22,8 @@ from fernweft.llm.common import id_hash
 from fernweft.materialize import materialize
 from fernweft.operators.prefix import bucket_bits, bucket_rows, running_total
 
+LEAVES = "array<struct<path:string,weight:double,shard:int,places:array<int>>>"
+
 
 @dataclass(frozen=True)
 class Node:
@@ -29,56 +34,45 @@ class Node:
     shard: int | None = None
     weight: float = field(default=1.0)
 
-    def total(self) -> float:
-        return sum(c.total() for c in self.children) if self.children else self.weight
+    def leaves(self, path: str = "", places: tuple[int, ...] = ()) -> Iterator[tuple[str, Node, tuple[int, ...]]]:
+        """Path, node and place (child number at each level) of every shard."""
+        if not self.children:
+            yield path, self, places
+        for i, c in enumerate(self.children):
+            yield from c.leaves(f"{path}/{c.name}", (*places, i))
 
     def shards(self) -> int:
-        return sum(c.shards() for c in self.children) if self.children else 1
+        return sum(1 for _ in self.leaves())
 
 
-def shard_tree(shards: int, racks: int = 2, per_rack: int = 2, regions: int = 2) -> Node:
-    """Equal shards: full regions first, then every further shard by itself.
+def shard_tree(shards: int, per_rack: int = 8, racks: int = 8) -> Node:
+    """Equal shards, filled rack by rack and region by region.
 
-    The first ``regions * racks * per_rack`` shards fill the regions if there
-    are that many; each shard beyond (or all of fewer) is a region of its own.
-    """
-    full = regions * racks * per_rack
-    tops: list[Node] = []
-    base = full if shards >= full else 0
-    for r in range(regions if base else 0):
-        parts = []
-        for k in range(racks):
-            first = (r * racks + k) * per_rack
-            leaves = tuple(Node(f"shard{first + i}", shard=first + i) for i in range(per_rack))
-            parts.append(Node(f"rack{k}", leaves))
-        tops.append(Node(f"region{r}", tuple(parts)))
-    for n in range(base, shards):
-        leaf = Node(f"shard{n}", shard=n)
-        tops.append(Node(f"own{n}", (Node("rack0", (leaf,)),)))
+    Shard n is in the same rack and region under every count of shards, so a
+    tree of one shard more is the same tree with one leaf added."""
+    leaves = [Node(f"shard{n}", shard=n) for n in range(shards)]
+    parts = [Node(f"rack{k}", tuple(leaves[at : at + per_rack])) for k, at in enumerate(range(0, shards, per_rack))]
+    tops = [Node(f"region{k}", tuple(parts[at : at + racks])) for k, at in enumerate(range(0, len(parts), racks))]
     return Node("root", tuple(tops))
 
 
-def draw(key: Column, path: str, weight: float) -> Column:
-    """A child's draw for a document: exponential with the child's weight."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(path)), 11)
-    return -F.log((bits.cast("double") + 0.5) / float(1 << 53)) / F.lit(float(weight))
+def draw(key: Column, path: Column, weight: Column) -> Column:
+    """A shard's draw for a document: exponential with the shard's weight."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, path), 11)
+    return -F.log((bits.cast("double") + 0.5) / float(1 << 53)) / weight
+
 
+def descend(tree: Node, key: Column) -> Column:
+    """Shard, and child number at each level, that ``key`` reaches; a struct.
 
-def descend(node: Node, key: Column, path: str = "") -> Column:
-    """The shard that ``key`` reaches below ``node``. Ties go by child order."""
-    if not node.children:
-        return F.lit(node.shard)
-    if len(node.children) == 1:
-        return descend(node.children[0], key, f"{path}/{node.children[0].name}")
-    options = [
-        F.struct(draw(key, f"{path}/{c.name}", c.total()).alias("draw"), F.lit(i).alias("child"))
-        for i, c in enumerate(node.children)
-    ]
-    winner = F.least(*options)["child"]
-    out = descend(node.children[-1], key, f"{path}/{node.children[-1].name}")
-    for i, c in reversed(list(enumerate(node.children[:-1]))):
-        out = F.when(winner == i, descend(c, key, f"{path}/{c.name}")).otherwise(out)
-    return out
+    A level's winner is the child with the least draw, and a child's draw is
+    its shards' least, so the first least draw over all shards is at the end of
+    the descent. Ties go by place. The tree is one constant: the expression
+    has the same size for any number of shards."""
+    rows = [{"path": path, "weight": n.weight, "shard": n.shard, "places": places} for path, n, places in tree.leaves()]
+    leaves = F.from_json(F.lit(json.dumps(rows)), LEAVES)
+    drawn = F.transform(leaves, lambda x: F.struct(draw(key, x["path"], x["weight"]).alias("draw"), x["places"].alias("places"), x["shard"].alias("shard")))
+    return F.array_min(drawn)
 
 
 def assign(docs: DataFrame, tree: Node, grown: Node | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,7 +85,8 @@ def assign(docs: DataFrame, tree: Node, grown: Node | None = None, id_col: str =
     interchangeable.
 
     A null text has no bytes: size 1, checksum 0. Null ids count as one id.
-    Repeated rows go to one shard and get slots of their own. An empty table
+    Repeated rows go to one shard and get slots of their own. Long texts are
+    read whole, for their size and checksum, and never shuffled. An empty table
     gives no rows. Other columns are not read.
     """
     content = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -104,8 +99,8 @@ def assign(docs: DataFrame, tree: Node, grown: Node | None = None, id_col: str =
     placed = materialize(
         rows.select(
             "*",
-            descend(tree, key).cast("int").alias("shard"),
-            (descend(grown, key) if grown else F.lit(None)).cast("int").alias("grown_shard"),
+            descend(tree, key)["shard"].alias("shard"),
+            (descend(grown, key)["shard"] if grown else F.lit(None).cast("int")).alias("grown_shard"),
             id_hash(key, "slot:").alias("place"),
         ),
         "shards",
@@ -124,4 +119,4 @@ def shard_of(docs: DataFrame, tree: Node, name: str = "shard", id_col: str = "do
 
     A column of the same name is replaced.
     """
-    return docs.withColumn(name, descend(tree, F.col(id_col).cast("long")).cast("int"))
+    return docs.withColumn(name, descend(tree, F.col(id_col).cast("long"))["shard"])
