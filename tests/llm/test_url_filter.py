@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 import re
+from collections import Counter
 
 import pytest
 
 from fernweft.llm.queries import op2
-from fernweft.llm.url_filter import Rule, UrlModel, judge, segment, viterbi, word_counts, word_odds
+from fernweft.llm.url_filter import NEUTRAL_WORDS, Rule, UrlModel, fit, judge, segment, viterbi, word_counts
+
+from tests.test_plans import plan
 
 
 def plain(url, rules=op2.RULES):
@@ -60,10 +64,10 @@ def test_longest_rule_wins_whatever_their_order(spark, tables):
 
 
 def test_viterbi_agrees_with_all_splits():
-    known = {"ab": (-3.0, 1.0), "abc": (-6.5, None), "c": (-4.0, -1.0), "bc": (-2.5, 0.5), "a": (-5.0, None)}
+    known = {"ab": -3.0, "abc": -6.5, "c": -4.0, "bc": -2.5, "a": -5.0}
 
     def cost(word):
-        return known[word][0] if word in known else -math.log(1000.0) - math.log(26) * len(word)
+        return known[word] if word in known else -math.log(1000.0) - math.log(26) * len(word)
 
     for n in range(8):
         for letters in itertools.product("abc", repeat=n):
@@ -73,20 +77,115 @@ def test_viterbi_agrees_with_all_splits():
                 cuts = [0, *[i + 1 for i, b in enumerate(bits) if b], n]
                 splits.append([name[a:b] for a, b in zip(cuts, cuts[1:])] if n else [])
             best = max(sum(map(cost, s)) for s in splits)
-            words, odds = viterbi(name, known, 1000.0, 20)
+            words = viterbi(name, known, 1000.0)
             assert "".join(words) == name and sum(map(cost, words)) == pytest.approx(best)
-            assert odds == pytest.approx(sum(known[w][1] or 0 for w in words if w in known))
 
 
 def test_names_are_split_into_words(spark, tables):
-    model = UrlModel()
-    counts, total = word_counts(tables[0], "text", model)
+    counts, total = word_counts(tables[0], "text", UrlModel())
     names = spark.createDataFrame([(n,) for n in ("cheappills", "onlinecasinobonus", "spamfarm", "the", "qzx", "localnews")], "name string")
-    split = {r.name: r.words for r in segment(names, counts, total, word_odds(*tables, "text", model), model).collect()}
+    split = {r.name: r.words for r in segment(names, counts, total).collect()}
     assert split["cheappills"] == ["cheap", "pills"] and split["spamfarm"] == ["spam", "farm"]
     assert split["localnews"] == ["local", "news"] and split["the"] == ["the"] and "".join(split["qzx"]) == "qzx"
 
 
+def test_words_of_any_length_are_found(spark):
+    long = "donaudampfschifffahrtsgesellschaftskapitän"
+    docs = spark.createDataFrame([(1, f"{long} und {long[:25]} oder donau"), (2, "und oder")], "doc_id bigint, text string")
+    counts, total = word_counts(docs, "text", UrlModel())
+    names = spark.createDataFrame([("und" + long,), (long + long[:25],), (long[:21],)], "name string")
+    split = {r.name: r.words for r in segment(names, counts, total).collect()}
+    assert split["und" + long] == ["und", long] and split[long + long[:25]] == [long, long[:25]]
+    assert split[long[:21]][0] == "donau"
+
+
+def plain_words(text):
+    return re.findall(r"[^\W\d_]+", text.lower())
+
+
+def plain_odds(labelled, model):
+    """Multinomial naive Bayes, word by word, over (words, toxic) pairs."""
+    counts = {1: Counter({w: model.seed_count for w in model.blocked}), 0: Counter({w: model.seed_count for w in model.allowed})}
+    for words, toxic in labelled:
+        counts[toxic].update(words)
+    bad, good = (sum(counts[k].values()) for k in (1, 0))
+    share = bad / (bad + good)
+    odds = {}
+    for w in counts[0].keys() | counts[1].keys():
+        odds[w] = math.log((counts[1][w] + model.smoothing * share) / bad) - math.log((counts[0][w] + model.smoothing * (1 - share)) / good)
+    n = Counter(toxic for _, toxic in labelled)
+    return odds, math.log((n[1] + 1) / (n[0] + 1))
+
+
+@pytest.mark.parametrize("model", [UrlModel(), UrlModel(blocked=(), allowed=())])
+def test_odds_agree_with_plain_bayes(spark, tables, model):
+    docs, labels = ({r[0]: r for r in t.collect()} for t in tables)
+    want, prior = plain_odds([(plain_words(docs[i].text), r.toxic) for i, r in labels.items()], model)
+    odds, got_prior = fit(*tables, "text", model)
+    got = {r.word: r.odds for r in odds.collect()}
+    assert got_prior == pytest.approx(prior) and got.keys() == want.keys()
+    assert all(got[w] == pytest.approx(want[w], abs=1e-9) for w in want)
+
+
+def test_verdicts_agree_with_plain_bayes(spark, tables):
+    docs, labels = ({r[0]: r for r in t.collect()} for t in tables)
+    model = UrlModel()
+    odds, prior = plain_odds([(plain_words(docs[i].text), r.toxic) for i, r in labels.items()], model)
+    counts, total = word_counts(tables[0], "text", model)
+    cost = {r.word: math.log(r.n / total) for r in counts.collect()}
+    urls = ["http://casino.test/", "http://casino.test/casino/casino", "http://spamfarm.test/the-best/casino", "http://library.test/", "http://idiotidiot.test/moron", "nothing"]
+    for r in judge(spark.createDataFrame([(u,) for u in urls], "url string"), *tables, []).collect():
+        names = plain_words(f"{r.judged.host}/{r.judged.path}")
+        words = [w for n in names for w in viterbi(n, {k: v for k, v in cost.items() if k in n}, total)]
+        score = prior + sum(odds.get(w, 0.0) for w in words)
+        assert r.judged.odds == pytest.approx(score, abs=1e-6) and r.judged.verdict == ("block" if score > 0 else "allow"), r.url
+
+
+def test_repeated_words_count_as_often(spark, tables):
+    urls = spark.createDataFrame([("http://casino.test/",), ("http://casino.test/casino/casino/casino",)], "url string")
+    once, often = [r.judged.odds for r in judge(urls, *tables, []).orderBy("url").collect()]
+    assert often - once > 9
+
+
+def test_labelled_urls_teach_verdicts_without_start_words(spark, tables):
+    """Held-out accuracy with both lists emptied."""
+    rng, model = random.Random(8), UrlModel(blocked=(), allowed=())
+    kinds = (["museum", "library", "garden", "school", "weather"], ["casino", "jackpot", "poker", "slots", "lottery"])
+    rows = []
+    for i in range(240):
+        toxic = int(i % 3 == 0)
+        words = [rng.choice(kinds[toxic]) if rng.random() < 0.8 else rng.choice(NEUTRAL_WORDS) for _ in range(3)]
+        rows.append((f"https://{words[0]}{words[1]}.test/{words[2]}/{i}", toxic))
+    corpus = tables[0].unionByName(spark.createDataFrame([(-1, " ".join(kinds[0] + kinds[1]), None, None, None)], tables[0].schema))
+    taught, held = (spark.createDataFrame(part, "url string, toxic int") for part in (rows[:120], rows[120:]))
+    got = judge(held, corpus, tables[1].limit(0), [], model, url_labels=taught).collect()
+    assert sum((r.judged.verdict == "block") == (r.toxic == 1) for r in got) >= 0.95 * len(got)
+    blind = judge(held, corpus, tables[1].limit(0), [], model).collect()
+    assert {r.judged.verdict for r in blind} == {"allow"}
+
+
+def test_labels_outweigh_start_words(spark):
+    docs = spark.createDataFrame([(i, "poker night at the club " * 40) for i in range(10)] + [(99, "poker scam")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(10)] + [(99, 1)], "doc_id bigint, toxic int")
+    urls = spark.createDataFrame([("http://poker.test/",)], "url string")
+    assert [r.judged.verdict for r in judge(urls, docs, labels, []).collect()] == ["allow"]
+    assert [r.judged.verdict for r in judge(urls, docs, labels.limit(0), []).collect()] == ["block"]
+
+
+def test_a_hot_url_meets_a_plain_shuffle_on_both_sides(spark, tables):
+    """Adaptive execution can split a hot partition only between two shuffles."""
+    pages = spark.createDataFrame([(i, None) for i in range(50)] + [(99, "http://a.test/")], "page_id bigint, url string")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        judged = judge(pages, *tables, [])
+        text = plan(judged)
+        assert judged.count() == 51
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert len(re.findall(r"^\(\d+\) SortMergeJoin", text, re.M)) == 1 and len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 2
+
+
 def test_counts_cover_all_documents(spark, tables):
     model = UrlModel(seed_share=0.0)
     counts, _ = word_counts(tables[0], "text", model)
