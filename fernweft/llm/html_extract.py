@@ -4,6 +4,10 @@ Paragraphs pass points for their length and commas to their ancestors, less
 the further up; a container's points are discounted by the share of its text
 that is in links. The container with most points is kept with those of its
 siblings that belong to the article, and its blocks are the text.
+
+Tags and class words that mark menus, comments and the like never decide
+alone: what is marked so goes only if the rest of the page holds an article by
+its points. Tags and class words that mark an article make its points whole.
 """
 
 from __future__ import annotations
@@ -36,10 +40,13 @@ INLINE = {
     "label", "map", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u",
     "var", "wbr",
 }
+#: Elements without text of the page.
 DROPPED = {
-    "head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input",
-    "iframe", "object", "embed", "svg", "canvas", "audio", "video", "map", "dialog", "menu", "noembed", "noframes", "title", "datalist",
+    "script", "style", "noscript", "template", "button", "select", "option", "textarea", "input", "iframe", "object", "embed", "svg", "canvas",
+    "audio", "video", "map", "noembed", "noframes", "title", "datalist", "head",
 }
+#: Elements whose tag marks something other than the article.
+ASIDE = {"nav", "footer", "aside", "form", "dialog", "menu"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PARAGRAPHS = {"p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "figcaption", *HEADINGS}
 #: An opening tag of the key closes an open element of the values.
@@ -60,14 +67,24 @@ UNLIKELY = {
 }
 #: Strings that do so within longer words as well.
 UNLIKELY_PARTS = ("sidebar", "comment", "cookie", "advert", "newsletter", "breadcrumb", "sponsor", "navbar", "footer", "popup", "disqus", "subscri")
-#: Words before a mark that tell a state of the page: "no-sidebar" is none.
-STATES = {"no", "not", "has", "have", "with", "without"}
-#: Words that, beside a mark, tell that it may be on the article itself.
+#: Of these, what may carry more than a short article beside it.
+BULKY = {"nav", "footer", "aside", "menu", "navigation", "sidebar", "comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "related", "recommended", "recommendations"}
+#: Words that say where or how something is laid out, and not what it is.
+LAYOUT = set(
+    "area bar block bottom box button buttons col column container content div elem global group header inner item items js layout left line "
+    "link links list main module outer page panel primary region right row secondary section site slot text title top unit user wrap wrapper".split()
+)
+#: Words beside a mark that tell a state of the page: "no-sidebar" is none.
+STATES = {"no", "not", "has", "have", "with", "without", "open", "closed", "enabled", "disabled", "on", "off"}
+#: Words that mark the article.
 OF_ARTICLE = {"post", "article", "entry", "content", "story", "title", "heading", "page"}
+#: Those of them that mark its body, not its title or the page.
+ARTICLE_BODY = {"post", "article", "entry", "story"}
 UNLIKELY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
-NEVER_UNLIKELY = {"html", "body", "article", "main"}
 #: Elements that may stand in a head; any other, or text, ends it.
 IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+#: How far up a paragraph's points go, and their shares.
+SHARES = (1.0, 1 / 2, 1 / 6, 1 / 9, 1 / 12)
 
 
 @dataclass(frozen=True)
@@ -75,9 +92,11 @@ class Scoring:
     """Points of a paragraph: ``base``, one for each comma, and one for each
     ``chars_per_point`` characters up to ``most_for_length``. Siblings of the
     best container stay with ``sibling_share`` of its points or as paragraphs;
-    ``most_links`` bounds the share of link text in what is kept. An element
-    that is marked as the article and as none of it stays where it has
-    ``marked_share`` of the points that it and the unmarked page have."""
+    ``most_links`` bounds the share of link text in what is kept. What is
+    marked as none of the article stays where it has ``marked_share`` of the
+    points that it and the unmarked page have; a plain mark, or one of a bulky
+    kind, needs a sign of an article in it too, or a page that has no sign and
+    no more than ``least_rest`` points without it."""
 
     base: float = 1.0
     chars_per_point: int = 100
@@ -85,15 +104,20 @@ class Scoring:
     sibling_share: float = 0.2
     most_links: float = 0.5
     marked_share: float = 0.5
+    least_rest: float = 1.0
 
 
 class Element:
-    __slots__ = ("name", "parent", "children", "points", "dropped", "links", "chars", "marks", "doubtful")
+    """``against``: marked as none of the article; ``bulky``: by a mark that
+    is plain or of a bulky kind; ``hidden``: not shown; ``likely``: marked as the article."""
+
+    __slots__ = ("name", "parent", "children", "points", "dropped", "links", "chars", "marks", "against", "bulky", "hidden", "likely", "worth")
 
-    def __init__(self, name: str, parent: Element | None, dropped: bool, marks: frozenset[str] = frozenset(), doubtful: bool = False):
-        self.name, self.parent, self.dropped, self.marks, self.doubtful = name, parent, dropped, marks, doubtful
+    def __init__(self, name: str, parent: Element | None, dropped: bool = False, marks: frozenset[str] = frozenset()):
+        self.name, self.parent, self.dropped, self.marks = name, parent, dropped, marks
         self.children: list[Element | str] = []
-        self.points, self.links, self.chars = 0.0, 0, 0
+        self.against = self.bulky = self.hidden = self.likely = False
+        self.points, self.worth, self.links, self.chars = 0.0, 0.0, 0, 0
 
     def within(self, names: set[str]) -> bool:
         node = self
@@ -104,47 +128,57 @@ class Element:
         return False
 
 
-def marked(token: str) -> bool:
-    """Whether a class or id marks something other than the article."""
+def mark_of(token: str) -> tuple[str, bool]:
+    """The word by which a class or id marks something other than the article
+    (empty: none), and whether it tells nothing else ("ad-box" does not,
+    "share-price" does)."""
     words = [w for w in _split.split(token) if w]
-    for before, m in zip(["", *words], words):
-        if before not in STATES and (m in UNLIKELY or any(part in m and not m.startswith("commentar") for part in UNLIKELY_PARTS)):
-            return True
-    return False
-
-
-def unlikely(name: str, attrs: str, parent: Element) -> tuple[bool, frozenset[str], bool]:
-    """Whether an element is none of the article's, its class words, and
-    whether its points must tell, as it is marked both ways."""
-    if name in DROPPED:
-        return True, frozenset(), False
+    if STATES & set(words):
+        return "", False
+    found, whole = "", True
+    for m in words:
+        part = next((x for x in UNLIKELY_PARTS if x in m and not m.startswith("commentar")), "")
+        if m in UNLIKELY or part:
+            found = found or (m if m in UNLIKELY else part)
+        elif m not in LAYOUT and not m.isdigit():
+            whole = False
+    return found, bool(found) and whole
+
+
+def judge_marks(node: Element, attrs: dict[str, str]) -> None:
+    """Set the marks that an element's tag, role, class and id give."""
+    name, parent = node.name, node.parent
+    if name in ("html", "body"):
+        return
     # A page's header holds its banner; an article's header holds its title.
-    if name == "header" and not parent.within({"article", "main"}):
-        return True, frozenset(), False
-    if not attrs or attrs.isspace():
-        return False, frozenset(), False
-    found = {k.lower(): unescape(v.strip("\"'")).lower() for k, v in _attr.findall(attrs)}
-    marks = frozenset(_split.split(found.get("class", "") + " " + found.get("id", ""))) - {""}
-    if name in NEVER_UNLIKELY:
-        return False, marks, False
-    style = found.get("style", "").replace(" ", "")
-    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
-        return True, marks, False
-    if found.get("role") in UNLIKELY_ROLES:
-        return True, marks, False
-    if "header" in marks and not marks & OF_ARTICLE and not parent.within({"article", "main"}):
-        return True, marks, False
-    tokens = (found.get("class", "") + " " + found.get("id", "")).split()
-    against = {t for t in tokens if marked(t)}
-    if not against:
-        return False, marks, False
-    of_article = any(OF_ARTICLE & set(_split.split(t)) for t in tokens if t not in against)
-    return not of_article, marks, of_article
+    if name in ASIDE or name == "header" and not parent.within({"article", "main"}):
+        node.against, node.bulky = True, name in BULKY or name == "header"
+    style = attrs.get("style", "").replace(" ", "")
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
+        node.against = node.hidden = True
+    if attrs.get("role") in UNLIKELY_ROLES:
+        node.against = node.bulky = True
+    if "header" in node.marks and not node.marks & OF_ARTICLE and not parent.within({"article", "main"}):
+        node.against = True
+    of_article = name in ("article", "main") or attrs.get("role") in ("main", "article")
+    for token in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
+        mark, whole = mark_of(token)
+        if mark and (whole or name not in PARAGRAPHS):
+            node.against = True
+            node.bulky |= whole or mark in BULKY
+        elif not mark and ARTICLE_BODY & set(_split.split(token)):
+            of_article = True
+        elif not mark and OF_ARTICLE & set(_split.split(token)):
+            node.bulky = False
+    # What is marked both ways goes by its points, as any other container.
+    node.likely = of_article and not node.against
+    if of_article and name not in PARAGRAPHS and not (name in ("article", "main") and node.bulky):
+        node.bulky = False
 
 
 def parse(html: str) -> Element:
     """The element tree, with ends implied as in HTML."""
-    root = Element("#root", None, False)
+    root = Element("#root", None)
     at, node, n = 0, root, len(html)
     # Open elements by name: a tag that closes none of them costs no search.
     opened: Counter[str] = Counter()
@@ -188,9 +222,13 @@ def parse(html: str) -> Element:
             node = back_to(ended(node, CLOSES[name]))
         if opened["head"] and (name == "body" or node.name == "head" and name not in IN_HEAD):
             node = back_to(ended(node, {"head"}))
-        dropped, marks, doubtful = unlikely(name, m["attrs"] or "", node)
-        child = Element(name, node, node.dropped or dropped, marks, doubtful)
+        child = Element(name, node, node.dropped or name in DROPPED)
         if not child.dropped:
+            attrs = {}
+            if m["attrs"] and not m["attrs"].isspace():
+                attrs = {k.lower(): unescape(v.strip("\"'")).lower() for k, v in _attr.findall(m["attrs"])}
+                child.marks = frozenset(_split.split(attrs.get("class", "") + " " + attrs.get("id", ""))) - {""}
+            judge_marks(child, attrs)
             node.children.append(child)
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(html, at)
@@ -236,8 +274,9 @@ def walk(root: Element) -> list[Element]:
     return out
 
 
-def measure(nodes: list[Element]) -> None:
-    """Characters of all elements, given parents first, and those in links."""
+def measure(nodes: list[Element], how: Scoring) -> None:
+    """Characters of all elements, given parents first, those in links, and
+    the points of each element's own text, blocks inside it left out."""
     for node in reversed(nodes):
         node.chars = node.links = 0
         for c in node.children:
@@ -246,113 +285,131 @@ def measure(nodes: list[Element]) -> None:
             else:
                 node.chars += c.chars
                 node.links += c.chars if c.name == "a" else c.links
+    for node in nodes:
+        node.worth = 0.0 if node.name in INLINE else paragraph_points(*inner(node), how)
 
 
-def worth(node: Element, how: Scoring) -> float:
-    """Points of an element's own paragraph, if it has one."""
-    text = inner(node) if node.name in PARAGRAPHS else own_text(node)
+def paragraph_points(text: str, linked: int, how: Scoring) -> float:
+    """Points of a paragraph, less by the share of its text in links."""
     if not text:
         return 0.0
     points = how.base + text.count(",") + min(len(text) // how.chars_per_point, how.most_for_length)
-    return points * (1 - density(node))
+    return points * (1 - min(1.0, linked / max(1, len(text) - text.count(" "))))
+
+
+def inner(node: Element) -> tuple[str, int]:
+    """Text of an element but for blocks inside it, and its length in links."""
+    out, linked = [], 0
+    stack: list[tuple[Element | str, bool]] = [(c, node.name == "a") for c in reversed(node.children)]
+    while stack:
+        c, link = stack.pop()
+        if isinstance(c, str):
+            out.append(c)
+            linked += len(c) - c.count(" ") if link else 0
+        elif c.name == "br":
+            out.append(" ")
+        elif c.name in INLINE:
+            stack += [(x, link or c.name == "a") for x in reversed(c.children)]
+    return _space.sub(" ", "".join(out)).strip(), linked
 
 
-def settle(root: Element, how: Scoring) -> None:
-    """Drop the doubtful elements that carry little, those with most first.
+def settle(root: Element, nodes: list[Element], how: Scoring) -> None:
+    """Drop the elements that are marked as none of the article, unless their
+    points speak for them; those with most points are judged first, and bulky
+    ones without a sign of an article last.
 
-    What a doubtful element carries leaves out doubtful ones within, which are
-    judged after it and stay out of it if they carry less."""
-    nodes = walk(root)
-    if not any(n.doubtful for n in nodes):
+    What a marked element carries leaves out marked ones within, which are
+    judged after it. A sign of an article is a heading of the first rank, or
+    an element marked as the article, that is not marked otherwise."""
+    if not any(n.against for n in nodes):
         return
-    measure(nodes)
-    carried, most, within = {}, {}, {}
+    carried, most, within, signs, own_signs = {}, {}, {}, {}, {}
     for node in reversed(nodes):
-        total, best, inside = worth(node, how), 0.0, []
+        total, best, inside = node.worth, 0.0, []
+        sign = own_sign = node.likely or node.name == "h1" and not node.against
         for c in node.children:
             if isinstance(c, Element):
-                best = max(best, most[c])
-                if c.doubtful:
+                best, sign = max(best, most[c]), sign or signs[c]
+                if c.against:
                     inside.append(c)
                 else:
-                    total += carried[c]
+                    total, own_sign = total + carried[c], own_sign or own_signs[c]
                     inside, fewer = sorted((inside, within.pop(c)), key=len, reverse=True)
                     inside += fewer
-        carried[node], most[node], within[node] = total, max(best, total if node.doubtful else 0.0), inside
-    rest, order = carried[root], count()
-    heap = [(-most[n], next(order), n) for n in within[root]]
+        carried[node], within[node], signs[node], own_signs[node] = total, inside, sign, own_sign
+        most[node] = max(best, total if node.against else 0.0)
+    rest, signed, order = carried[root], own_signs[root], count()
+
+    def entry(n: Element) -> tuple[bool, float, int, Element]:
+        return (n.bulky or n.hidden) and not signs[n], -most[n], next(order), n
+
+    heap = [entry(n) for n in within[root]]
     heapify(heap)
     while heap:
-        top, _, node = heappop(heap)
-        if top < 0 and -top >= how.marked_share * (rest - top):
-            rest += carried[node]
+        unsigned, top, _, node = heappop(heap)
+        enough = top < 0 and -top >= how.marked_share * (rest - top)
+        alone = not rest or rest <= how.least_rest and not signed and not node.hidden
+        if enough and (alone or not unsigned):
+            rest, signed = rest + carried[node], signed or own_signs[node]
             for n in within[node]:
-                heappush(heap, (-most[n], next(order), n))
+                heappush(heap, entry(n))
         else:
             node.dropped = True
     for node in nodes:
         node.children = [c for c in node.children if isinstance(c, str) or not c.dropped]
 
 
-def score(root: Element, how: Scoring) -> list[Element]:
-    """Give points to all elements; returns them parents first."""
-    nodes = walk(root)
-    measure(nodes)
+def score(nodes: list[Element], how: Scoring) -> None:
+    """Give points to all elements, given parents first.
+
+    A paragraph's points go to its parent whole and to a few more ancestors in
+    shares. An element marked as the article has all points below it that no
+    such element within has, and half of the others."""
     for node in nodes:
-        points = worth(node, how)
-        if not points:
+        node.points = 0.0
+    own: dict[Element, float] = {}
+    taken: dict[Element, float] = {}
+    for node in reversed(nodes):
+        own[node], taken[node] = node.worth, 0.0
+        for c in node.children:
+            if isinstance(c, Element):
+                own[node] += 0.0 if c.likely else own[c]
+                taken[node] += taken[c] + (own[c] if c.likely else 0.0)
+        if not node.worth:
             continue
-        at, level = node.parent if node.name in PARAGRAPHS else node, 0
-        while at is not None:
-            at.points += points / (1, 2)[level] if level < 2 else points / (level * 3)
-            at, level = at.parent, level + 1
-    return nodes
+        at = node.parent if node.name in PARAGRAPHS else node
+        for share in SHARES:
+            if at is None:
+                break
+            at.points += node.worth * share
+            at = at.parent
+    for node in nodes:
+        if node.likely:
+            node.points = max(node.points, own[node] + taken[node] / 2)
 
 
 def density(node: Element) -> float:
     return node.links / node.chars if node.chars else 0.0
 
 
-def own_text(node: Element) -> str:
-    """Text that stands in an element itself, beside its children."""
-    if node.name in INLINE:
-        return ""
-    return _space.sub(" ", " ".join(c for c in node.children if isinstance(c, str) and not c.isspace())).strip()
-
-
-def inner(node: Element) -> str:
-    """Text of an element but for blocks inside it."""
-    out, stack = [], list(reversed(node.children))
-    while stack:
-        c = stack.pop()
-        if isinstance(c, str):
-            out.append(c)
-        elif c.name == "br":
-            out.append(" ")
-        elif c.name in INLINE:
-            stack += reversed(c.children)
-    return _space.sub(" ", "".join(out)).strip()
-
-
 def kept(root: Element, how: Scoring) -> list[Element]:
-    """The best container, or the article around it, and fit siblings."""
-    settle(root, how)
-    nodes = [n for n in score(root, how) if n.name not in INLINE and n.name not in PARAGRAPHS - {"td", "blockquote"}]
-    best = max(nodes, key=lambda n: n.points * (1 - density(n)))
+    """The container with most points, and those of its siblings that fit."""
+    nodes = walk(root)
+    measure(nodes, how)
+    settle(root, nodes, how)
+    nodes = walk(root)
+    measure(nodes, how)
+    score(nodes, how)
+    containers = [n for n in nodes if n.name not in INLINE and n.name not in PARAGRAPHS - {"td", "blockquote"}]
+    best = max(containers, key=lambda n: n.points * (1 - density(n)))
     if best.points <= 0:
         return [root]
-    at = best
-    while at is not None:
-        if at.name in ("article", "main"):
-            best = at
-            break
-        at = at.parent
     parent = best.parent
     if parent is None or best.name == "body":
         return [best]
     bar = best.points * how.sibling_share
     # Beside an article that the page itself marks, only its title is its own.
-    by_page, title = best.name in ("article", "main"), any(n.name == "h1" for n in walk(best))
+    by_page, title = best.likely, any(n.name == "h1" for n in walk(best))
     paragraphs = (set() if title else HEADINGS) if by_page else PARAGRAPHS - {"li", "td", "th"}
     out = []
     for c in parent.children:
@@ -362,8 +419,8 @@ def kept(root: Element, how: Scoring) -> list[Element]:
         if density(c) > how.most_links:
             continue
         titled = not title and any(n.name == "h1" for n in walk(c))
-        alike = c.name == best.name and c.marks == best.marks and bool(c.marks)
-        enough = c.points >= bar and (c.name == best.name or not by_page) or alike and not by_page
+        alike = c.name == best.name and c.marks == best.marks and (bool(c.marks) or parent.name not in ("body", "#root"))
+        enough = c.points >= bar and (c.name == best.name or not by_page) or alike and not (by_page and best.name == "article")
         if c.name in paragraphs and c.chars or titled or enough and c.points > 0:
             out.append(c)
     return out
@@ -420,7 +477,9 @@ def text_column(html: Column, how: Scoring = Scoring()) -> Column:
 def extract_pages(pages: DataFrame, name: str = "text", html_col: str = "html", how: Scoring = Scoring()) -> DataFrame:
     """``pages`` with the main text of each in column ``name``.
 
-    Pages are parsed one by one and whole; repeated rows give equal texts. A
-    null or empty page has an empty text. A column named ``name`` is replaced.
+    Pages are parsed one by one and whole, however long or deep, in time that
+    grows with their length; repeated rows give equal texts. A null or empty
+    page has an empty text. An empty table gives no rows. A column named
+    ``name`` is replaced.
     """
     return pages.withColumn(name, text_column(F.col(html_col), how))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import html as escaping
 import random
 import re
+import time
 
 import pytest
 
-from fernweft.llm.html_extract import extract, extract_pages
+from fernweft.llm import html_extract
+from fernweft.llm.html_extract import INLINE, PARAGRAPHS, Element, Scoring, density, extract, extract_pages, measure, parse, score, walk
 from fernweft.llm.queries import op10
 
 MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Menu entry, number {i}</a></li>" for i in range(12)) + "</ul>"
@@ -94,9 +96,130 @@ def test_text_and_inline_elements_end_a_head():
     assert extract("<head><script>x</script><style>y</style><template><p>no</p></template><noscript>z</noscript>") == ""
 
 
+CLASSES = [
+    "content with-sidebar", "site has-sidebar", "entry-content no-comments", "post search", "layout-widget", "footer-sticky", "widget",
+    "sidebar-layout", "ad-free", "search-results", "plain",
+]
+
+
+@pytest.mark.parametrize("css", CLASSES)
+@pytest.mark.parametrize("tag", ["div", "section", "main", "article", "form"])
+def test_no_class_word_empties_a_page(css, tag):
+    for seed in range(4):
+        blocks = article(random.Random(seed))
+        body = "".join(markup(blocks, random.Random(seed)))
+        page = f"<body><nav>{MENU}</nav><{tag} class='{css}'>{body}</{tag}><footer><p>All rights, reserved.</p></footer></body>"
+        want = "\n".join(" ".join(t.split()) for _, t in blocks)
+        assert extract(page) == want
+        assert extract(f"<div class='footer-sticky'><article>{body}</article></div>") == want
+
+
+MANY_COMMENTS = "".join(f"<p>Nice, very nice, number {i}, thanks, I like it a lot, and so on and on, really.</p>" for i in range(60))
+REPLIES = [
+    "<section class='comments'>{}</section>", "<ol class='comment-list'><li class='comment'>{}</li></ol>", "<div id=disqus_thread>{}</div>",
+    "<div class='user-comments'><article class='comment-body'>{}</article></div>",
+]
+
+
+@pytest.mark.parametrize("replies", REPLIES)
+@pytest.mark.parametrize("tag", ["article", "div class=post", "div class=content", "div", "main"])
+@pytest.mark.parametrize("inside", [True, False])
+def test_comments_that_outweigh_the_article_go(replies, tag, inside):
+    blocks = article(random.Random(7))
+    body, rest, end = "".join(markup(blocks, random.Random(7))), replies.format(MANY_COMMENTS), f"</{tag.split()[0]}>"
+    page = f"<nav>{MENU}</nav><{tag}>{body}" + (rest + end if inside else end + rest)
+    assert extract(page) == "\n".join(" ".join(t.split()) for _, t in blocks)
+
+
+def test_a_marked_paragraph_of_the_article_stays():
+    for tag in ("article", "div"):
+        assert extract(f"<{tag}><h1>A</h1><p>One, two.</p><p class='share-price'>It fell, again.</p><p class='ad'>Buy.</p></{tag}>") == "A\nOne, two.\nIt fell, again."
+
+
+def test_an_article_in_sections_stays_whole():
+    parts = "".join(f"<section><h2>Part {i}</h2><p>Text of part {i}, and more.</p></section>" for i in range(6))
+    for page in (f"<article><h1>T</h1>{parts}</article>", f"<main>{parts}</main>", f"<div class=post>{parts}</div>", f"<div class=wrap><h1>T</h1>{parts}</div>"):
+        assert extract(f"<body><nav>{MENU}</nav>{page}</body>").count("Text of part") == 6
+
+
+def plain_points(root, how):
+    """Points of every element by walking down from it, one by one."""
+
+    def below(node, level=0):
+        yield node, level
+        for c in node.children:
+            if isinstance(c, Element):
+                yield from below(c, level + 1)
+
+    def without_likely(node):
+        return node.worth + sum(without_likely(c) for c in node.children if isinstance(c, Element) and not c.likely)
+
+    out = {}
+    for node in walk(root):
+        total = 0.0
+        for n, level in below(node):
+            if n.name in INLINE or not n.worth or n.name in PARAGRAPHS and not level:
+                continue
+            level -= n.name in PARAGRAPHS
+            total += n.worth * {0: 1.0, 1: 1 / 2, 2: 1 / 6, 3: 1 / 9, 4: 1 / 12}.get(level, 0.0)
+        if node.likely:
+            inner = [n for n, level in below(node) if n.likely and level]
+            total = max(total, without_likely(node) + sum(map(without_likely, inner)) / 2)
+        out[node] = total
+    return out
+
+
+@pytest.mark.parametrize("layout", list(LAYOUTS))
+def test_points_agree_with_a_plain_walk(layout):
+    for seed in range(4):
+        rng = random.Random(seed)
+        parts = markup(article(rng), rng)
+        page = LAYOUTS[layout].format(menu=MENU, comments=COMMENTS, body="".join(parts), head=parts[0], rest="".join(parts[1:]))
+        root, how = parse(page), Scoring()
+        nodes = walk(root)
+        measure(nodes, how)
+        score(nodes, how)
+        for node, want in plain_points(root, how).items():
+            assert node.points == pytest.approx(want), node.name
+
+
+def unmarked(page):
+    """A page without tags and classes that tell its parts."""
+    return re.sub(r"<(/?)(?:nav|footer|header|aside|main|article|form)\b", r"<\1div", re.sub(r" (?:class|id|role)=('[^']*'|[^ >]*)", "", page))
+
+
+def test_points_choose_the_text(monkeypatch):
+    pages, wants = [], []
+    for seed in range(20):
+        rng = random.Random(seed)
+        blocks = article(rng)
+        pages.append(unmarked(f"<body><div><nav>{MENU}</nav></div><div><article>{''.join(markup(blocks, rng))}</article></div><div><aside><a href=x>More</a> of it</aside></div></body>"))
+        wants.append("\n".join(" ".join(t.split()) for _, t in blocks))
+    assert [extract(p) for p in pages] == wants
+
+    def constant(nodes, how):
+        for n in nodes:
+            n.points = 1.0
+
+    monkeypatch.setattr(html_extract, "score", constant)
+    assert sum(extract(p) == w for p, w in zip(pages, wants)) < len(pages) / 2
+
+
+def test_points_fall_with_links():
+    page = parse("<div><p>Words, and more words.</p></div><div><p><a href=x>Words, and more words.</a></p></div>")
+    nodes = walk(page)
+    measure(nodes, Scoring())
+    score(nodes, Scoring())
+    one, two = [n for n in nodes if n.name == "div"]
+    assert one.points == 2.0 and two.points == 0.0 and density(two) == 1.0
+
+
 def test_deep_and_long_pages():
     assert extract("<b>" * 20_000 + "x" + "</i></div>" * 20_000) == "x"
     assert extract("<div>" * 20_000 + "<p>deep</p>") == "deep"
+    began = time.perf_counter()
+    extract("<div>text, here " * 20_000)
+    assert time.perf_counter() - began < 2
     long = " ".join(["word"] * 200_000)
     assert extract(f"<nav>{MENU}</nav><article><p>{long}</p></article>") == long
 
@@ -110,6 +233,14 @@ def test_query_on_pages(spark, sf_dir):
         assert got[page.page_id].text == want and got[page.page_id].n_chars == len(want)
 
 
+def test_query_on_pages_without_article_tags(spark, sf_dir):
+    for page in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        want = extract(page.html)
+        for tag in ("div", "section", "div class='content with-sidebar'"):
+            html = page.html.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>")
+            assert want and extract(html) == want
+
+
 def test_tables_with_nulls_repeats_and_clashing_columns(spark):
     pages = spark.createDataFrame([(1, None, "t"), (2, "<p>x", "t"), (2, "<p>x", "t")], "page_id bigint, html string, text string")
     assert [r.text for r in extract_pages(pages).orderBy("page_id").collect()] == ["", "x", "x"]
