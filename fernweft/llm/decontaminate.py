@@ -4,8 +4,11 @@ A test item's n-grams are counted over all training documents. The rarer ones
 are seeds by themselves, and common ones are where several meet: a leak raises
 the counts of the very n-grams that it keeps. Passages around a document's
 seeds are aligned with the item by Smith-Waterman over words, so that edited
-copies score by the words they keep in order. Benchmarks are taken in blocks of bounded size, each
-of which every executor holds; documents are read in place and not shuffled.
+copies score by the words they keep in order.
+
+Benchmarks are taken in blocks of bounded size, one after the other: executors
+hold one block at a time. Documents are read in place and never shuffled; with
+further blocks, what one has found is written before the next is sent.
 """
 
 from __future__ import annotations
@@ -21,18 +24,24 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fernweft.llm.common import fresh
+from fernweft.materialize import materialize, release
 
 _word = re.compile(r"\w+")
 _space = re.compile(r"\s")
 HITS = "array<struct<item_id:bigint,score:double,start:bigint,end:bigint>>"
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Odd multiplier of the n-gram keys, which wrap around 64 bits. Two n-grams of
+#: one key make a seed too many, which the alignment then judges.
+STEP = np.int64(-7046029254386353131)
 #: Characters of a text whose words are in memory as strings at once.
 PIECE = 1 << 20
 
 
 @dataclass(frozen=True)
 class Matching:
-    """``n``: words of a seed. ``seed_share``: share of an item's n-grams,
+    """``n``: words of a seed. ``least_words``: words of an item at least, or
+    ``n`` if that is more; shorter ones occur by chance and are passed over.
+    ``seed_share``: share of an item's n-grams,
     rarest first, that are seeds alone (ties of the last are all taken).
     ``common``: different n-grams of any count in a passage that are seeds.
     ``least_score``: alignment score over that of a verbatim copy.
@@ -41,6 +50,7 @@ class Matching:
     """
 
     n: int = 3
+    least_words: int = 5
     seed_share: float = 0.5
     common: int = 2
     least_score: float = 0.5
@@ -67,19 +77,17 @@ def pieces(text: str, size: int) -> Iterator[str]:
 class Block:
     """A block of items: vocabulary, grams and where items have each gram."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int):
+    def __init__(self, items: list[tuple[int, str]], n: int, least_words: int = 1):
         self.n = n
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
-            if ids:
-                self.items.append((item_id, np.array(ids, np.int64)))
-        self.short = any(len(ids) < n for _, ids in self.items)
-        self.base = len(self.vocabulary) + 1
+            found = words(text)
+            if len(found) >= max(n, least_words):
+                self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found], np.int64)))
         keys, owners, offsets = [], [], []
         for k, (_, ids) in enumerate(self.items):
-            grams = self.grams(ids)
+            grams = self.grams(ids, np.arange(len(ids) - n + 1))
             keys.append(grams)
             owners.append(np.full(len(grams), k))
             offsets.append(np.arange(len(grams)))
@@ -88,39 +96,24 @@ class Block:
         self.owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
         self.offset = np.concatenate(offsets) if offsets else np.zeros(0, np.int64)
 
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        """Keys of all n-grams; an item shorter than n words is padded."""
-        if len(ids) < self.n:
-            ids = np.concatenate([ids, np.full(self.n - len(ids), self.base - 1)])
-        key = np.zeros(len(ids) - self.n + 1, np.int64)
+    def grams(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Keys of the n-grams that start at the given places."""
+        key = np.zeros(len(at), np.int64)
         for k in range(self.n):
-            key = key * self.base + ids[k : k + len(key)]
+            key = key * STEP + ids[at + k] + 1
         return key
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and gram numbers of the block's grams in a text of word ids
         (-1: not in the vocabulary)."""
         known = ids >= 0
-        places = len(ids) - self.n + 1
-        whole = np.ones(max(0, places), bool)
+        whole = np.ones(max(0, len(ids) - self.n + 1), bool)
         for k in range(self.n):
             whole &= known[k : k + len(whole)]
-        at = [np.flatnonzero(whole)]
-        key = np.zeros(len(at[0]), np.int64)
-        for k in range(self.n):
-            key = key * self.base + ids[at[0] + k]
-        keys = [key]
-        if self.short:
-            for size in range(1, self.n):
-                some = np.flatnonzero(np.logical_and.reduce([known[k : len(known) - size + 1 + k] for k in range(size)])) if len(ids) >= size else np.zeros(0, np.int64)
-                key = np.zeros(len(some), np.int64)
-                for k in range(self.n):
-                    key = key * self.base + (ids[some + k] if k < size else self.base - 1)
-                at.append(some)
-                keys.append(key)
-        place, key = np.concatenate(at), np.concatenate(keys)
-        if not len(key) or not len(self.grams_sorted):
+        place = np.flatnonzero(whole)
+        if not len(place) or not len(self.grams_sorted):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key = self.grams(ids, place)
         slot = np.minimum(np.searchsorted(self.grams_sorted, key), len(self.grams_sorted) - 1)
         same = self.grams_sorted[slot] == key
         return place[same], slot[same]
@@ -234,12 +227,12 @@ def blocks(benchmark: DataFrame, how: Matching, id_col: str, text_col: str) -> I
     items = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).distinct()
     for item_id, text in items.toLocalIterator():
         if held and size + len(text) > how.block_chars:
-            yield Block(held, how.n)
+            yield Block(held, how.n, how.least_words)
             held, size = [], 0
         held.append((item_id, text))
         size += len(text)
     if held:
-        yield Block(held, how.n)
+        yield Block(held, how.n, how.least_words)
 
 
 def gram_counts(docs: DataFrame, block: Block, text_col: str) -> np.ndarray:
@@ -260,6 +253,7 @@ def gram_counts(docs: DataFrame, block: Block, text_col: str) -> np.ndarray:
     counts = np.zeros(len(block.grams_sorted), np.int64)
     for gram, n in counted.collect():
         counts[gram] = n
+    shared.destroy()
     return counts
 
 
@@ -277,25 +271,33 @@ def matched(shared: Broadcast, text: Column) -> Column:
     return match(text)
 
 
-def matches_column(docs: DataFrame, benchmark: DataFrame, text: Column, how: Matching, text_col: str, item_id: str, item_text: str) -> Column:
-    """Array column of the items that each text holds; never null."""
-    found = []
-    for block in blocks(benchmark, how, item_id, item_text):
-        chosen = block.seeds(gram_counts(docs, block, text_col), how.seed_share)
-        found.append(matched(docs.sparkSession.sparkContext.broadcast(Matcher(block, chosen, how)), text))
-    return F.concat(*found) if found else F.array().cast(HITS)
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", how: Matching = Matching(), text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with the test items that each text holds in column ``name``:
     an array of ``item_id, score, start, end`` (in words), one for each item.
 
     Null and empty texts hold none; long texts are searched whole. Items that
-    are null, empty or without an id are passed over; repeated items count
-    once. Repeated rows are judged alike. With an empty benchmark no document
-    holds any. A column named ``name`` is replaced.
+    are null, without an id or too short (``Matching.least_words``) are passed
+    over; repeated items count once. Repeated rows are judged alike. An empty
+    table gives no rows; with an empty benchmark no document holds any item. A
+    column named ``name`` is replaced.
+
+    A block's words and seeds are sent to the executors, and withdrawn once
+    its hits are written; those of the last block stay for the result.
     """
-    return docs.withColumn(name, matches_column(docs, benchmark, F.col(text_col), how, text_col, item_id, item_text))
+    spark = docs.sparkSession
+    found, last = docs.withColumn(name, F.array().cast(HITS)), None
+    shared: Broadcast | None = None
+    for block in blocks(benchmark, how, item_id, item_text):
+        if shared is not None:
+            found, before = materialize(found, "leaks"), last
+            shared.destroy()
+            if before is not None:
+                release(before)
+            last = found
+        chosen = block.seeds(gram_counts(docs, block, text_col), how.seed_share)
+        shared = spark.sparkContext.broadcast(Matcher(block, chosen, how))
+        found = found.withColumn(name, F.concat(F.col(name), matched(shared, F.col(text_col))))
+    return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching(), text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

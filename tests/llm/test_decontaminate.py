@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import Broadcast
 
 from fernweft.llm.decontaminate import Block, Matching, align, decontaminate, find_leaks, words
 from fernweft.llm.queries import op7
@@ -98,15 +99,77 @@ def test_query_finds_verbatim_items(spark, sf_dir):
 def test_nulls_short_items_long_texts_and_clashing_columns(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "just two words", 0), (4, "filler " * 200_000 + "alpha beta gamma delta epsilon", 0), (5, "alpha beta", 0), (5, "alpha beta", 0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, __leaks int")
-    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "two words"), (3, None), (None, "just two"), (4, ""), (2, "two words")], "item_id bigint, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "two words"), (3, None), (None, "just two"), (4, ""), (2, "two words"), (1, "alpha beta gamma delta epsilon")], "item_id bigint, text string")
     found = {r.doc_id: [h.item_id for h in r.leaks] for r in find_leaks(docs, items).collect()}
-    assert found == {1: [], 2: [], 3: [2], 4: [1], 5: []}
+    assert found == {1: [], 2: [], 3: [], 4: [1], 5: []}, "an item of two words is no leak"
     kept = decontaminate(docs, items)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 5]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 5, 5]
     assert decontaminate(docs, items.limit(0)).count() == len(rows)
     assert decontaminate(docs.limit(0), items).count() == 0
 
 
+def test_short_items_and_n_grams_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "well yes of course"), (2, "a man in the park today"), (3, "this is one of the five longest of all")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "yes"), (2, "in the"), (3, "in the park today"), (4, "one of the five longest of all")], "item_id bigint, text string")
+    found = lambda how: {(r.doc_id, h.item_id) for r in find_leaks(docs, items, how=how).collect() for h in r.leaks}
+    assert found(Matching()) == {(3, 4)}
+    assert found(Matching(least_words=1)) == {(2, 3), (3, 4)}
+    assert found(Matching(n=7)) == {(3, 4)}
+
+
+def test_executors_hold_one_block_at_a_time(spark, monkeypatch):
+    docs, items, leaks = corpus(spark, n=9)
+    many = items.unionByName(spark.createDataFrame([(100 + i, f"item number {i} of the many items to look for here") for i in range(28)], items.schema))
+    live, most = set(), 0
+    context = type(spark.sparkContext)
+    send, destroy = context.broadcast, Broadcast.destroy
+
+    def counted(self, value):
+        nonlocal most
+        sent = send(self, value)
+        live.add(id(sent))
+        most = max(most, len(live))
+        return sent
+
+    monkeypatch.setattr(context, "broadcast", counted)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (live.discard(id(self)), destroy(self, *a)))
+    found = find_leaks(docs, many, how=Matching(block_chars=1))
+    assert most == 1, "each count and each search has a broadcast of its own"
+    assert {(r.doc_id, h.item_id) for r in found.collect() for h in r.leaks} == leaks
+
+
+def edited(rng, item, rate):
+    """An item with words changed, left out and added at a rate."""
+    out = []
+    for word in item:
+        kind = rng.choice(["change", "drop", "add"]) if rng.random() < rate else "keep"
+        out += {"keep": [word], "change": ["changed"], "drop": [], "add": [word, "added"]}[kind]
+    return out
+
+
+@pytest.mark.parametrize(("rate", "least"), [(0.0, 1.0), (0.1, 0.99), (0.2, 0.97), (0.3, 0.9)])
+def test_recall_against_alignment_of_all_pairs(spark, rate, least):
+    rng = random.Random(int(rate * 10))
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randrange(14, 60))] for _ in range(15)]
+    docs = []
+    for i in range(150):
+        body = [rng.choice(vocabulary) for _ in range(rng.randrange(20, 120))]
+        at = rng.randrange(len(body))
+        body[at:at] = edited(rng, rng.choice(items), rate) if i % 5 else []
+        docs.append((i, " ".join(body)))
+    block = Block(list(enumerate(map(" ".join, items))), 3)
+    want = set()
+    for i, text in docs:
+        for k, ids in block.items:
+            if align(ids, block.encode(text))[0] >= Matching().least_score * 2 * len(ids):
+                want.add((i, k))
+    tables = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, h.item_id) for r in find_leaks(*tables).collect() for h in r.leaks}
+    print("recall", rate, len(got & want), len(want))
+    assert got <= want and len(got) >= least * len(want) > 0
+
+
 def test_repeated_words_do_not_make_seeds_of_the_wrong_item():
     block = Block([(1, "a a a a b"), (2, "c d e")], 3)
     place, gram = block.hits(block.encode("a a a a b c d e"))
