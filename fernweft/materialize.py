@@ -21,14 +21,19 @@ def shared_root(spark: SparkSession) -> str:
 
     ``spark.checkpoint.dir`` is read from the session. Where it is unset, a
     local master (driver and executors are one process) gets a temporary
-    folder, and a cluster gets a folder below the warehouse, which is shared.
+    folder, and a cluster a folder below the warehouse if that is in a store
+    which all machines reach. A cluster without either is refused, as tables
+    written to one machine's disk are lost to the others.
     """
     root = spark.conf.get("spark.checkpoint.dir", "")
     if root:
         return root.rstrip("/")
     sc = spark.sparkContext
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_fernweft"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if "://" not in warehouse or warehouse.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return warehouse + "/_fernweft"
     if sc.applicationId not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="fernweft-")
     return _LOCAL_ROOTS[sc.applicationId]
@@ -43,10 +48,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    claim(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def claim(spark: SparkSession, path: str) -> None:
+    """Count a path as written here, so that it may be deleted."""
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that this application has written and not deleted.
+
+    Results of queries are scans of such tables, so call it once they are read
+    or written elsewhere."""
+    delete(spark, written(spark))
+
+
 def written(spark: SparkSession) -> list[str]:
     """Paths that ``materialize`` wrote in this application and are still there."""
     return list(_WRITTEN.get(spark.sparkContext.applicationId, []))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from fernweft.materialize import delete, materialize, new_path, release, shared_root, written
+from fernweft.materialize import clean_up, delete, materialize, new_path, release, shared_root, written
 
 
 def test_tables_are_written_read_and_deleted(spark):
@@ -20,3 +20,10 @@ def test_tables_are_written_read_and_deleted(spark):
 
 def test_paths_are_never_shared(spark):
     assert new_path(spark, "x") != new_path(spark, "x")
+
+
+def test_clean_up_leaves_nothing(spark):
+    path = materialize(spark.range(5), "three").inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(path)
+    clean_up(spark)
+    assert written(spark) == [] and not os.path.exists(path)
