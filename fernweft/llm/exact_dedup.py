@@ -1,19 +1,21 @@
 """Exact deduplication against a persistent index of digests.
 
-The index is a table bucketed and sorted by digest. A batch of documents is
-reduced to one row for each digest, joined against the index by a sort-merge
-anti-join that need not shuffle the index, and what is new is appended.
+The index is a table bucketed and sorted by digest, in the shared folder. A
+batch of documents is reduced to one row for each digest, joined against the
+index by a sort-merge anti-join that need not shuffle the index, and what is
+new is appended. Compaction writes each bucket as one sorted file again.
 Everything here is DataFrame code; texts are read once and never shuffled.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fernweft.llm.common import SPACE, fresh
-from fernweft.materialize import materialize
+from fernweft.materialize import claim, delete, materialize, new_path, release
 
 
 def text_digest(text: Column) -> Column:
@@ -27,12 +29,15 @@ class DigestIndex:
 
     ``buckets`` defaults to the session's shuffle partitions when the index is
     made, so that a batch shuffled by digest meets the index bucket by bucket.
+    ``folder`` is where the table's files are, below the shared folder unless a
+    caller names one.
     """
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None, folder: str | None = None):
         self.spark = spark
         self.table = table
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder = folder or new_path(spark, f"index-{table}")
 
     @classmethod
     def temporary(cls, spark: SparkSession, buckets: int | None = None) -> DigestIndex:
@@ -50,18 +55,28 @@ class DigestIndex:
 
     def append(self, fresh_rows: DataFrame) -> None:
         """Add rows of new digests; each writing task fills one bucket."""
-        (
-            fresh_rows.select("digest", F.col("keep_id").cast("long").alias("keep_id"))
-            .repartition(self.buckets, "digest")
-            .write.mode("append")
-            .format("parquet")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .saveAsTable(self.table)
-        )
+        rows = fresh_rows.select("digest", F.col("keep_id").cast("long").alias("keep_id")).repartition(self.buckets, "digest")
+        writer = rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
+        if not self.exists():
+            writer = writer.option("path", self.folder)
+            claim(self.spark, self.folder)
+        writer.saveAsTable(self.table)
+
+    def compact(self) -> DigestIndex:
+        """The same index under a name of its own, with one sorted file for
+        each bucket; this one stays until it is dropped."""
+        if not self.exists():
+            return DigestIndex.temporary(self.spark, self.buckets)
+        other = DigestIndex(self.spark, f"{self.table}_{uuid.uuid4().hex[:8]}", self.buckets)
+        # Read as plain files: as a bucketed table the rows count as dealt out
+        # already, and each task would write a file for each bucket.
+        other.append(self.spark.read.schema(self.read().schema).parquet(self.folder))
+        return other
 
     def drop(self) -> None:
+        """Delete the table and its files."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        delete(self.spark, [self.folder])
 
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Deduplicate a batch against itself and the index, and append to it.
@@ -74,9 +89,14 @@ class DigestIndex:
         Null texts equal empty ones. Null ids come after all others; where a
         group has no other id, ``keep_id`` is null. Where rows of a group share
         the smallest id, one of them is kept. A digest that the index already
-        holds keeps no row of the batch. An empty batch appends nothing. Other
-        columns of the input are not read.
+        holds keeps no row of the batch. Long texts are read whole and leave as
+        digests. An empty batch appends nothing. Other columns of the input are
+        not read.
         """
+        return _labelled(*self._decide(docs, id_col, text_col))
+
+    def _decide(self, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+        """Rows of a batch, and a row for each of its digests; appends."""
         rows = materialize(
             docs.select(
                 F.col(id_col).cast("long").alias("doc_id"),
@@ -100,14 +120,42 @@ class DigestIndex:
         )
         # Written, so that both sides of the next join are plain shuffles, of
         # which adaptive execution can split the partition of a hot digest.
-        decided = materialize(decided, "decided")
-        return rows.join(decided, "digest").select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False)).alias("kept"),
-            "digest",
-        )
+        # Written, so that both sides of the last join are plain shuffles, of
+        # which adaptive execution can split the partition of a hot digest.
+        decided = materialize(decided.select("digest", "keep_id", "group_size", "kept_row"), "decided")
+        release(batch)
+        release(new)
+        return rows, decided
+
+
+def _labelled(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    return rows.join(decided, "digest").select(
+        "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False)).alias("kept"), "digest"
+    )
+
+
+def ingest_by_id(docs: DataFrame, index: DigestIndex, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Deduplicate a whole table in batches of rising ids, each of which meets
+    the index of those before; the index keeps the smallest id of each digest.
+
+    Ranges of ids are of equal width, null ids are in the last. Columns are
+    those of ``DigestIndex.ingest``; ``group_size`` counts over all batches, and
+    a row is kept if its digest was new to the index. An empty table gives no
+    rows."""
+    key = F.col(id_col).cast("long")
+    low, high = docs.agg(F.min(key), F.max(key)).first()
+    cuts = [] if low is None else [low + (high - low) * k // batches for k in range(1, batches)]
+    bounds = [None, *cuts, None]
+    parts = []
+    for k, (after, upto) in enumerate(zip(bounds, bounds[1:])):
+        within = (F.lit(True) if after is None else key > after) & (F.lit(True) if upto is None else key <= upto)
+        rows, decided = index._decide(docs.where(F.coalesce(within, F.lit(upto is None))), id_col, text_col)
+        # Rows are numbered by batch: a number is told from the same of another.
+        number = lambda name: F.when(F.col(name).isNotNull(), F.struct(F.lit(k).alias("batch"), F.col(name).alias("row"))).alias(name)
+        parts.append((rows.select("doc_id", "digest", number("row")), decided.select("digest", "keep_id", "group_size", number("kept_row"))))
+    rows, decided = (reduce(DataFrame.unionByName, side) for side in zip(*parts))
+    each = decided.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.max("kept_row").alias("kept_row"))
+    return _labelled(rows, materialize(each, "decided"))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

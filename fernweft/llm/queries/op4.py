@@ -1,10 +1,10 @@
-"""Exact duplicates among all documents, by a new digest index."""
+"""Exact duplicates among all documents, by a digest index."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fernweft.llm.exact_dedup import DigestIndex
+from fernweft.llm.exact_dedup import DigestIndex, ingest_by_id
 from fernweft.tables import read_table
 
 NAME = "op4_exact_dedup"
@@ -24,7 +24,8 @@ WINDOW same AS (PARTITION BY body)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as two batches: the second meets the filled index."""
     index = DigestIndex.temporary(spark)
-    return index.ingest(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
-    )
+    found = ingest_by_id(read_table(spark, sf_dir, "documents"), index, batches=2)
+    index.drop()
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))

@@ -8,7 +8,10 @@ from collections import defaultdict
 
 import pytest
 
-from fernweft.llm.exact_dedup import DigestIndex, deduplicate
+from fernweft.llm.exact_dedup import DigestIndex, deduplicate, ingest_by_id
+from fernweft.llm.queries import op4
+from fernweft.materialize import shared_root, written
+from tests.test_plans import plan
 
 SCHEMA = "doc_id bigint, text string, digest string"
 
@@ -30,8 +33,10 @@ ROWS = [
 ]
 
 
-def test_rows_agree_with_brute_force(spark, index):
-    got = index.ingest(spark.createDataFrame(ROWS, SCHEMA)).collect()
+@pytest.mark.parametrize("batches", [0, 1, 2, 5])
+def test_rows_agree_with_brute_force(spark, index, batches):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    got = (ingest_by_id(docs, index, batches) if batches else index.ingest(docs)).collect()
     groups = defaultdict(list)
     for i, text, _ in ROWS:
         groups[normal(text)].append(i)
@@ -54,6 +59,40 @@ def test_later_batches_meet_the_index(spark, index):
     assert [r.data_type for r in plan if r.col_name == "Num Buckets"] == ["4"]
 
 
+def test_the_index_is_not_shuffled_nor_sorted_anew_once_compact(spark, index):
+    for part in ("one", "two", "three"):
+        index.ingest(spark.createDataFrame([(i, f"{part} {i}") for i in range(40)], "doc_id bigint, text string"))
+    compact = index.compact()
+    try:
+        assert sorted(compact.read().collect()) == sorted(index.read().collect()) and compact.read().count() == 120
+        files = [f for f in compact.read().inputFiles()]
+        assert len(files) == len({f.rpartition("_")[2] for f in files}) <= 4, "one file for each bucket"
+        batch = spark.createDataFrame([("x" * 64, 1)], "digest string, n int")
+        text = plan(batch.hint("merge").join(compact.read().hint("merge"), "digest", "left_anti"))
+        assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 1 and "left_anti" in text.lower().replace("leftanti", "left_anti")
+        second = compact.ingest(spark.createDataFrame([(9, "two 3"), (8, "four")], "doc_id bigint, text string")).collect()
+        assert {r.doc_id: (r.keep_id, r.kept) for r in second} == {9: (3, False), 8: (8, True)}
+    finally:
+        compact.drop()
+
+
+def test_the_query_fills_the_index_and_leaves_no_table(spark, sf_dir, monkeypatch):
+    held, decide = [], DigestIndex._decide
+
+    def counted(self, *args):
+        held.append(self.read().count())
+        assert not self.exists() or self.read().inputFiles()[0].removeprefix("file://").startswith(shared_root(spark).removeprefix("file://"))
+        return decide(self, *args)
+
+    monkeypatch.setattr(DigestIndex, "_decide", counted)
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = op4.query(spark, sf_dir)
+    assert held[0] == 0 and held[1] > 0, "the second batch meets a filled index"
+    assert rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert not [p for p in written(spark) if "/index-" in p]
+
+
 def test_kept_rows_have_all_columns_whatever_their_names(spark, index):
     rows = [(1, "a b", "u", 0), (2, "a  b", "v", 0), (2, "a  b", "v", 0), (3, "c", "w", 1)]
     kept = deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string, digest string, __keeper int"), index)
