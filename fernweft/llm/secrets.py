@@ -3,7 +3,8 @@
 Random strings are found by token efficiency: a byte-pair vocabulary covers
 language with several characters to a token, and random characters with fewer
 than ``max_ratio``. Known digests and identifiers, which look alike but are
-public, are excluded.
+public, are excluded wherever they stand in a run: digests of usual lengths in
+hex, digests of sub-resources in base64, UUIDs, ULIDs and numbers.
 """
 
 from __future__ import annotations
@@ -41,6 +42,11 @@ _part = re.compile(r"[A-Za-z0-9]+")
 #: A number with its groups, or a part.
 _group = re.compile(r"\d+(?:[+/_=-]\d+)*(?![A-Za-z0-9])|[A-Za-z0-9]+", re.ASCII)
 _uuid = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
+#: A digest as in integrity attributes and lock files, named by its function.
+_integrity = re.compile(r"(?<![A-Za-z0-9])sha(?:256-[A-Za-z0-9+/]{43}=|384-[A-Za-z0-9+/]{64}|512-[A-Za-z0-9+/]{86}==)(?![A-Za-z0-9+/=])", re.IGNORECASE)
+#: A ULID of a time from 2004 to 2109: 48 bits of milliseconds and 80 random bits.
+_ulid = re.compile(r"(?<![A-Za-z0-9])0[1-3][0-9A-HJKMNP-TV-Z]{24}(?![A-Za-z0-9])")
+_identifiers = (_uuid, _integrity, _ulid)
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 _digest_lengths = {32, 40, 56, 64, 96, 128}
 
@@ -56,9 +62,9 @@ class Scan:
 
 
 def known(candidate: str) -> bool:
-    """A digest of a usual length, a UUID, a number, plain or grouped, or signs alone."""
+    """A digest of a usual length, an identifier, a number, plain or grouped, or signs alone."""
     bare = _signs.sub("", candidate)
-    if not bare or bare.isdigit() or _uuid.fullmatch(candidate):
+    if not bare or bare.isdigit() or any(i.fullmatch(candidate) for i in _identifiers):
         return True
     return len(candidate) in _digest_lengths and _digest.fullmatch(candidate) is not None
 
@@ -135,7 +141,8 @@ def find(text: str | None, scan: Scan = Scan()) -> list[tuple[str, int, int]]:
     # What is left of the runs between base spans and identifiers.
     barred = [(start, end) for start, _, end in found]
     for start, end in runs:
-        barred += [m.span() for m in _uuid.finditer(text, start, end)]
+        for identifier in _identifiers:
+            barred += [m.span() for m in identifier.finditer(text, start, end)]
         barred += [m.span() for m in _group.finditer(text, start, end) if m.end() - m.start() >= scan.min_chars and known(m.group())]
     barred.sort()
     at, reach = 0, 0
@@ -168,14 +175,16 @@ def scan_secrets(docs: DataFrame, name: str = "secrets", text_col: str = "text",
 
     Rows are judged one by one, so repeated rows and ties need no rule and
     nothing is shuffled. Null and empty texts have an empty array; long texts
-    are searched whole, one at a time. A column named ``name`` is replaced.
+    are searched whole, one at a time. An empty table gives no rows. A column
+    named ``name`` is replaced.
     """
     return docs.withColumn(name, spans_column(F.col(text_col), scan))
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", scan: Scan = Scan()) -> DataFrame:
     """``docs`` with every span replaced by ``mask``; overlapping spans count
-    as one. A null text stays null."""
+    as one. A null text stays null; repeated rows are masked alike; an empty
+    table gives no rows."""
 
     @F.arrow_udf("string")
     def masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

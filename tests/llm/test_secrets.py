@@ -7,9 +7,11 @@ import random
 import re
 
 import pytest
+import regex
 
 from fernweft.llm.queries import op1
 from fernweft.llm.secrets import Scan, find, mask_secrets, scan_secrets
+from fernweft.llm.vocabulary import PIECES, byte_bpe
 
 PLAIN = {
     "assign": (re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
@@ -77,6 +79,51 @@ def test_identifiers_beside_words_are_not_random():
         assert find(f"use {clean} now") == [], clean
 
 
+UUID = "123e4567-e89b-12d3-a456-426614174000"
+KNOWN = [
+    f"id={UUID}", f"/orders/{UUID}", "sha1=DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "md5/D41D8CD98F00B204E9800998ECF8427E",
+    "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", "01ARZ3NDEKTSV4RRFFQ69G5FAV", "orders/01ARZ3NDEKTSV4RRFFQ69G5FAV",
+    "sha384-oqVuAfXRKap7fdgcCY5uykM6+R9GqQ8K/uxy9rx7HNQlGYl1kPzQho1wx4JwY8wC",
+    "sha512-z4PhNX7vuL3xVChQ1m2AB9Yg5AULVxXcg/SpIdNs6c5H0NE8XYXysP+DGNKHfuwvY7kxvUdBeoGlODJ6+SfaPg==",
+]
+
+
+@pytest.mark.parametrize("known", KNOWN)
+def test_known_strings_with_any_prefix_are_excluded_and_secrets_beside_them_found(known):
+    assert [k for k, _, _ in find(f"use {known} now")] == []
+    for text in (f"use {known} {KEY}", f"use {KEY}/{known.lstrip('/')} now"):
+        spans = [(a, b) for k, a, b in find(text) if k == "random"]
+        assert len(spans) == 1, text
+        start, end = spans[0]
+        assert KEY in text[start:end] and end - start <= len(KEY) + 10, text
+
+
+def is_random_plainly(candidate):
+    """The ratio by another path: ranks merged pair by pair."""
+    ranks = byte_bpe(Scan().vocabulary)._mergeable_ranks
+    total = 0
+    for piece in regex.findall(PIECES, candidate):
+        parts = [bytes([b]) for b in piece.encode()]
+        while len(parts) > 1:
+            rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if rank == 1 << 60:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        total += len(parts)
+    return len(candidate) < 2.2 * total
+
+
+def test_whole_runs_agree_with_a_plain_ratio():
+    rng = random.Random(11)
+    words = "internationalization configuration documentation administrator authentication reproducibility".split()
+    for i in range(300):
+        letters = rng.choice(["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHJKMNPQRSTVWXYZ23456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+        run = "".join(rng.choice(letters) for _ in range(rng.choice([20, 25, 33, 50]))) if i % 2 else "".join(rng.sample(words, 2))
+        if len(run) < 20 or any(k in run for k in ("AKIA",)):
+            continue
+        assert (find(f"use {run} now") == [("random", 4, 4 + len(run))]) == is_random_plainly(run), run
+
+
 def test_random_strings_of_one_case():
     rng = random.Random(3)
     for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
