@@ -15,9 +15,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from fernweft.llm.common import fresh, id_hash, word_count
+from fernweft.llm.common import WORD, fresh, id_hash, word_count
 from fernweft.materialize import materialize
 from fernweft.operators.prefix import bucket_bits, bucket_rows, running_total
 
@@ -44,7 +44,8 @@ def targets(rows: DataFrame, mix: Mix) -> DataFrame:
     Filling water: sources are ordered by cap over weight; the capped ones
     form a prefix of that order, and the first source whose share of what the
     prefix leaves stays below its cap fixes the level of all after it. The
-    windows run over the table of sources, one row each.
+    windows run over the table of sources, one row each, in one task: the number
+    of sources must fit there.
     """
     everything = Window.partitionBy()
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
@@ -70,7 +71,7 @@ def targets(rows: DataFrame, mix: Mix) -> DataFrame:
     return leveled.withColumn("open", open_from).select("source", "rank", "size_all", "rows", "budget", target.alias("target"))
 
 
-def queue(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str, extra: dict[str, Column]) -> DataFrame:
+def queue(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Every row with ``size, source_size, target, rank, place, cum, takes``.
 
     ``cum`` is the running total of sizes in the source's shuffled order and
@@ -82,7 +83,6 @@ def queue(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str
             F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col)).alias("size"),
             id_hash(F.col(id_col), mix.seed).alias("place"),
-            *[c.alias(k) for k, c in extra.items()],
         ),
         "mix-rows",
     )
@@ -137,35 +137,64 @@ def plan_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col
     source, id and size are interchangeable. An empty table gives an empty plan.
     Other columns are not read.
     """
-    rows = queue(docs, mix, id_col, text_col, source_col, {})
+    rows = queue(docs, mix, id_col, text_col, source_col)
     return rows.select(
         "doc_id", "source", "size", "source_size", "target", F.col("takes").cast("int").alias("takes"), (F.col("size") * F.col("takes")).alias("taken")
     )
 
 
+def edges(rows: DataFrame, mix: Mix) -> DataFrame:
+    """Where each source's takes end: for t from 1 to the epochs, ``last<t>`` is
+    the last place in its queue with t takes or more, ``all<t>`` the rows there
+    and ``some<t>`` those of them that are taken so often."""
+    levels = range(1, mix.epochs + 1)
+    key = F.struct("place", "doc_id", "size")
+    ends = rows.groupBy("source").agg(*[F.max(F.when(F.col("takes") >= t, key)).alias(f"last{t}") for t in levels])
+    met = rows.join(ends.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    out = []
+    for t in levels:
+        here = key == F.col(f"last{t}")
+        out += [
+            F.max(f"last{t}").alias(f"last{t}"),
+            F.count(F.when(here, 1)).alias(f"all{t}"),
+            F.count(F.when(here & (F.col("takes") >= t), 1)).alias(f"some{t}"),
+        ]
+    return met.groupBy("source").agg(*out)
+
+
 def apply_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents: each row as often as the mix takes it.
 
-    Columns are those of the input, under any names. Rows that repeat an id,
-    source and text are told apart by number, so their takes are shared out
-    among them. Other edge cases are those of ``plan_mix``.
+    A source's queue is taken up to a place, so a row's id and source tell how
+    often it is taken, and the documents are not shuffled. Only rows that
+    repeat at such a place, in id and size, are told apart by number.
+
+    Columns are those of the input, under any names. Other edge cases are those
+    of ``plan_mix``.
     """
-    mark, times, nth = fresh(docs.columns, "__mark", "__times", "__nth")
-    digest = F.xxhash64(F.col(text_col))
-    plan = (
-        queue(docs, mix, id_col, text_col, source_col, {"digest": digest})
-        .groupBy("doc_id", "source", "digest")
-        .agg(F.sum("takes").alias("all_takes"), F.count(F.lit(1)).alias("copies"))
-        .where("all_takes > 0")
-        .select(F.struct("doc_id", "source", "digest").alias("key"), "all_takes", "copies")
-    )
-    key = F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), digest.alias("digest"))
-    keyed = docs.withColumn(mark, key)
-    keyed = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(mark).orderBy(mark)))
-    plan = plan.select(F.col("key").alias(times + "_key"), F.col("all_takes").alias(times + "_all"), F.col("copies").alias(times + "_copies"))
+    ends = materialize(edges(queue(docs, mix, id_col, text_col, source_col), mix), "mix-edges")
+    of, end, place, times, tied = fresh(docs.columns, "__of", "__end", "__place", "__times", "__tied")
+    levels = range(1, mix.epochs + 1)
+    parted = ends.where(" or ".join(f"some{t} < all{t}" for t in levels)).first() is not None
+    ends = ends.select(F.col("source").alias(of), F.struct(*[c for c in ends.columns if c != "source"]).alias(end))
+    joined = docs.join(ends, F.col(source_col).cast("string").eqNullSafe(F.col(of))).withColumn(place, id_hash(F.col(id_col), mix.seed))
     # A struct is never null itself, and its null fields compare as equal.
-    joined = keyed.join(plan, F.col(mark) == F.col(times + "_key"))
-    every = F.expr(f"`{times}_all` div `{times}_copies`")
-    rest = F.when(F.col(nth) <= F.col(times + "_all") % F.col(times + "_copies"), 1).otherwise(0)
-    taken = joined.withColumn(times, (every + rest).cast("int")).where(F.col(times) > 0)
-    return taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    here, size = F.struct(F.col(place).alias("place"), F.col(id_col).alias("doc_id")), word_count(F.col(text_col))
+    whole, parts = F.lit(0), []
+    for t in levels:
+        last, every, some = (F.col(end)[f"{x}{t}"] for x in ("last", "all", "some"))
+        at = F.struct(last["place"].alias("place"), last["doc_id"].alias("doc_id"))
+        within = (here < at) | (here == at) & ((size < last["size"]) | (size == last["size"]) & (some == every))
+        whole += F.when(last.isNotNull() & within, 1).otherwise(0)
+        parts.append(last.isNotNull() & (here == at) & (size == last["size"]) & (some < every))
+    joined = joined.where(F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))).withColumn(times, whole)
+    row = times + "_row"
+    joined = joined.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), times, place, of, F.array(*[F.when(p, F.col(end)[f"some{t}"]) for t, p in zip(levels, parts)]).alias(tied))
+    if parted:
+        apart, slices = F.exists(tied, lambda n: n.isNotNull()), 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ties = materialize(joined.where(apart).withColumn("slice", F.pmod(F.monotonically_increasing_id(), F.lit(slices))), "mix-ties")
+        nth = running_total(ties, F.lit(1), "nth", within=[of, place], bucket="slice", order=[F.col(place)])
+        more = F.aggregate(tied, F.lit(0), lambda n, some: n + F.when(F.col("nth") <= some, 1).otherwise(0))
+        joined = joined.where(~apart).select(row, times).unionByName(nth.select(row, (F.col(times) + more).alias(times)))
+    taken = joined.where(F.col(times) > 0)
+    return taken.select(row, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(row)[c].alias(c) for c in docs.columns])

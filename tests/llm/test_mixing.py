@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import duckdb
 import pandas as pd
 import pytest
 
 from fernweft.llm.mixing import Mix, apply_mix, plan_mix
 from fernweft.llm.queries.op9 import ORACLE
+from tests.test_plans import plan as plan_of
 from tools.compare import differences
 
 SCHEMA = "doc_id bigint, text string, source string"
@@ -77,6 +80,27 @@ def test_applied_mix_repeats_rows_as_planned(spark):
     assert {tuple(r) for r in mixed.collect()} <= set(rows)
 
 
+def counted(rows):
+    """Rows by what the plan tells apart."""
+    return Counter((r[0], r[2], len((r[1] or "").split())) for r in rows)
+
+
+@pytest.mark.parametrize("copies", [7, 500])
+def test_takes_of_repeated_rows_are_shared_out(spark, copies):
+    """One row is a third of the table and its source ends amid the copies."""
+    rows = [(1, "a b c", "hot")] * copies + [(None, "u v", "hot")] * 5 + [(i, "w " * (i % 9), f"s{i % 3}") for i in range(2, copies)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    planned = Counter()
+    for r in plan_mix(docs).where("takes > 0").collect():
+        planned[(r.doc_id, r.source, r.size)] += r.takes
+    assert counted(apply_mix(docs).collect()) == planned
+
+
+def test_documents_are_not_shuffled(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert "Exchange hashpartitioning" not in plan_of(apply_mix(docs)) and "Window" not in plan_of(apply_mix(docs))
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert plan_mix(empty).count() == 0 and apply_mix(empty, Mix()).count() == 0
