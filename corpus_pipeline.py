@@ -17,40 +17,55 @@ from fernweft.tables import read_table
 SHARDS = 8
 #: Made-up texts that the net learns, as a share of the labelled windows.
 STRANGERS = 0.5
-#: Probability of any known language that a document needs. Held-out documents
-#: score higher (README), and gibberish and other scripts lower.
+#: Languages that the corpus keeps; None: all that its labels name.
+LANGUAGES: tuple[str, ...] | None = None
+#: Probability of all known languages together that a document needs, and the
+#: share in it of the likeliest. Labelled documents have more, and gibberish and
+#: other scripts, or texts in which the net sees no one language, less (README).
 LEAST_KNOWN = 0.05
+LEAST_SHARE = 0.33
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no known language: null, free of letters, or by
-    the net most likely made-up.
+    """Rejects documents by their language: null or free of letters, in a
+    language that is not kept, or in none that the net is sure of.
 
     The net is fitted on a bounded draw of the input's labelled rows and on
-    made-up texts. A text counts as known by the sum of all languages, so a
-    mixed one does not score low."""
-    return langid.reject_unknown(docs, langid.train(docs, langid.Training(strangers=STRANGERS)), LEAST_KNOWN)
+    made-up texts. Long texts are scored whole, repeated rows stay or go
+    together, an empty table gives no rows."""
+    net = langid.train(docs, langid.Training(strangers=STRANGERS))
+    return langid.reject_unknown(docs, net, LEAST_KNOWN, LEAST_SHARE, LANGUAGES)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies:
-    SimHash over three-word shingles, links at two or fewer differing bits."""
+    SimHash over three-word shingles, links at two or fewer differing bits.
+
+    Texts without words are one group. Repeated rows leave one, long texts are
+    read whole, an empty table gives no rows."""
     return simhash.deduplicate(docs, width=3, radius=2)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a test item, verbatim or edited."""
+    """Drops documents that hold a test item, verbatim or edited.
+
+    Null and empty texts stay, long ones are searched whole, repeated rows stay
+    or go together, an empty table gives no rows."""
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), decontaminate.Matching())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents until each source is near its target share of words,
-    where a document appears as often as it is taken."""
+    where a document appears as often as it is taken.
+
+    Rows without words are not taken; of repeated rows each counts. A null
+    source is a source. An empty table gives no rows."""
     return mixing.apply_mix(docs, mixing.Mix(weights=(5, 2, 1), share=1.0, epochs=3))
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the column ``shard``; every document and its copies stay."""
+    """Adds the column ``shard``, in place of one of that name; every document
+    and its copies stay. Repeated rows and null ids go to one shard each."""
     return sharding.shard_of(docs, sharding.shard_tree(SHARDS), "shard")
 
 

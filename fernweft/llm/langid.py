@@ -33,13 +33,15 @@ SCRIPTS = (
 class Training:
     """Bounds and settings of a fit.
 
-    About ``rows_per_language`` labelled texts at most are drawn for each
-    language and ``rows`` in all, and ``windows`` windows of ``window``
-    characters from each; the net's windows are of ``window`` bytes.
+    The ``languages`` with most labelled texts are learned. About
+    ``rows_per_language`` of their texts at most are drawn for each and ``rows``
+    in all, and ``windows`` windows of ``window`` bytes from each, as long as
+    the net's.
     ``strangers``: made-up texts, as a share of those windows, that the net
     learns as ``und``; without them it knows only the labelled languages.
     """
 
+    languages: int = 500
     rows_per_language: int = 1500
     rows: int = 60_000
     windows: int = 3
@@ -157,15 +159,17 @@ class ByteNet:
             np.add.at(sizes, owners, weights)
         return judged, sums, sizes
 
-    def known(self, texts: list[str | None]) -> list[float]:
-        """Probability that each text is of any known language, whichever it
-        is: -1 without letters, and 1 with letters if nothing else is known."""
+    def known(self, texts: list[str | None]) -> list[tuple[float, float, str]]:
+        """Probability that each text is of any known language, the share of
+        the likeliest in it, and its name; (-1, 0, und) without letters, and
+        (1, 1, und) with letters if the net knows no language."""
         if set(self.languages) <= {UNKNOWN}:
-            return [1.0 if has_letters(t) else -1.0 for t in texts]
+            return [(1.0, 1.0, UNKNOWN) if has_letters(t) else (-1.0, 0.0, UNKNOWN) for t in texts]
         judged, sums, sizes = self.weighed(texts)
-        out, languages = [-1.0] * len(texts), [k for k, name in enumerate(self.languages) if name != UNKNOWN]
+        out, known = [(-1.0, 0.0, UNKNOWN)] * len(texts), [k for k, name in enumerate(self.languages) if name != UNKNOWN]
         for i in judged:
-            out[i] = float(min(1.0, sums[i, languages].sum() / sizes[i]))
+            k, total = max(known, key=lambda k: sums[i, k]), sums[i, known].sum()
+            out[i] = (float(min(1.0, total / sizes[i])), float(sums[i, k] / total), self.languages[k])
         return out
 
 
@@ -179,10 +183,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def cut(text: str, window: int) -> tuple[np.ndarray, np.ndarray]:
+def cut(text: str | bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
     """A text's bytes, A-Z lower-cased, as windows filled up with zeros, and
     the number of bytes in each."""
-    raw = np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8)
+    raw = text if isinstance(text, bytes) else text.encode("utf-8", "replace")
+    raw = np.frombuffer(raw.lower(), np.uint8)
     n = -(-len(raw) // window)
     full = np.zeros(n * window, np.uint8)
     full[: len(raw)] = raw
@@ -209,8 +214,8 @@ def lots(texts: Iterator[tuple[int, str]], window: int) -> Iterator[tuple[np.nda
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
-def sample(labelled: DataFrame, t: Training, text_col: str, lang_col: str) -> list[tuple[str, list[str]]]:
-    """Up to a bounded number of texts of each language, as windows of text.
+def sample(labelled: DataFrame, t: Training, text_col: str, lang_col: str) -> list[tuple[str, list[bytes]]]:
+    """Up to a bounded number of texts of each language, as windows of bytes.
 
     Rows with null language or text are left out. The draw is by a hash of the
     text, so equal texts and languages with most rows do not crowd out others,
@@ -219,17 +224,18 @@ def sample(labelled: DataFrame, t: Training, text_col: str, lang_col: str) -> li
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # The net has an output for each language, so the driver may hold a number
     # for each; a join would shuffle texts by language.
-    counts = dict(rows.groupBy("lang").count().collect())
+    counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(t.languages).collect())
     if not counts:
         return []
     limits = [x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, t.rows_per_language / n) * float(1 << 30)))]
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.create_map(*limits)[F.col("lang")]
-    size = F.greatest(F.lit(1), F.length("text") - t.window)
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.coalesce(F.create_map(*limits)[F.col("lang")], F.lit(-1.0))
+    raw = F.encode("text", "utf-8")
+    size = F.greatest(F.lit(1), F.octet_length(raw) - t.window)
     starts = [F.pmod(F.xxhash64("text", F.lit(k)), size.cast("long")).cast("int") + 1 for k in range(t.windows)]
-    windows = F.array(*[F.substring("text", s, F.lit(t.window)) for s in starts])
+    windows = F.array(*[F.substring(raw, s, F.lit(t.window)) for s in starts])
     picked = rows.where(drawn).select("lang", windows.alias("windows"), F.xxhash64("text").alias("key"))
     picked = picked.dropDuplicates(["lang", "key"]).orderBy("key", "lang").limit(t.rows)
-    return sorted((r["lang"], r["windows"]) for r in picked.toLocalIterator())
+    return sorted((r["lang"], [bytes(w) for w in r["windows"]]) for r in picked.toLocalIterator())
 
 
 def made_up(n: int, learned: list[str], t: Training) -> list[str]:
@@ -259,9 +265,11 @@ def train(labelled: DataFrame, t: Training = Training(), text_col: str = "text",
     Without usable rows the net knows no language and answers ``und``.
     """
     drawn = sample(labelled, t, text_col, lang_col)
-    texts = [(lang, w) for lang, ws in drawn for w in ws if has_letters(w)]
+    # A window may start or end within a character, as all windows may.
+    texts = [(lang, w) for lang, ws in drawn for w in ws if has_letters(w.decode("utf-8", "ignore"))]
     if texts and t.strangers:
-        texts += [(UNKNOWN, w) for w in made_up(int(len(texts) * t.strangers), [w for _, w in texts], t) if has_letters(w)]
+        learned = [w.decode("utf-8", "ignore") for _, w in texts]
+        texts += [(UNKNOWN, w.encode()) for w in made_up(int(len(texts) * t.strangers), learned, t) if has_letters(w)]
     languages = sorted({lang for lang, _ in drawn} | {lang for lang, _ in texts})
     net = ByteNet.initial(languages, t)
     pairs = [(cut(w, t.window)[0][0], languages.index(lang)) for lang, w in texts]
@@ -293,14 +301,20 @@ def identify(docs: DataFrame, net: ByteNet, name: str = "language", text_col: st
     return docs.withColumn(name, language_column(net, F.col(text_col)))
 
 
-def reject_unknown(docs: DataFrame, net: ByteNet, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """Rows with letters that are of known languages, whichever they are, with
-    probability ``least_score`` or more, with all columns of the input. A net
-    without languages rejects only texts without letters."""
+def reject_unknown(docs: DataFrame, net: ByteNet, least_known: float = 0.0, least_share: float = 0.0, languages: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
+    """Rows of known languages with probability ``least_known`` or more, the
+    likeliest of which has ``least_share`` of that and is among ``languages``
+    (None: any that the net knows), with all columns of the input.
 
-    @F.arrow_udf("double")
-    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    Null texts and texts without letters go; a net without languages rejects
+    only those. Long texts are scored whole. Rows are judged one by one, so
+    repeated rows stay or go together. An empty table gives no rows."""
+
+    @F.arrow_udf("boolean")
+    def stays(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(net.known(texts.to_pylist()), pa.float64())
+            found = net.known(texts.to_pylist())
+            fits = [p >= max(0.0, least_known) and s >= least_share and (languages is None or name in (*languages, UNKNOWN)) for p, s, name in found]
+            yield pa.array(fits, pa.bool_())
 
-    return docs.where(known(F.col(text_col)) >= max(0.0, least_score))
+    return docs.where(stays(F.col(text_col)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fernweft.llm.langid import ByteNet, Training, cut, identify, lots, reject_unknown, train
+from fernweft.llm.langid import ByteNet, Training, cut, identify, lots, reject_unknown, sample, train
 from fernweft.llm.queries import op8
 
 SMALL = Training(widths=(1, 3), filters=3, embedding=2, window=16)
@@ -34,6 +36,48 @@ def test_gradients_agree_with_differences():
                 assert gradient[at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
 
 
+def plain_probabilities(net, window):
+    """The net's answer for one window: loops over places, filters and bytes."""
+    wide, depth, n = net.kernel.shape
+    pooled = []
+    for f in range(n):
+        values = []
+        for at in range(len(window) - wide + 1):
+            values.append(sum(net.table[window[at + k]][d] * net.kernel[k][d][f] for k in range(wide) for d in range(depth)))
+        pooled.append(max(0.0, max(values) + net.bias[f]))
+    scores = [sum(pooled[f] * net.out[f][c] for f in range(n)) + net.out_bias[c] for c in range(len(net.languages))]
+    whole = sum(math.exp(x) for x in scores)
+    return [math.exp(x) / whole for x in scores]
+
+
+def test_forward_pass_agrees_with_plain_loops():
+    net = ByteNet.initial(["x", "y", "z"], SMALL)
+    rng = np.random.default_rng(1)
+    net.bias, net.out_bias = rng.standard_normal(net.bias.shape), rng.standard_normal(3)
+    windows = rng.integers(0, 256, (12, 16)).astype(np.uint8)
+    for window, got in zip(windows, net.probabilities(windows)):
+        assert got == pytest.approx(plain_probabilities(net, window), abs=1e-5)
+
+
+def test_answers_of_texts_agree_with_plain_loops():
+    net = ByteNet.initial(["x", "y", "z"], SMALL)
+    texts = ["Short.", "A text of several windows, é ß, and a rest", "z" * 33]
+    for text, name, score in zip(texts, *net.predict(texts)):
+        raw = text.encode().lower()
+        sums = np.zeros(3)
+        for at in range(0, len(raw), 16):
+            part = raw[at : at + 16]
+            sums += np.array(plain_probabilities(net, part + bytes(16 - len(part)))) * len(part)
+        assert name == net.languages[int(sums.argmax())] and score == pytest.approx(sums.max() / len(raw), abs=1e-5)
+
+
+def test_drawn_windows_are_as_long_as_the_nets(spark):
+    docs = spark.createDataFrame([("é" * 900, "x"), ("日本語" * 300, "y"), ("short", "y"), ("rare", "z")], "text string, lang string")
+    drawn = sample(docs, Training(languages=2), "text", "lang")
+    assert {lang for lang, _ in drawn} == {"x", "y"}
+    assert sorted({len(w) for _, ws in drawn for w in ws}) == [5, 128]
+
+
 def test_windows_cover_the_whole_text():
     text = "é" * 5000 + "tail"
     windows, weights = cut(text, 64)

@@ -62,6 +62,17 @@ def test_language_id_rejects_gibberish_and_other_scripts_unless_nothing_is_known
     assert Counter(corpus_pipeline.identify_language(spark, blank.unionByName(odd), "").collect()) == Counter(blank.collect())
 
 
+def test_language_id_follows_the_net(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shuffled = docs.withColumn("lang", F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int") + 1))
+    assert corpus_pipeline.identify_language(spark, shuffled, "").count() <= 0.2 * docs.count(), "a net that learned nothing is sure of nothing"
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("en", "es"))
+    kept = Counter(r.lang for r in corpus_pipeline.identify_language(spark, docs, "").select("lang").collect())
+    every = Counter(r.lang for r in docs.select("lang").collect())
+    for lang, n in every.items():
+        assert kept[lang] >= 0.99 * n if lang in ("en", "es") else kept[lang] <= 0.01 * n, lang
+
+
 def test_near_dedup_keeps_one_of_each_group(stages):
     before, after = stages["near_dedup"]
     prints = {r.doc_id: plain_fingerprint(r.text) for r in before}
@@ -99,3 +110,46 @@ def test_shards_follow_the_tree(stages):
 def test_run_writes_the_same(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.columns[-1] == "shard" and rows.count() > 0
+
+
+CLASHING = SCHEMA + ", shard string, __mark string, __leaks int, __times string, __end int"
+
+
+@pytest.fixture(scope="module")
+def odd_rows():
+    rng = random.Random(9)
+    prose = lambda k: " ".join(rng.choice("the and that with for are from this house water small over river under light again".split()) for _ in range(k))
+    rows = [(i, prose(rng.randrange(3, 60)), "en", f"s{i % 3}", 1) for i in range(60)]
+    rows += [(100, prose(150_000), "en", "s1", None), (101, None, None, None, None), (102, "", "en", None, 0), (None, prose(20), None, "s2", 4)]
+    return rows + rows[:1] * 25 + [(103, rows[1][1], "en", "s0", 1)]
+
+
+def run_stages(spark, docs, sf_dir, folder):
+    found = {}
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        assert docs.columns == columns or name == "shard" and set(docs.columns) == {*columns, "shard"}
+        found[name] = docs
+    return found
+
+
+def test_repeated_long_and_null_rows_and_clashing_columns(spark, sf_dir, tmp_path, odd_rows):
+    rows = [(*r, "x", "y", 7, "z", 8) for r in odd_rows]
+    found = run_stages(spark, spark.createDataFrame(rows, CLASHING), sf_dir, tmp_path)
+    known = Counter(found["language_id"].collect())
+    assert known == Counter(r for r in rows if r[1]), "only rows without letters go"
+    deduped = found["near_dedup"].collect()
+    assert set(deduped) <= set(rows) and len({r.text for r in deduped}) == len(deduped) and any(len(r.text) > 500_000 for r in deduped)
+    prints = {r[1]: plain_fingerprint(r[1]) for r in rows if r[1]}
+    assert not [1 for a in deduped for b in deduped if a is not b and (prints[a.text] ^ prints[b.text]).bit_count() <= 2]
+    assert Counter(found["decontaminate"].collect()) == Counter(deduped)
+    mixed = found["mix"].collect()
+    assert set(mixed) <= set(deduped) and max(Counter(mixed).values()) <= 3
+    assert all(r.shard in range(8) and r["__mark"] == "y" for r in found["shard"].collect())
+
+
+def test_empty_tables_go_through_all_stages(spark, sf_dir, tmp_path):
+    found = run_stages(spark, spark.createDataFrame([], SCHEMA), sf_dir, tmp_path)
+    assert all(df.count() == 0 for df in found.values())
