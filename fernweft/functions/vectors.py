@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fernweft.materialize import materialize, release
+
 #: Bytes of query vectors that every executor holds at once.
 BLOCK_BYTES = 64 << 20
 
@@ -21,28 +24,22 @@ def top_neighbours(rows: DataFrame, queries: DataFrame, id_col: str, vector_col:
     """The ``k`` rows of greatest dot product for each query, itself left out.
 
     Columns ``query_id, neighbour_id, score, rank``; ties go to the smaller
-    id. Queries are taken in blocks of bounded size, each of which meets all
-    rows in one pass; a task keeps ``k`` rows for each query, so what is
-    shuffled does not grow with its rows. Null vectors match nothing.
+    id. Queries are dealt into blocks of about ``block_bytes``, each of which
+    meets all rows in one pass; its result is written and its vectors are
+    withdrawn before the next is sent. A task keeps ``k`` rows for each query,
+    so what is shuffled does not grow with its rows. Null vectors match nothing.
     """
-    out: DataFrame | None = None
-    held, size = [], 0
-    wanted = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col)
-    for query_id, vector in wanted.toLocalIterator():
-        held.append((query_id, np.array(vector, np.float64)))
-        size += held[-1][1].nbytes
-        if size >= block_bytes:
-            out, held, size = _joined(out, _block(rows, held, id_col, vector_col, k)), [], 0
-    if held or out is None:
-        out = _joined(out, _block(rows, held, id_col, vector_col, k))
-    return out
-
-
-def _joined(out: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if out is None else out.unionByName(more)
+    wanted = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    n, dims = wanted.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    count = max(1, -(-n * (dims or 0) * 8 // block_bytes))
+    dealt = materialize(wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count))), "queries")
+    parts = [_block(rows, dealt.where(F.col("block") == b), id_col, vector_col, k) for b in range(count)]
+    release(dealt)
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _block(rows: DataFrame, held: list[tuple[int, np.ndarray]], id_col: str, vector_col: str, k: int) -> DataFrame:
+def _block(rows: DataFrame, block: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
+    held = [(r["id"], np.array(r["vector"], np.float64)) for r in block.select("id", "vector").toLocalIterator()]
     ids = np.array([i for i, _ in held], np.int64)
     matrix = np.stack([v for _, v in held]) if held else np.zeros((0, 1))
     shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -70,4 +67,6 @@ def _block(rows: DataFrame, held: list[tuple[int, np.ndarray]], id_col: str, vec
     vectors = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col)
     found = vectors.mapInArrow(best, "query_id bigint, neighbour_id bigint, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k)
+    best_rows = materialize(found.withColumn("rank", place).where(F.col("rank") <= k), "neighbours")
+    shared.destroy()
+    return best_rows

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], *, strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], *, strict: bool = False, slot: Column | None = None) -> DataFrame:
     """Each left row with ``values`` of the latest right row of its group.
 
     Latest is by ``on``, at or before the left row's (before, if ``strict``).
@@ -13,12 +13,24 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values:
     value is carried on, so the cost is one shuffle and sort, without a range
     comparison. Right rows that tie on ``on`` are ordered by their values, and
     the last wins. Groups are null-safe; without a match values are null.
+
+    ``slot``, an expression of ``on`` that never falls as ``on`` rises, cuts a
+    group's order into slots, so that no task holds a hot group: each slot
+    starts with the last right row before it, found in a table of slots.
     """
     pick = F.struct(*values)
     before = left.select("*", F.lit(None).cast(right.select(pick.alias("p")).schema["p"].dataType).alias("__right"), F.lit(0 if strict else 1).alias("__side"))
     after = right.select(*by, on, pick.alias("__right"), F.lit(1 if strict else 0).alias("__side"))
     merged = before.unionByName(after.withColumn("__from_right", F.lit(True)), allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy(F.col(on).asc_nulls_first(), "__side", F.col("__right").asc_nulls_first())
+    groups = list(by)
+    if slot is not None:
+        merged, groups = merged.withColumn("__slot", slot), [*by, "__slot"]
+        latest = F.max(F.when(F.col("__from_right"), F.struct(on, "__right"))).alias("__latest")
+        over = Window.partitionBy(*by).orderBy(F.col("__slot").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        known = merged.groupBy(*groups).agg(latest).withColumn("__latest", F.last("__latest", ignorenulls=True).over(over))
+        heads = known.where(F.col("__latest").isNotNull()).select(*groups, F.col("__latest.__right").alias("__right"), F.lit(-1).alias("__side"), F.lit(True).alias("__from_right"))
+        merged = merged.unionByName(heads, allowMissingColumns=True)
+    order = Window.partitionBy(*groups).orderBy(F.col(on).asc_nulls_first(), "__side", F.col("__right").asc_nulls_first())
     carried = F.last("__right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = merged.withColumn("__found", carried).where(F.col("__from_right").isNull())
     return found.select(*left.columns, *[F.col(f"__found.{v}").alias(f"right_{v}") for v in values])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fernweft.operators.asof import asof_join, interval_join
+from fernweft.operators.prefix import running_total
 from fernweft.operators.skew import salted_distinct_count, salted_join
 from fernweft.operators.topk import top_per_group
 from fernweft.plans.catalog import Catalog
@@ -92,7 +93,8 @@ def interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
     buys, clicks = events.where("event_type = 'purchase'"), events.where("event_type = 'click'")
-    return asof_join(buys, clicks, ["user_id"], "ts", ["event_id", "value"]).select("event_id", "right_event_id", "right_value")
+    found = asof_join(buys, clicks, ["user_id"], "ts", ["event_id", "value"], slot=F.to_date("ts"))
+    return found.select("event_id", "right_event_id", "right_value")
 
 
 CATALOG.add_sql(
@@ -192,6 +194,12 @@ CATALOG.add_sql(
               round(regr_slope(l_extendedprice, l_quantity), 6) as slope
        from lineitem group by l_returnflag""",
 )
+CATALOG.add_sql(
+    "a12_collect_list",
+    "nation",
+    "select n_regionkey, array_join(array_sort(collect_list(n_name)), ',') as names, size(collect_list(n_nationkey)) as n from {nation} group by n_regionkey",
+    "select n_regionkey, array_to_string(list_sort(list(n_name)), ',') as names, cast(len(list(n_nationkey)) as int) as n from nation group by n_regionkey",
+)
 CATALOG.add_sql(
     "a12_mode_any_kurtosis",
     "lineitem",
@@ -243,14 +251,19 @@ def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_per_group(orders, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2).drop("rank")
 
 
-CATALOG.add_sql(
+@CATALOG.add(
     "o1_sort_nulls",
-    "part",
-    """select p_partkey, row_number() over (order by small nulls last, p_partkey) * 1L as place
-       from (select p_partkey, nullif(p_size % 5, 0) as small from {part})""",
     """select p_partkey, row_number() over (order by small nulls last, p_partkey) as place
        from (select p_partkey, nullif(p_size % 5, 0) as small from part)""",
 )
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in an order of the whole table, counted in buckets along it."""
+    parts = read_table(spark, sf_dir, "part").select("p_partkey", F.expr("nullif(p_size % 5, 0)").alias("small"))
+    # Keys fit 48 bits; nulls come last, as 5 is beyond all remainders.
+    bucket = F.shiftleft(F.coalesce("small", F.lit(5)).cast("long"), 48) + F.shiftright("p_partkey", 12)
+    return running_total(parts.withColumn("bucket", bucket), F.lit(1), "place", within=[], bucket="bucket", order=[F.col("p_partkey")]).select("p_partkey", "place")
+
+
 CATALOG.add_sql("o2_top_k", "orders", "select o_orderkey, o_totalprice from {orders} order by o_totalprice desc, o_orderkey limit 20")
 CATALOG.add_sql("o2_offset", "orders", "select o_orderkey, o_totalprice from {orders} order by o_totalprice desc, o_orderkey limit 20 offset 10")
 for op in ("intersect", "except", "intersect all", "except all", "union", "union all"):

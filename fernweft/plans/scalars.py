@@ -75,6 +75,19 @@ CATALOG.add_sql(
     "select from_json(props, 'k int').k as k, to_json(named_struct('n', count(*))) as js, count(variant_get(parse_json(props), '$.k', 'int')) as n from {events} group by 1",
     "select cast(json_extract_string(props, '$.k') as int) as k, '{\"n\":' || count(*) || '}' as js, count(*) as n from events group by 1",
 )
+CATALOG.add_sql(
+    "f10_json_tuple",
+    "events",
+    "select event_id, k, missing from {events} lateral view json_tuple(props, 'k', 'none') t as k, missing",
+    "select event_id, json_extract_string(props, '$.k') as k, json_extract_string(props, '$.none') as missing from events",
+)
+CATALOG.add_sql(
+    "f11_arrays_zip",
+    "nation",
+    """select n_nationkey, zipped[1].a as a, zipped[1].b as b, size(zipped) as n
+       from (select n_nationkey, arrays_zip(a, b) as zipped from (select n_nationkey, array(n_name, 'x') as a, array(1, n_regionkey, 3) as b from {nation}))""",
+    "select n_nationkey, 'x' as a, n_regionkey as b, 3 as n from nation",
+)
 CATALOG.add_sql(
     "f11_arrays",
     "embeddings",
@@ -91,6 +104,19 @@ CATALOG.add_sql(
               transform_values(m, (k, v) -> upper(v))['key'] as up from (select n_nationkey, map('name', n_name, 'key', concat('k', n_regionkey)) as m from {nation})""",
     "select n_nationkey, n_name as name, 'key,name' as keys, 'k' || n_regionkey as rest, 'K' || n_regionkey as up from nation",
 )
+CATALOG.add_sql(
+    "f12_map_pairs",
+    "nation",
+    """select n_nationkey, array_join(array_sort(transform(map_entries(m), e -> concat(e.key, '=', e.value))), ',') as entries, map_zip_with(m, w, (k, a, b) -> concat(a, b))['key'] as pair
+       from (select n_nationkey, map('name', n_name, 'key', concat('k', n_regionkey)) as m, map('key', 'z', 'more', 'y') as w from {nation})""",
+    "select n_nationkey, 'key=k' || n_regionkey || ',name=' || n_name as entries, 'k' || n_regionkey || 'z' as pair from nation",
+)
+CATALOG.add_sql(
+    "f13_soundex",
+    "nation",
+    "select n_nationkey, soundex(word) as sound from (select n_nationkey, element_at(array('Robert', 'Rupert', 'Tymczak', 'Honeyman'), n_regionkey % 4 + 1) as word from {nation})",
+    "select n_nationkey, ['R163', 'R163', 'T522', 'H555'][n_regionkey % 4 + 1] as sound from nation",
+)
 CATALOG.add_sql(
     "f13_strings",
     "part",

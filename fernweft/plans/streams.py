@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fernweft.materialize import new_path
 from fernweft.plans.catalog import Catalog
-from fernweft.streaming.runs import run_append, run_complete, run_memory, stream_table
+from fernweft.streaming.runs import ROCKSDB, run_append, run_append_parts, run_complete, run_memory, stream_table
 from fernweft.streaming.windows import first_seen, paired, running_counts, sessions, sliding, timed, tumbling
 from fernweft.tables import read_table
 
@@ -102,7 +102,7 @@ def stream_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.add("t8_arbitrary_state", "select user_id, count(*) as n from events group by user_id")
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = run_append(running_counts(stream_table(spark, sf_dir, "events").select("user_id"), "user_id"), "counts")
+    counts = run_append(running_counts(stream_table(spark, sf_dir, "events").select("user_id"), "user_id"), "counts", ROCKSDB)
     return counts.groupBy("user_id").agg(F.max("n").alias("n"))
 
 
@@ -122,14 +122,15 @@ def memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of a stream in which each fiftieth event comes last, when
     the watermark has closed its hour: it is dropped, the others are counted.
-    Spark drops by the watermark of the batch before, so a batch lies between."""
+    Spark drops by the watermark of the batch before, so a batch lies between.
+    The stream is stopped and taken up again between the parts, each of which
+    arrives as any number of files."""
     events, source = read_table(spark, sf_dir, "events"), new_path(spark, "late")
     timely = events.where("event_id % 50 <> 0")
-    for part in (timely.where("event_id % 50 <> 1"), timely.where("event_id % 50 = 1")):
-        part.coalesce(1).write.mode("append").parquet(source)
     cutoff = timely.agg((F.max("ts") - F.expr("interval 3 hours")).alias("t"))
     late = events.where("event_id % 50 = 0").join(F.broadcast(cutoff), F.col("ts") < F.col("t")).drop("t")
-    late.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    events.limit(0).write.parquet(source)
+    parts = [timely.where("event_id % 50 <> 1"), timely.where("event_id % 50 = 1"), late]
+    stream = spark.readStream.schema(events.schema).parquet(source)
     counted = tumbling(timed(stream, "ts", "1 hour"), "ts", "1 hour", [], n=F.count(F.lit(1)))
-    return plain(run_append(counted, "late-hours"))
+    return plain(run_append_parts(counted, parts, source, "late-hours"))

@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from fernweft.materialize import new_path
 from fernweft.tables import read_table
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Keeps state on the executors' disks; arbitrary state needs it.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = 1) -> DataFrame:
     """A table as a stream of its files, all in one batch without a number.
@@ -27,11 +31,20 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run_append(stream: DataFrame, label: str = "stream") -> DataFrame:
-    """Run to the end of the input with an exactly-once Parquet sink."""
+def run_append(stream: DataFrame, label: str = "stream", provider: str | None = None) -> DataFrame:
+    """Run to the end of the input with an exactly-once Parquet sink.
+
+    ``provider`` names the class that keeps the state, if not the session's."""
     spark, out = stream.sparkSession, new_path(stream.sparkSession, label)
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", out + "-state").option("path", out)
-    query = writer.trigger(availableNow=True).start()
+    before = spark.conf.get(PROVIDER, None)
+    if provider:
+        spark.conf.set(PROVIDER, provider)
+    try:
+        query = writer.trigger(availableNow=True).start()
+    finally:
+        if provider:
+            spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
     try:
         query.awaitTermination()
     finally:
@@ -39,6 +52,21 @@ def run_append(stream: DataFrame, label: str = "stream") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_append_parts(stream: DataFrame, parts: list[DataFrame], source: str, label: str = "stream") -> DataFrame:
+    """Write each part to the folder that the stream reads and run it to the
+    end, one after the other, from one checkpoint and into one sink."""
+    spark, out = stream.sparkSession, new_path(stream.sparkSession, label)
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", out + "-state").option("path", out)
+        query = writer.trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+        finally:
+            query.stop()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def run_complete(stream: DataFrame, label: str = "stream") -> DataFrame:
     """Run to the end of the input; each batch writes the whole result anew,
     under its number, and the last is returned. A batch that is run again

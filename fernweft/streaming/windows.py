@@ -10,7 +10,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def timed(df: DataFrame, ts: str, delay: str | None = None) -> DataFrame:
@@ -54,12 +54,19 @@ def paired(left: DataFrame, right: DataFrame, by: str, ts: str, seconds: int, de
 
 def running_counts(df: DataFrame, key: str) -> DataFrame:
     """Rows of each key so far, in arbitrary state kept by Python; one output
-    row for each key and batch."""
+    row for each key and batch. Needs the RocksDB provider of state."""
+    kind = dict(df.dtypes)[key]
 
-    def count(k: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = (state.get[0] if state.exists else 0) + sum(len(p) for p in parts)
-        state.update((n,))
-        yield pd.DataFrame({key: [k[0]], "n": [n]})
+    class Count(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.seen = handle.getValueState("seen", "n bigint")
 
-    kind = dict(df.dtypes)[key]
-    return df.groupBy(key).applyInPandasWithState(count, f"{key} {kind}, n bigint", "n bigint", "append", GroupStateTimeout.NoTimeout)
+        def handleInputRows(self, key_: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+            n = (self.seen.get()[0] if self.seen.exists() else 0) + sum(len(part) for part in rows)
+            self.seen.update((n,))
+            yield pd.DataFrame({key: [key_[0]], "n": [n]})
+
+        def close(self) -> None:
+            pass
+
+    return df.groupBy(key).transformWithStateInPandas(Count(), f"{key} {kind}, n bigint", "append", "none")

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 
 from fernweft.functions.vectors import top_neighbours
@@ -14,6 +15,7 @@ from fernweft.operators.asof import asof_join, interval_join
 from fernweft.operators.prefix import bucket_bits, bucket_rows, running_total
 from fernweft.operators.skew import salted_distinct_count, salted_join, two_step_sum
 from fernweft.operators.topk import top_per_group
+from fernweft.plans.extensions import CATALOG as EXTENSIONS
 from fernweft.sources.files import read_files, round_trip
 
 START = datetime(2024, 1, 1)
@@ -28,6 +30,32 @@ def test_asof_takes_latest_at_or_before_with_null_groups(spark):
     assert strict[("a", 5)] == 40
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_in_slots_agrees_with_one_order(spark, strict):
+    rng = random.Random(6)
+    make = lambda n: [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, *range(60)]), i) for i in range(n)]
+    left, right = (spark.createDataFrame(make(n), "g string, t int, v int") for n in (200, 40))
+    whole = asof_join(left, right, ["g"], "t", ["v"], strict=strict)
+    for width in (1, 7, 100):
+        slots = asof_join(left, right, ["g"], "t", ["v"], strict=strict, slot=F.floor(F.col("t") / width))
+        assert sorted(map(str, slots.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_estimates_keep_their_error_bounds(spark, sf_dir):
+    orders, events = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("orders", "events"))
+    exact = {r[0]: r[1] for r in orders.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey")).collect()}
+    for r in EXTENSIONS.queries["a8_approx_distinct"](spark, "/root/testdata/sf0.1").collect():
+        assert abs(r.customers / exact[r.o_orderstatus] - 1) <= 3 * 0.02
+    users = {r[0]: r[1] for r in events.groupBy("event_type").agg(F.count_distinct("user_id")).collect()}
+    values = {r[0]: sorted(r[1]) for r in events.groupBy("event_type").agg(F.collect_list("value")).collect()}
+    for r in EXTENSIONS.queries["a13_sketches"](spark, "/root/testdata/sf0.1").collect():
+        assert abs(r.users / users[r.event_type] - 1) <= 3 * 1.04 / 2**6, "HLL of 2^12 registers"
+        own = values[r.event_type]
+        place = sum(v <= r.middle for v in own) / len(own)
+        assert abs(place - 0.5) <= 1 / 10_000 + 1 / len(own), "rank error of 1 / accuracy"
+        assert r.sketch_bytes > 0
+
+
 def test_interval_join_agrees_with_nested_loops(spark):
     rng = random.Random(1)
     rows = [(rng.choice("ab"), START + timedelta(seconds=rng.randrange(500)), i) for i in range(120)]
@@ -73,11 +101,16 @@ def test_top_per_group_prunes_before_the_shuffle(spark):
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
 
 
-def test_neighbours_in_blocks_agree_with_brute_force(spark):
+def test_neighbours_in_blocks_agree_with_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vectors = rng.standard_normal((60, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(99, None)], "i int, v array<double>")
+    live, most = set(), []
+    send, destroy = type(spark.sparkContext).broadcast, Broadcast.destroy
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: (b := send(self, x), live.add(id(b)), most.append(len(live)))[0])
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (live.discard(id(self)), destroy(self, *a)))
     got = top_neighbours(df, df.where("i % 10 = 0"), "i", "v", 3, block_bytes=128).collect()
+    assert len(most) > 1 and max(most) == 1, "one block at a time"
     for q in range(0, 60, 10):
         scores = sorted(((-vectors[q] @ vectors[j], j) for j in range(60) if j != q))[:3]
         assert [r.neighbour_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [j for _, j in scores]

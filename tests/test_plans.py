@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from fernweft.operators.asof import asof_join
 from fernweft.plans import registry
 
 QUERIES = registry.queries()
@@ -39,8 +40,25 @@ def test_relational_queries_stay_in_the_jvm(spark, sf_dir, name):
     assert not re.search(r"Python|Pandas|Arrow", plan(QUERIES[name](spark, sf_dir)))
 
 
+def exchanges(text):
+    return re.findall(r"^\(\d+\) Exchange\b.*?Arguments: ([^\n]*)", text, re.M | re.S)
+
+
 def test_as_of_join_is_one_shuffle(spark, sf_dir):
-    assert len(re.findall(r"^\(\d+\) Exchange", plan(QUERIES["j5_asof_join"](spark, sf_dir)), re.M)) == 1
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    assert len(exchanges(plan(asof_join(events, events, ["user_id"], "ts", ["value"])))) == 1
+
+
+def test_as_of_join_deals_a_group_out_over_slots(spark, sf_dir):
+    """Slots are summed and carried over; rows are dealt out once, by slot."""
+    dealt = exchanges(plan(QUERIES["j5_asof_join"](spark, sf_dir)))
+    assert len(dealt) == 3 and sum("__slot" in d for d in dealt) == 2
+
+
+def test_places_in_a_whole_order_are_counted_in_buckets(spark, sf_dir):
+    """Only the table of buckets, summed before, is in one task."""
+    dealt = exchanges(plan(QUERIES["o1_sort_nulls"](spark, sf_dir)))
+    assert sum("SinglePartition" in d for d in dealt) == 1 and sum("bucket" in d for d in dealt) >= 2
 
 
 def test_top_per_group_and_top_k_cut_early(spark, sf_dir):

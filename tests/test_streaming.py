@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernweft.plans.streams import CATALOG
-from fernweft.streaming.runs import run_append, run_complete
+from fernweft.streaming.runs import ROCKSDB, run_append, run_complete
 from fernweft.streaming.windows import first_seen, running_counts, sessions, timed, tumbling
 
 START = datetime(2024, 1, 1)
@@ -47,7 +47,7 @@ def test_repeats_are_dropped_across_batches(stream):
 
 
 def test_state_carries_over_batches(stream):
-    counts = run_append(running_counts(stream([(1, "a", 1), (2, "b", 2)], [(3, "a", 3)], [(4, "a", 4)]).select("user"), "user"))
+    counts = run_append(running_counts(stream([(1, "a", 1), (2, "b", 2)], [(3, "a", 3)], [(4, "a", 4)]).select("user"), "user"), provider=ROCKSDB)
     assert sorted((r.user, r.n) for r in counts.collect()) == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
 
 
