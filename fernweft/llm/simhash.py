@@ -104,7 +104,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     stands for its component: smallest id, null ids last, then first row) and
     ``extra`` expressions over the input.
 
-    Null and empty texts have fingerprint 0 and are linked like any other. Null
+    Null and empty texts have fingerprint 0 and are linked like any other. Long
+    texts are read whole, their words a block at a time. Null
     ids are passed over in ``component_id``, which is null only where a
     component has no other. Repeated rows are alike but for ``first_row``. An
     empty table gives no rows. Other columns are not read.
@@ -141,11 +142,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
 def deduplicate(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, the one with the smallest id, with all its
     columns. Rows that agree in id and text with the one that stays are copies
-    of it; one of them is returned. Other edge cases: ``near_duplicates``."""
-    mark, kept = fresh(docs.columns, "__mark", "__kept")
+    of it; one of them is returned. Other edge cases: ``near_duplicates``.
+
+    What goes is joined with the documents, not what stays: fewer rows. As
+    they grow with the documents they are never broadcast; one shuffle deals
+    out the documents, whatever their number."""
+    mark, gone = fresh(docs.columns, "__mark", "__gone")
     key = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
-    leads = near_duplicates(docs, width, radius, id_col, text_col, {"mark": key}).where("first_row").select(F.col("mark").alias(kept))
+    found = near_duplicates(docs, width, radius, id_col, text_col, {"mark": key})
+    marks = found.groupBy("mark").agg(F.max("first_row").alias("leads"), F.count(F.lit(1)).alias("rows"))
+    marks = materialize(marks.where("not leads or rows > 1").select(F.col("mark").alias(gone), "leads"), "marks")
+    marked = docs.withColumn(mark, key)
     # A struct is never null itself, and its null fields compare as equal.
-    found = docs.withColumn(mark, key).join(leads, F.col(mark) == F.col(kept), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(mark).orderBy(mark))
-    return found.withColumn(kept, nth).where(F.col(kept) == 1).drop(mark, kept)
+    same = F.col(mark) == F.col(gone)
+    once = marked.join(marks.select(gone).hint("merge"), same, "left_anti")
+    if marks.where("leads").isEmpty():
+        return once.drop(mark)
+    again = marked.join(marks.where("leads").select(gone).hint("merge"), same, "left_semi").dropDuplicates([mark])
+    return once.unionByName(again).drop(mark)
