@@ -29,7 +29,6 @@ _tag = re.compile(
     re.VERBOSE | re.DOTALL,
 )
 _attr = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_space = re.compile(r"\s+")
 _split = re.compile(r"[^a-z0-9]+")
 
 # Groups of HTML elements.
@@ -274,9 +273,16 @@ def walk(root: Element) -> list[Element]:
     return out
 
 
-def measure(nodes: list[Element], how: Scoring) -> None:
-    """Characters of all elements, given parents first, those in links, and
-    the points of each element's own text, blocks inside it left out."""
+def weigh(nodes: list[Element], how: Scoring) -> None:
+    """Points of each element's own text, blocks inside it left out."""
+    for node in nodes:
+        # Most elements that hold others have no text of their own.
+        empty = node.name in INLINE or not any(c.name in INLINE if isinstance(c, Element) else not c.isspace() for c in node.children)
+        node.worth = 0.0 if empty else paragraph_points(*inner(node), how)
+
+
+def measure(nodes: list[Element]) -> None:
+    """Characters of all elements, given parents first, and those in links."""
     for node in reversed(nodes):
         node.chars = node.links = 0
         for c in node.children:
@@ -285,8 +291,6 @@ def measure(nodes: list[Element], how: Scoring) -> None:
             else:
                 node.chars += c.chars
                 node.links += c.chars if c.name == "a" else c.links
-    for node in nodes:
-        node.worth = 0.0 if node.name in INLINE else paragraph_points(*inner(node), how)
 
 
 def paragraph_points(text: str, linked: int, how: Scoring) -> float:
@@ -299,6 +303,8 @@ def paragraph_points(text: str, linked: int, how: Scoring) -> float:
 
 def inner(node: Element) -> tuple[str, int]:
     """Text of an element but for blocks inside it, and its length in links."""
+    if all(isinstance(c, str) for c in node.children):
+        return " ".join("".join(node.children).split()), 0
     out, linked = [], 0
     stack: list[tuple[Element | str, bool]] = [(c, node.name == "a") for c in reversed(node.children)]
     while stack:
@@ -310,19 +316,19 @@ def inner(node: Element) -> tuple[str, int]:
             out.append(" ")
         elif c.name in INLINE:
             stack += [(x, link or c.name == "a") for x in reversed(c.children)]
-    return _space.sub(" ", "".join(out)).strip(), linked
+    return " ".join("".join(out).split()), linked
 
 
-def settle(root: Element, nodes: list[Element], how: Scoring) -> None:
+def settle(root: Element, nodes: list[Element], how: Scoring) -> bool:
     """Drop the elements that are marked as none of the article, unless their
     points speak for them; those with most points are judged first, and bulky
-    ones without a sign of an article last.
+    ones without a sign of an article last. Returns whether there were any.
 
     What a marked element carries leaves out marked ones within, which are
     judged after it. A sign of an article is a heading of the first rank, or
     an element marked as the article, that is not marked otherwise."""
     if not any(n.against for n in nodes):
-        return
+        return False
     carried, most, within, signs, own_signs = {}, {}, {}, {}, {}
     for node in reversed(nodes):
         total, best, inside = node.worth, 0.0, []
@@ -334,8 +340,10 @@ def settle(root: Element, nodes: list[Element], how: Scoring) -> None:
                     inside.append(c)
                 else:
                     total, own_sign = total + carried[c], own_sign or own_signs[c]
-                    inside, fewer = sorted((inside, within.pop(c)), key=len, reverse=True)
-                    inside += fewer
+                    more = within.pop(c)
+                    if len(more) > len(inside):
+                        inside, more = more, inside
+                    inside += more
         carried[node], within[node], signs[node], own_signs[node] = total, inside, sign, own_sign
         most[node] = max(best, total if node.against else 0.0)
     rest, signed, order = carried[root], own_signs[root], count()
@@ -356,7 +364,15 @@ def settle(root: Element, nodes: list[Element], how: Scoring) -> None:
         else:
             node.dropped = True
     for node in nodes:
-        node.children = [c for c in node.children if isinstance(c, str) or not c.dropped]
+        gone = [c for c in node.children if isinstance(c, Element) and c.dropped]
+        if gone:
+            node.children = [c for c in node.children if isinstance(c, str) or not c.dropped]
+            at = node
+            while at is not None and at.name in INLINE:
+                at = at.parent
+            if at is not None and any(c.name in INLINE for c in gone):
+                weigh([at], how)
+    return True
 
 
 def score(nodes: list[Element], how: Scoring) -> None:
@@ -395,10 +411,10 @@ def density(node: Element) -> float:
 def kept(root: Element, how: Scoring) -> list[Element]:
     """The container with most points, and those of its siblings that fit."""
     nodes = walk(root)
-    measure(nodes, how)
-    settle(root, nodes, how)
-    nodes = walk(root)
-    measure(nodes, how)
+    weigh(nodes, how)
+    if settle(root, nodes, how):
+        nodes = walk(root)
+    measure(nodes)
     score(nodes, how)
     containers = [n for n in nodes if n.name not in INLINE and n.name not in PARAGRAPHS - {"td", "blockquote"}]
     best = max(containers, key=lambda n: n.points * (1 - density(n)))
@@ -431,7 +447,7 @@ def blocks(nodes: list[Element]) -> Iterator[str]:
     run: list[str] = []
 
     def flush() -> Iterator[str]:
-        text = _space.sub(" ", "".join(run)).strip()
+        text = " ".join("".join(run).split())
         run.clear()
         if text:
             yield text

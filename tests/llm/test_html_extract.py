@@ -10,7 +10,7 @@ import time
 import pytest
 
 from fernweft.llm import html_extract
-from fernweft.llm.html_extract import INLINE, PARAGRAPHS, Element, Scoring, density, extract, extract_pages, measure, parse, score, walk
+from fernweft.llm.html_extract import INLINE, PARAGRAPHS, Element, Scoring, density, extract, extract_pages, measure, parse, score, walk, weigh
 from fernweft.llm.queries import op10
 
 MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Menu entry, number {i}</a></li>" for i in range(12)) + "</ul>"
@@ -177,7 +177,8 @@ def test_points_agree_with_a_plain_walk(layout):
         page = LAYOUTS[layout].format(menu=MENU, comments=COMMENTS, body="".join(parts), head=parts[0], rest="".join(parts[1:]))
         root, how = parse(page), Scoring()
         nodes = walk(root)
-        measure(nodes, how)
+        weigh(nodes, how)
+        measure(nodes)
         score(nodes, how)
         for node, want in plain_points(root, how).items():
             assert node.points == pytest.approx(want), node.name
@@ -208,7 +209,8 @@ def test_points_choose_the_text(monkeypatch):
 def test_points_fall_with_links():
     page = parse("<div><p>Words, and more words.</p></div><div><p><a href=x>Words, and more words.</a></p></div>")
     nodes = walk(page)
-    measure(nodes, Scoring())
+    weigh(nodes, Scoring())
+    measure(nodes)
     score(nodes, Scoring())
     one, two = [n for n in nodes if n.name == "div"]
     assert one.points == 2.0 and two.points == 0.0 and density(two) == 1.0
