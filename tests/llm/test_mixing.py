@@ -85,7 +85,7 @@ def counted(rows):
     return Counter((r[0], r[2], len((r[1] or "").split())) for r in rows)
 
 
-@pytest.mark.parametrize("copies", [7, 500])
+@pytest.mark.parametrize("copies", [300])
 def test_takes_of_repeated_rows_are_shared_out(spark, copies):
     """One row is a third of the table and its source ends amid the copies."""
     rows = [(1, "a b c", "hot")] * copies + [(None, "u v", "hot")] * 5 + [(i, "w " * (i % 9), f"s{i % 3}") for i in range(2, copies)]
