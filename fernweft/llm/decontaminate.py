@@ -46,7 +46,8 @@ class Matching:
     ``common``: different n-grams of any count in a passage that are seeds.
     ``least_score``: alignment score over that of a verbatim copy.
     ``slack``: words, as a share of the item, that a passage reaches beyond it.
-    ``block_chars``: characters of benchmark text that executors hold at once.
+    ``block_chars``: characters of benchmark text that executors hold at once;
+    a worker needs about 14 bytes for each.
     """
 
     n: int = 3
@@ -55,7 +56,7 @@ class Matching:
     common: int = 2
     least_score: float = 0.5
     slack: float = 0.3
-    block_chars: int = 8_000_000
+    block_chars: int = 16_000_000
 
 
 def words(text: str | None) -> list[str]:
@@ -84,17 +85,18 @@ class Block:
         for item_id, text in items:
             found = words(text)
             if len(found) >= max(n, least_words):
-                self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found], np.int64)))
+                self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found], np.int32)))
         keys, owners, offsets = [], [], []
         for k, (_, ids) in enumerate(self.items):
             grams = self.grams(ids, np.arange(len(ids) - n + 1))
             keys.append(grams)
-            owners.append(np.full(len(grams), k))
-            offsets.append(np.arange(len(grams)))
+            owners.append(np.full(len(grams), k, np.int32))
+            offsets.append(np.arange(len(grams), dtype=np.int32))
         key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        self.grams_sorted, self.gram = np.unique(key, return_inverse=True)
-        self.owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        self.offset = np.concatenate(offsets) if offsets else np.zeros(0, np.int64)
+        self.grams_sorted, gram = np.unique(key, return_inverse=True)
+        self.gram = gram.astype(np.int32)
+        self.owner = np.concatenate(owners) if owners else np.zeros(0, np.int32)
+        self.offset = np.concatenate(offsets) if offsets else np.zeros(0, np.int32)
 
     def grams(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Keys of the n-grams that start at the given places."""
@@ -129,17 +131,11 @@ class Block:
 
     def seeds(self, counts: np.ndarray, share: float) -> np.ndarray:
         """Which entries (item, offset) are rare, given each gram's count."""
-        chosen = np.zeros(len(self.gram), bool)
-        for k in range(len(self.items)):
-            mine = np.flatnonzero(self.owner == k) if len(self.items) < 64 else self._of(k)
-            rarity = counts[self.gram[mine]]
-            bar = np.sort(rarity)[max(0, int(np.ceil(share * len(mine))) - 1)]
-            chosen[mine[rarity <= bar]] = True
-        return chosen
-
-    def _of(self, k: int) -> np.ndarray:
-        first, last = np.searchsorted(self.owner, [k, k + 1])
-        return np.arange(first, last)
+        rarity = counts[self.gram]
+        starts = np.searchsorted(self.owner, np.arange(len(self.items) + 1))
+        last = starts[:-1] + np.maximum(0, np.ceil(share * np.diff(starts)).astype(np.int64) - 1)
+        bars = rarity[np.lexsort((rarity, self.owner))[last]]
+        return rarity <= bars[self.owner]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -174,50 +170,52 @@ class Matcher:
     def __init__(self, block: Block, rare: np.ndarray, how: Matching):
         self.block, self.how = block, how
         order = np.argsort(block.gram, kind="stable")
-        self.entry_gram, self.entry_rare = block.gram[order], rare[order]
-        self.entry_owner, self.entry_offset = block.owner[order], block.offset[order]
+        self.entry_rare, self.entry_owner, self.entry_offset = rare[order], block.owner[order], block.offset[order]
+        #: Where each gram's entries begin, and beyond the last where they end.
+        self.entries = np.searchsorted(block.gram[order], np.arange(len(block.grams_sorted) + 1))
+        self.sizes = np.array([len(item) for _, item in block.items], np.int64)
+        self.pads = np.ceil(how.slack * self.sizes).astype(np.int64) + 2
 
     def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """Best passage (item id, score, start and end in words) of every item
         that the text holds; texts null or without seeds have none."""
         ids = self.block.encode(text)
+        best: dict[int, tuple[int, int, int]] = {}
+        for k, lo, hi in self.passages(ids):
+            _, item = self.block.items[k]
+            passage = ids[lo:hi]
+            # No score exceeds that of the item's words that the passage has.
+            least = self.how.least_score * MATCH * len(item)
+            if MATCH * np.isin(item, passage).sum() < least:
+                continue
+            score, start, end = align(item, passage)
+            if score >= least and score > best.get(k, (0, 0, 0))[0]:
+                best[k] = (score, lo + start, lo + end)
+        return [(self.block.items[k][0], score / (MATCH * self.sizes[k]), start, end) for k, (score, start, end) in best.items()]
+
+    def passages(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """Item number, and first and beyond last word, of each passage that
+        has a rare gram of the item, or enough different ones, by item and
+        place. Where an item's passages would overlap they are one."""
         place, gram = self.block.hits(ids)
-        first = np.searchsorted(self.entry_gram, gram, "left")
-        count = np.searchsorted(self.entry_gram, gram, "right") - first
+        first = self.entries[gram]
+        count = self.entries[gram + 1] - first
         if not count.sum():
             return []
         entry = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         owner, begin = self.entry_owner[entry], np.repeat(place, count) - self.entry_offset[entry]
-        rare, entry_gram = self.entry_rare[entry], self.entry_gram[entry]
-        # An item with one gram in all of the text, a common one, is no candidate.
-        weight = np.bincount(owner) + self.how.common * np.bincount(owner, rare)
-        out = []
-        for k in np.flatnonzero(weight >= self.how.common):
-            item_id, item = self.block.items[k]
-            pad = int(np.ceil(self.how.slack * len(item))) + 2
-            mine = np.flatnonzero(owner == k)
-            mine = mine[np.argsort(begin[mine], kind="stable")]
-            best = (0, 0, 0)
-            for first_hit, last_hit in groups(begin[mine], len(item) + 2 * pad):
-                hits = mine[first_hit:last_hit]
-                if not rare[hits].any() and len(np.unique(entry_gram[hits])) < self.how.common:
-                    continue
-                lo, hi = max(0, begin[hits[0]] - pad), min(len(ids), begin[hits[-1]] + len(item) + pad)
-                score, start, end = align(item, ids[lo:hi])
-                if score > best[0]:
-                    best = (score, lo + start, lo + end)
-            score = best[0] / (MATCH * len(item))
-            if score >= self.how.least_score:
-                out.append((item_id, score, best[1], best[2]))
-        return out
-
-
-def groups(begins: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
-    """Runs (first, beyond last) of sorted beginnings without a gap over
-    ``reach``: their passages overlap."""
-    cuts = np.flatnonzero(np.diff(begins) > reach) + 1
-    bounds = [0, *cuts.tolist(), len(begins)]
-    yield from zip(bounds, bounds[1:])
+        order = np.lexsort((begin, owner))
+        owner, begin, rare, gram = owner[order], begin[order], self.entry_rare[entry][order], np.repeat(gram, count)[order]
+        cut = (owner[1:] != owner[:-1]) | (np.diff(begin) > (self.sizes + 2 * self.pads)[owner[1:]])
+        starts = np.concatenate([[0], np.flatnonzero(cut) + 1])
+        lasts = np.append(starts[1:], len(owner)) - 1
+        number = np.repeat(np.arange(len(starts)), lasts - starts + 1)
+        by_gram = np.lexsort((gram, number))
+        new = np.concatenate([[True], (np.diff(number[by_gram]) != 0) | (np.diff(gram[by_gram]) != 0)])
+        seeded = np.logical_or.reduceat(rare, starts) | (np.bincount(number[by_gram], new) >= self.how.common)
+        k, lo, hi = owner[starts[seeded]], begin[starts[seeded]], begin[lasts[seeded]]
+        lo, hi = np.maximum(0, lo - self.pads[k]), np.minimum(len(ids), hi + self.sizes[k] + self.pads[k])
+        return list(zip(k.tolist(), lo.tolist(), hi.tolist()))
 
 
 def blocks(benchmark: DataFrame, how: Matching, id_col: str, text_col: str) -> Iterator[Block]:

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark import Broadcast
 
-from fernweft.llm.decontaminate import Block, Matching, align, decontaminate, find_leaks, words
+from fernweft.llm import decontaminate as module
+from fernweft.llm.decontaminate import Block, Matcher, Matching, align, decontaminate, find_leaks, words
 from fernweft.llm.queries import op7
 
 
@@ -174,3 +175,48 @@ def test_repeated_words_do_not_make_seeds_of_the_wrong_item():
     block = Block([(1, "a a a a b"), (2, "c d e")], 3)
     place, gram = block.hits(block.encode("a a a a b c d e"))
     assert set(place.tolist()) == {0, 1, 2, 5}
+
+
+def test_passages_that_cannot_reach_the_bar_are_not_aligned(monkeypatch):
+    """Items that share common phrases with most texts cost no alignments, and
+    what is found is what aligning each of their passages finds."""
+    rng = random.Random(4)
+    phrases = [[f"p{i}{j}" for j in range(4)] for i in range(20)]
+    prose = lambda k: [w for _ in range(k) for w in (*rng.choice(phrases), *(f"w{rng.randrange(5000)}" for _ in range(8)))]
+    items = [" ".join(prose(rng.randrange(2, 6))) for _ in range(200)]
+    block = Block(list(enumerate(items)), 3)
+    texts = [" ".join(prose(30)) for _ in range(10)]
+    leaks = [" ".join(prose(4) + edited(rng, words(item), 0.2) + prose(4)) for item in items[:5]]
+    texts, item_of = texts + leaks, {text: k + 1 for k, text in enumerate(leaks)}
+    counts = np.zeros(len(block.grams_sorted), np.int64)
+    for text in texts:
+        counts[np.unique(block.hits(block.encode(text))[1])] += 1
+    how = Matching()
+    matcher = Matcher(block, block.seeds(counts, how.seed_share), how)
+    aligned = []
+    monkeypatch.setattr(module, "align", lambda item, passage: aligned.append(1) or align(item, passage))
+    for text in texts:
+        ids, want = block.encode(text), {}
+        passages = matcher.passages(ids)
+        for k, lo, hi in passages:
+            score, start, end = align(block.items[k][1], ids[lo:hi])
+            if score / (2 * len(block.items[k][1])) >= how.least_score and score > want.get(k, (0,))[0]:
+                want[k] = (score, lo + start, lo + end)
+        assert matcher.find(text) == [(block.items[k][0], s / (2 * len(block.items[k][1])), a, b) for k, (s, a, b) in want.items()]
+        assert len(passages) > 20 and (not item_of.get(text) or item_of[text] - 1 in want)
+    possible = sum(len(matcher.passages(block.encode(text))) for text in texts)
+    assert len(aligned) < possible / 2
+
+
+def test_seeds_are_the_rarer_grams_of_each_item():
+    block = Block([(1, "a b c d e f"), (2, "c d e f g"), (3, "h i j")], 3)
+    counts = np.array([5, 1, 2, 2, 3, 9])
+    for share in (0.0, 0.3, 0.5, 1.0):
+        chosen = block.seeds(counts, share)
+        for k in range(3):
+            mine = np.flatnonzero(block.owner == k)
+            rarity = counts[block.gram[mine]]
+            bar = sorted(rarity)[max(0, int(np.ceil(share * len(mine))) - 1)]
+            assert chosen[mine].tolist() == (rarity <= bar).tolist()
+    empty = Block([(1, "too short")], 3)
+    assert Matcher(empty, empty.seeds(np.zeros(0, np.int64), 0.5), Matching()).find("too short a text") == []
