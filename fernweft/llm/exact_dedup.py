@@ -118,8 +118,6 @@ class DigestIndex:
             .join(held.hint("merge"), "digest")
             .join(new.select("digest", F.col("row").alias("kept_row")), "digest", "left")
         )
-        # Written, so that both sides of the next join are plain shuffles, of
-        # which adaptive execution can split the partition of a hot digest.
         # Written, so that both sides of the last join are plain shuffles, of
         # which adaptive execution can split the partition of a hot digest.
         decided = materialize(decided.select("digest", "keep_id", "group_size", "kept_row"), "decided")
