@@ -204,8 +204,14 @@ class Matcher:
             return []
         entry = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         owner, begin = self.entry_owner[entry], np.repeat(place, count) - self.entry_offset[entry]
-        order = np.lexsort((begin, owner))
-        owner, begin, rare, gram = owner[order], begin[order], self.entry_rare[entry][order], np.repeat(gram, count)[order]
+        rare, gram = self.entry_rare[entry], np.repeat(gram, count)
+        # An item with one gram in all of the text, a common one, has no passage.
+        enough = (np.bincount(owner) + self.how.common * np.bincount(owner, rare))[owner] >= self.how.common
+        if not enough.any():
+            return []
+        chosen = np.flatnonzero(enough)
+        chosen = chosen[np.lexsort((begin[chosen], owner[chosen]))]
+        owner, begin, rare, gram = owner[chosen], begin[chosen], rare[chosen], gram[chosen]
         cut = (owner[1:] != owner[:-1]) | (np.diff(begin) > (self.sizes + 2 * self.pads)[owner[1:]])
         starts = np.concatenate([[0], np.flatnonzero(cut) + 1])
         lasts = np.append(starts[1:], len(owner)) - 1
