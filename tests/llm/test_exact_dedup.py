@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
 from fernweft.llm.exact_dedup import DigestIndex, deduplicate, ingest_by_id
 from fernweft.llm.queries import op4
-from fernweft.materialize import shared_root, written
+from fernweft.materialize import clean_up, shared_root, written
 from tests.test_plans import plan
 
 SCHEMA = "doc_id bigint, text string, digest string"
@@ -76,15 +79,50 @@ def test_the_index_is_not_shuffled_nor_sorted_anew_once_compact(spark, index):
         compact.drop()
 
 
+APPLICATION = """
+import sys
+from fernweft.session import get_session
+from fernweft.llm.exact_dedup import DigestIndex
+from fernweft.materialize import clean_up
+spark = get_session("second", cpus=2, **{"spark.sql.shuffle.partitions": 7})
+index = DigestIndex(spark, "kept", folder=sys.argv[1])
+rows = index.ingest(spark.createDataFrame([(1, "a"), (2, "c"), (3, "c")], "doc_id bigint, text string")).collect()
+print("GOT", sorted((r.doc_id, r.keep_id, r.kept) for r in rows), index.read().count(), index.buckets)
+clean_up(spark)
+"""
+
+
+def test_an_index_outlives_the_application(spark, tmp_path):
+    """Another application meets the same index, and cleaning up leaves it."""
+    folder = f"file://{tmp_path}/it's an index"
+    first = DigestIndex(spark, "kept_elsewhere", 3, folder)
+    assert not first.exists() and first.read().count() == 0
+    first.ingest(spark.createDataFrame([(10, "a"), (11, "b")], "doc_id bigint, text string"))
+    done = subprocess.run([sys.executable, "-c", APPLICATION, folder], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=240)
+    assert "GOT [(1, 10, False), (2, 2, True), (3, 2, False)] 3 3" in done.stdout, done.stdout + done.stderr[-2000:]
+    spark.catalog.refreshTable("kept_elsewhere")
+    clean_up(spark)
+    third = DigestIndex(spark, "kept_under_a_third_name", folder=folder)
+    assert sorted(r.keep_id for r in third.read().collect()) == [2, 10, 11] and third.buckets == 3
+    with pytest.raises(ValueError, match="not at"):
+        DigestIndex(spark, "kept_elsewhere", folder=f"{folder}/other").append(third.read().select("digest", "keep_id"))
+    compact = third.compact(f"file://{tmp_path}/compact")
+    clean_up(spark)
+    assert compact.read().count() == 3
+    for index in (first, third, compact):
+        index.drop()
+    assert not Path(tmp_path / "it's an index").exists() and not Path(tmp_path / "compact").exists()
+
+
 def test_the_query_fills_the_index_and_leaves_no_table(spark, sf_dir, monkeypatch):
-    held, decide = [], DigestIndex._decide
+    held, take = [], DigestIndex._take
 
     def counted(self, *args):
         held.append(self.read().count())
         assert not self.exists() or self.read().inputFiles()[0].removeprefix("file://").startswith(shared_root(spark).removeprefix("file://"))
-        return decide(self, *args)
+        return take(self, *args)
 
-    monkeypatch.setattr(DigestIndex, "_decide", counted)
+    monkeypatch.setattr(DigestIndex, "_take", counted)
     before = {t.name for t in spark.catalog.listTables()}
     rows = op4.query(spark, sf_dir)
     assert held[0] == 0 and held[1] > 0, "the second batch meets a filled index"
