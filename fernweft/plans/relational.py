@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fernweft.operators.asof import asof_join, interval_join
+from fernweft.operators.percentiles import exact_percentiles
 from fernweft.operators.prefix import running_total
 from fernweft.operators.skew import salted_distinct_count, salted_join
+from fernweft.operators.theta import theta_count, theta_join
 from fernweft.operators.topk import top_per_group
 from fernweft.plans.catalog import Catalog
 from fernweft.tables import read_table
@@ -35,7 +37,7 @@ CATALOG.add_sql(
     """select p_partkey,
               case when p_size between 1 and 10 then 'small' when p_size in (11, 12, 13) then 'odd' else 'large' end as kind,
               nullif(p_brand, 'Brand#1') is null as is_first
-       from {part} where p_name like '%1%' and p_brand is not null and not (p_size = 50)""",
+       from {part} where p_name like '%ring%' and p_brand is not null and not (p_size = 50)""",
 )
 CATALOG.add_sql(
     "p3_regex_filter",
@@ -118,6 +120,31 @@ CATALOG.add_sql(
 )
 
 
+@CATALOG.add(
+    "j9_theta_counts",
+    """select o_orderkey, coalesce(n, 0) as n from orders left join (
+         select o_orderkey, count(*) as n from orders join lineitem on l_extendedprice > o_totalprice and l_shipdate < o_orderdate group by o_orderkey
+       ) using (o_orderkey)""",
+)
+def dominated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order, the line items that are dearer and were shipped before."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    lines = read_table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_shipdate")
+    return theta_count(orders, lines, [("o_totalprice", "<", "l_extendedprice"), ("o_orderdate", ">", "l_shipdate")]).select("o_orderkey", "n")
+
+
+@CATALOG.add(
+    "j9_theta_pairs",
+    """select o_orderkey, l_orderkey, l_linenumber, l_extendedprice from orders
+       join lineitem on l_extendedprice > o_totalprice + 90000 and l_shipdate <= o_orderdate - interval 1500 day""",
+)
+def dominating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_totalprice + 90000").alias("price"), F.expr("o_orderdate - interval 1500 days").alias("date"))
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    found = theta_join(orders, lines, [("price", "<", "l_extendedprice"), ("date", ">=", "l_shipdate")])
+    return found.select("o_orderkey", *[F.col(f"right_{c}").alias(c) for c in lines.columns[:3]])
+
+
 @CATALOG.add("j10_salted_join", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey")
 def hot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
@@ -157,6 +184,19 @@ CATALOG.add_sql(
     "select l_returnflag, percentile(l_quantity, 0.25) as q1, median(l_quantity) as mid from {lineitem} group by l_returnflag",
     "select l_returnflag, quantile_cont(l_quantity, 0.25) as q1, median(l_quantity) as mid from lineitem group by l_returnflag",
 )
+
+
+@CATALOG.add(
+    "a7_selected_percentile",
+    """select l_returnflag, unnest([0.01, 0.25, 0.5, 0.999]) as share, round(unnest(quantile_cont(l_extendedprice, [0.01, 0.25, 0.5, 0.999])), 6) as price
+       from lineitem group by l_returnflag""",
+)
+def selected_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of nearly as many values as rows, without a buffer of them."""
+    lines = read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
+    return exact_percentiles(lines, ["l_returnflag"], "l_extendedprice", [0.01, 0.25, 0.5, 0.999], "price").withColumn("price", F.round("price", 6))
+
+
 CATALOG.add_sql(
     "a9_max_by",
     "orders",
@@ -270,7 +310,8 @@ for op in ("intersect", "except", "intersect all", "except all", "union", "union
     CATALOG.add_sql(
         f"u_{op.replace(' ', '_')}",
         "events orders",
-        f"select user_id % 50 as k from {{events}} where user_id < 90 {op} select o_custkey % 70 as k from {{orders}} where o_custkey > 40",
+        # Users with few events, and customers beyond them, are on one side only.
+        f"select user_id % 97 as k from {{events}} where user_id < 60 {op} select o_custkey % 89 + 7 as k from {{orders}} where o_custkey % 3 > 0",
     )
 CATALOG.add_sql(
     "u3_recursive",

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fernweft.materialize import new_path
 from fernweft.plans.catalog import Catalog
+from fernweft.streaming.replay import replay
 from fernweft.streaming.runs import ROCKSDB, run_append, run_append_parts, run_complete, run_memory, stream_table
 from fernweft.streaming.windows import first_seen, paired, running_counts, sessions, sliding, timed, tumbling
 from fernweft.tables import read_table
 
 CATALOG = Catalog()
+#: Seconds of event time that a replayed stream takes in one batch.
+SLICE = 10 * 86_400
 TOTAL = "cast(sum(cast(value as decimal(18,6))) as double) as total"
 
 
@@ -63,23 +68,29 @@ def sessions_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(sessions(events, "ts", "2 hours", ["user_id"], n=F.count(F.lit(1))))
 
 
-@CATALOG.add("t3_sessions_stream")
+@CATALOG.add("t3_sessions_stream", f"select * from ({SESSIONS}) where date_trunc('milliseconds', window_end) <= (select date_trunc('milliseconds', max(ts)) from events)")
 def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that the watermark has closed; the last ones stay open."""
-    events = timed(stream_table(spark, sf_dir, "events"), "ts", "1 hour")
-    return plain(run_append(sessions(events, "ts", "2 hours", ["user_id"], n=F.count(F.lit(1))), "sessions"))
+    events = read_table(spark, sf_dir, "events").select("ts", "user_id")
+    found = replay(events, "ts", SLICE, lambda stream: sessions(timed(stream(), "ts", "0 seconds"), "ts", "2 hours", ["user_id"], n=F.count(F.lit(1))), "sessions")
+    return plain(found.rows)
 
 
-@CATALOG.add("t4_watermark_stream")
+@CATALOG.add(
+    "t4_watermark_stream",
+    """select date_trunc('day', ts) as window_start, date_trunc('day', ts) + interval 1 day as window_end, count(*) as n from events
+       where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) group by 1, 2""",
+)
 def closed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days that the watermark has closed, each written once."""
-    events = timed(stream_table(spark, sf_dir, "events"), "ts", "1 hour")
-    return plain(run_append(tumbling(events, "ts", "1 day", [], n=F.count(F.lit(1))), "days"))
+    events = read_table(spark, sf_dir, "events").select("ts")
+    return plain(replay(events, "ts", SLICE, lambda stream: tumbling(timed(stream(), "ts", "0 seconds"), "ts", "1 day", [], n=F.count(F.lit(1))), "days").rows)
 
 
 @CATALOG.add("t5_dedup_stream", "select event_id, user_id from events")
 def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_append(first_seen(stream_table(spark, sf_dir, "events", None), "ts", ["event_id"], "1 hour").select("event_id", "user_id"), "first-seen")
+    events = read_table(spark, sf_dir, "events").select("ts", "event_id", "user_id")
+    return replay(events, "ts", SLICE, lambda stream: first_seen(stream(), "ts", ["event_id"], "1 hour").select("event_id", "user_id"), "first-seen").rows
 
 
 @CATALOG.add("t6_stream_static_join", "select event_id, c_name, c_mktsegment from events join customer on user_id = c_custkey where event_type = 'error'")
@@ -95,9 +106,13 @@ def stream_static(spark: SparkSession, sf_dir: str) -> DataFrame:
        and b.ts > a.ts and b.ts <= a.ts + interval 6 hour where a.event_type = 'view' and b.event_type = 'purchase'""",
 )
 def stream_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views = stream_table(spark, sf_dir, "events", None).where("event_type = 'view'").select("event_id", "user_id", "ts")
-    buys = stream_table(spark, sf_dir, "events", None).where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    return run_append(paired(views, buys, "user_id", "ts", 6 * 3600, "1 hour").select("event_id", "right_event_id"), "pairs")
+    events = read_table(spark, sf_dir, "events").where("event_type in ('view', 'purchase')").select("event_id", "user_id", "ts", "event_type")
+
+    def build(stream: Callable[[], DataFrame]) -> DataFrame:
+        views, buys = (stream().where(F.col("event_type") == kind).drop("event_type") for kind in ("view", "purchase"))
+        return paired(views, buys, "user_id", "ts", 6 * 3600, "0 seconds").select("event_id", "right_event_id")
+
+    return replay(events, "ts", SLICE, build, "pairs").rows
 
 
 @CATALOG.add("t8_arbitrary_state", "select user_id, count(*) as n from events group by user_id")

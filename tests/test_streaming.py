@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernweft.plans.streams import CATALOG
+from fernweft.streaming.replay import replay
 from fernweft.streaming.runs import ROCKSDB, run_append, run_complete
 from fernweft.streaming.windows import first_seen, running_counts, sessions, timed, tumbling
 
@@ -57,12 +58,26 @@ def test_sessions_join_rows_within_the_gap(stream):
     assert sorted((r.window_start, r.n) for r in got) == [(START, 2), (START + timedelta(minutes=100), 1)]
 
 
-@pytest.mark.parametrize("name", ["t5_dedup_stream", "t7_stream_stream_join"])
-def test_files_out_of_time_order_lose_no_rows(spark, sf_dir, duck, tmp_path, name):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    days = sorted(r[0] for r in events.select(F.to_date("ts")).distinct().collect())
-    for k in (2, 0, 3, 1):
-        part = events.where(F.to_date("ts").isin([d for i, d in enumerate(days) if i * 4 // len(days) == k]))
-        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+def in_files(events, folder, parts):
+    """The table as files whose order of time is not that of their writing."""
+    cut = events.withColumn("part", F.pmod(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000), F.lit(parts)))
+    for k in range(parts - 1, -1, -2):
+        cut.where(F.col("part").isin(k, k - 1)).drop("part").repartition(2 if parts > 1 else 1).write.mode("append").parquet(folder)
+
+
+@pytest.mark.parametrize("name,parts", [(f"{n}", p) for n in ("t3_sessions_stream", "t4_watermark_stream", "t5_dedup_stream", "t7_stream_stream_join") for p in (4, 40)][::2] + [("t3_sessions_stream", 40)])
+def test_files_out_of_time_order_lose_no_rows(spark, sf_dir, duck, tmp_path, name, parts):
+    in_files(spark.read.parquet(f"{sf_dir}/events.parquet"), f"{tmp_path}/events.parquet", parts)
     got = CATALOG.queries[name](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(duck.execute(CATALOG.sql[name]).fetchall())
+
+
+def test_a_replay_keeps_state_of_a_window(spark):
+    """A row each minute for ten days: state is of a slice, not of the table."""
+    rows = spark.range(14_400).select("id", (F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id"))).alias("ts"))
+    rows = rows.orderBy(F.xxhash64("id")).union(rows.limit(1).select("id", F.lit(None).cast("timestamp_ntz")))
+    seen = replay(rows, "ts", 86_400, lambda stream: first_seen(stream(), "ts", ["id"], "1 hour").select("id"), "seen")
+    assert seen.batches == 10 and seen.rows.count() == 14_400
+    assert seen.most_state <= 1440 + 121
+    empty = replay(rows.limit(0), "ts", 86_400, lambda stream: first_seen(stream(), "ts", ["id"], "1 hour"), "none")
+    assert empty.batches == 0 and empty.rows.count() == 0
