@@ -35,6 +35,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 STEP = np.int64(-7046029254386353131)
 #: Characters of a text whose words are in memory as strings at once.
 PIECE = 1 << 20
+#: Places of grams that are worked on at once, or those of one item.
+LOT = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -169,19 +171,29 @@ class Matcher:
 
     def __init__(self, block: Block, rare: np.ndarray, how: Matching):
         self.block, self.how = block, how
-        order = np.argsort(block.gram, kind="stable")
+        # Of an item's places of one gram the first and last tell where passages
+        # begin and end; those between are left out.
+        order = np.lexsort((block.offset, block.owner, block.gram))
+        gram, owner = block.gram[order], block.owner[order]
+        other = (np.diff(gram) != 0) | (np.diff(owner) != 0)
+        order = order[np.append(True, other) | np.append(other, True)] if len(order) else order
         self.entry_rare, self.entry_owner, self.entry_offset = rare[order], block.owner[order], block.offset[order]
         #: Where each gram's entries begin, and beyond the last where they end.
         self.entries = np.searchsorted(block.gram[order], np.arange(len(block.grams_sorted) + 1))
         self.sizes = np.array([len(item) for _, item in block.items], np.int64)
         self.pads = np.ceil(how.slack * self.sizes).astype(np.int64) + 2
+        #: Words of all items in a row, where each item begins, and marks of the
+        #: words that the text at hand has.
+        self.flat = np.concatenate([item for _, item in block.items]) if block.items else np.zeros(0, np.int32)
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.present = np.zeros(len(block.vocabulary), bool)
 
     def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """Best passage (item id, score, start and end in words) of every item
         that the text holds; texts null or without seeds have none."""
         ids = self.block.encode(text)
         best: dict[int, tuple[int, int, int]] = {}
-        for k, lo, hi in self.passages(ids):
+        for k, lo, hi in self.searched(ids, True):
             _, item = self.block.items[k]
             passage = ids[lo:hi]
             # No score exceeds that of the item's words that the passage has.
@@ -197,20 +209,57 @@ class Matcher:
         """Item number, and first and beyond last word, of each passage that
         has a rare gram of the item, or enough different ones, by item and
         place. Where an item's passages would overlap they are one."""
+        return list(self.searched(ids, False))
+
+    def searched(self, ids: np.ndarray, reaching: bool) -> Iterator[tuple[int, int, int]]:
+        """``passages``, or only those of items that could reach the bar with
+        all of their words that the text has.
+
+        Items are narrowed down by what the whole text has of them, each gram
+        counted once, before any place is looked at; those left are taken in lots
+        of bounded size. So a text of grams that very many items share costs no
+        more than one with few."""
         place, gram = self.block.hits(ids)
-        first = self.entries[gram]
-        count = self.entries[gram + 1] - first
-        if not count.sum():
-            return []
-        entry = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        owner, begin = self.entry_owner[entry], np.repeat(place, count) - self.entry_offset[entry]
-        rare, gram = self.entry_rare[entry], np.repeat(gram, count)
-        # An item with one gram in all of the text, a common one, has no passage.
-        enough = (np.bincount(owner) + self.how.common * np.bincount(owner, rare))[owner] >= self.how.common
-        if not enough.any():
-            return []
-        chosen = np.flatnonzero(enough)
-        chosen = chosen[np.lexsort((begin[chosen], owner[chosen]))]
+        by_gram = np.argsort(gram, kind="stable")
+        place = place[by_gram]
+        grams, at, times = np.unique(gram[by_gram], return_index=True, return_counts=True)
+        entry, which = spread(self.entries[grams], self.entries[grams + 1] - self.entries[grams])
+        owner = self.entry_owner[entry]
+        if not len(owner):
+            return
+        chosen = np.flatnonzero(self.able(ids, owner, self.entry_rare[entry], reaching)[owner])
+        chosen = chosen[np.argsort(owner[chosen], kind="stable")]
+        entry, which, owner = entry[chosen], which[chosen], owner[chosen]
+        firsts = np.flatnonzero(np.diff(owner, prepend=-1))
+        before = np.concatenate([[0], np.cumsum(times[which])])
+        while len(firsts):
+            ends = np.append(firsts[1:], len(owner))
+            n = max(1, int(np.searchsorted(before[ends] - before[firsts[0]], LOT, "right")))
+            lot = slice(firsts[0], ends[n - 1])
+            yield from self.lot_passages(ids, grams, place, at[which[lot]], times[which[lot]], which[lot], entry[lot])
+            firsts = firsts[n:]
+
+    def able(self, ids: np.ndarray, owner: np.ndarray, rare: np.ndarray, reaching: bool) -> np.ndarray:
+        """Which items could have a passage, by item number."""
+        enough = np.bincount(owner) + self.how.common * np.bincount(owner, rare) >= self.how.common
+        if not reaching:
+            return enough
+        items = np.flatnonzero(enough)
+        known = ids[ids >= 0]
+        self.present[known] = True
+        at, _ = spread(self.begins[items], self.sizes[items])
+        had = np.add.reduceat(self.present[self.flat[at]], np.concatenate([[0], np.cumsum(self.sizes[items])[:-1]]), dtype=np.int64) if len(items) else items
+        self.present[known] = False
+        enough[items] = MATCH * had >= self.how.least_score * MATCH * self.sizes[items]
+        return enough
+
+    def lot_passages(self, ids: np.ndarray, grams: np.ndarray, places: np.ndarray, at: np.ndarray, times: np.ndarray, which: np.ndarray, entry: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Passages of the items of some entries. ``places`` has where the text
+        has each gram; an entry's are ``times`` from ``at``."""
+        hit, number = spread(at, times)
+        owner, begin = self.entry_owner[entry][number], places[hit] - self.entry_offset[entry][number]
+        rare, gram = self.entry_rare[entry][number], grams[which][number]
+        chosen = np.lexsort((begin, owner))
         owner, begin, rare, gram = owner[chosen], begin[chosen], rare[chosen], gram[chosen]
         cut = (owner[1:] != owner[:-1]) | (np.diff(begin) > (self.sizes + 2 * self.pads)[owner[1:]])
         starts = np.concatenate([[0], np.flatnonzero(cut) + 1])
@@ -221,7 +270,15 @@ class Matcher:
         seeded = np.logical_or.reduceat(rare, starts) | (np.bincount(number[by_gram], new) >= self.how.common)
         k, lo, hi = owner[starts[seeded]], begin[starts[seeded]], begin[lasts[seeded]]
         lo, hi = np.maximum(0, lo - self.pads[k]), np.minimum(len(ids), hi + self.sizes[k] + self.pads[k])
-        return list(zip(k.tolist(), lo.tolist(), hi.tolist()))
+        yield from zip(k.tolist(), lo.tolist(), hi.tolist())
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``count`` numbers from ``first``, one after the other, and the
+    number of the run that each belongs to."""
+    run = np.repeat(np.arange(len(count)), count)
+    ends = np.cumsum(count)
+    return np.arange(len(run)) - np.repeat(ends - count, count) + np.asarray(first)[run], run
 
 
 def blocks(benchmark: DataFrame, how: Matching, id_col: str, text_col: str) -> Iterator[Block]:
@@ -254,9 +311,8 @@ def gram_counts(docs: DataFrame, block: Block, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(block.grams_sorted), np.int64)
-    for gram, n in counted.collect():
-        counts[gram] = n
+    counts, known = np.zeros(len(block.grams_sorted), np.int64), counted.toArrow()
+    counts[known["gram"].to_numpy()] = known["n"].to_numpy()
     shared.destroy()
     return counts
 
@@ -279,7 +335,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", how:
     """``docs`` with the test items that each text holds in column ``name``:
     an array of ``item_id, score, start, end`` (in words), one for each item.
 
-    Null and empty texts hold none; long texts are searched whole. Items that
+    Null and empty texts hold none; long texts are searched whole, in memory
+    that grows with the text and a block, not with both. Items that
     are null, without an id or too short (``Matching.least_words``) are passed
     over; repeated items count once. Repeated rows are judged alike. An empty
     table gives no rows; with an empty benchmark no document holds any item. A

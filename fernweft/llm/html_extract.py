@@ -30,6 +30,7 @@ _tag = re.compile(
 )
 _attr = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _split = re.compile(r"[^a-z0-9]+")
+_notice = re.compile(r"(?:©|\(c\) *\d{4}|copyright (?:©|\(c\)|\d{4})|all rights reserved)", re.IGNORECASE)
 
 # Groups of HTML elements.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"}
@@ -48,6 +49,10 @@ DROPPED = {
 ASIDE = {"nav", "footer", "aside", "form", "dialog", "menu"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PARAGRAPHS = {"p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "figcaption", *HEADINGS}
+#: Elements that hold others and may be menus.
+CONTAINERS = {"ul", "ol", "dl", "div", "section", "table", "center"}
+#: Characters of a notice of rights at most.
+MOST_NOTICE = 200
 #: An opening tag of the key closes an open element of the values.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -108,23 +113,17 @@ class Scoring:
 
 class Element:
     """``against``: marked as none of the article; ``bulky``: by a mark that
-    is plain or of a bulky kind; ``hidden``: not shown; ``likely``: marked as the article."""
+    is plain or of a bulky kind; ``hidden``: not shown; ``likely``: marked as the
+    article; ``inside``: an article or main element, or within one."""
 
-    __slots__ = ("name", "parent", "children", "points", "dropped", "links", "chars", "marks", "against", "bulky", "hidden", "likely", "worth")
+    __slots__ = ("name", "parent", "children", "points", "dropped", "links", "chars", "marks", "against", "bulky", "hidden", "likely", "worth", "inside")
 
     def __init__(self, name: str, parent: Element | None, dropped: bool = False, marks: frozenset[str] = frozenset()):
         self.name, self.parent, self.dropped, self.marks = name, parent, dropped, marks
         self.children: list[Element | str] = []
         self.against = self.bulky = self.hidden = self.likely = False
         self.points, self.worth, self.links, self.chars = 0.0, 0.0, 0, 0
-
-    def within(self, names: set[str]) -> bool:
-        node = self
-        while node is not None:
-            if node.name in names:
-                return True
-            node = node.parent
-        return False
+        self.inside = name in ("article", "main") or parent is not None and parent.inside
 
 
 def mark_of(token: str) -> tuple[str, bool]:
@@ -150,14 +149,14 @@ def judge_marks(node: Element, attrs: dict[str, str]) -> None:
     if name in ("html", "body"):
         return
     # A page's header holds its banner; an article's header holds its title.
-    if name in ASIDE or name == "header" and not parent.within({"article", "main"}):
+    if name in ASIDE or name == "header" and not parent.inside:
         node.against, node.bulky = True, name in BULKY or name == "header"
     style = attrs.get("style", "").replace(" ", "")
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
         node.against = node.hidden = True
     if attrs.get("role") in UNLIKELY_ROLES:
         node.against = node.bulky = True
-    if "header" in node.marks and not node.marks & OF_ARTICLE and not parent.within({"article", "main"}):
+    if "header" in node.marks and not node.marks & OF_ARTICLE and not parent.inside:
         node.against = True
     of_article = name in ("article", "main") or attrs.get("role") in ("main", "article")
     for token in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
@@ -231,6 +230,8 @@ def parse(html: str) -> Element:
             node.children.append(child)
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(html, at)
+            if name == "xmp" and not child.dropped:  # is shown as it stands
+                child.children.append(html[at : end.start() if end else n])
             at = end.end() if end else n
         elif name not in VOID and not (name in INLINE and (m["attrs"] or "").endswith("/")):
             node = child
@@ -363,6 +364,7 @@ def settle(root: Element, nodes: list[Element], how: Scoring) -> bool:
                 heappush(heap, entry(n))
         else:
             node.dropped = True
+    changed: dict[Element, None] = {}
     for node in nodes:
         gone = [c for c in node.children if isinstance(c, Element) and c.dropped]
         if gone:
@@ -371,7 +373,8 @@ def settle(root: Element, nodes: list[Element], how: Scoring) -> bool:
             while at is not None and at.name in INLINE:
                 at = at.parent
             if at is not None and any(c.name in INLINE for c in gone):
-                weigh([at], how)
+                changed[at] = None
+    weigh(list(changed), how)
     return True
 
 
@@ -420,6 +423,12 @@ def kept(root: Element, how: Scoring) -> list[Element]:
     best = max(containers, key=lambda n: n.points * (1 - density(n)))
     if best.points <= 0:
         return [root]
+    if not best.likely:
+        prune(best, how)
+        # What only wraps the best container has the same siblings to offer.
+        while best.parent is not None and best.parent.name not in ("body", "html", "#root") and best.parent.chars == best.chars:
+            best.parent.points = max(best.parent.points, best.points)
+            best = best.parent
     parent = best.parent
     if parent is None or best.name == "body":
         return [best]
@@ -442,6 +451,16 @@ def kept(root: Element, how: Scoring) -> list[Element]:
     return out
 
 
+def prune(best: Element, how: Scoring) -> None:
+    """Take lists and containers of links, and notices of rights at the end, out
+    of a container that the page itself does not mark as its article."""
+    for node in walk(best):
+        node.children = [c for c in node.children if isinstance(c, str) or c.name not in CONTAINERS or density(c) <= how.most_links]
+    texts = [n for n in walk(best) if n is not best and n.name not in INLINE and n.chars and not any(isinstance(c, Element) and c.name not in INLINE for c in n.children)]
+    while texts and len(text := inner(texts[-1])[0]) <= MOST_NOTICE and _notice.match(text):
+        texts.pop().children = []
+
+
 def blocks(nodes: list[Element]) -> Iterator[str]:
     """Texts of the blocks in page order, white space made single spaces."""
     run: list[str] = []

@@ -33,17 +33,17 @@ SCRIPTS = (
 class Training:
     """Bounds and settings of a fit.
 
-    The ``languages`` with most labelled texts are learned. About
-    ``rows_per_language`` of their texts at most are drawn for each and ``rows``
-    in all, and ``windows`` windows of ``window`` bytes from each, as long as
-    the net's.
+    Every labelled language is learned. About ``rows_per_language`` of its texts
+    at most are drawn for each, and fewer where that is more than ``rows`` in
+    all, but ``least_rows``; and ``windows`` windows of ``window`` bytes from
+    each, as long as the net's.
     ``strangers``: made-up texts, as a share of those windows, that the net
     learns as ``und``; without them it knows only the labelled languages.
     """
 
-    languages: int = 500
     rows_per_language: int = 1500
     rows: int = 60_000
+    least_rows: int = 16
     windows: int = 3
     window: int = 128
     widths: tuple[int, ...] = (2, 3, 4)
@@ -224,17 +224,18 @@ def sample(labelled: DataFrame, t: Training, text_col: str, lang_col: str) -> li
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # The net has an output for each language, so the driver may hold a number
     # for each; a join would shuffle texts by language.
-    counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(t.languages).collect())
+    counts = dict(rows.groupBy("lang").count().collect())
     if not counts:
         return []
-    limits = [x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, t.rows_per_language / n) * float(1 << 30)))]
+    each = min(t.rows_per_language, max(t.least_rows, t.rows // len(counts)))
+    limits = [x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, each / n) * float(1 << 30)))]
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.coalesce(F.create_map(*limits)[F.col("lang")], F.lit(-1.0))
     raw = F.encode("text", "utf-8")
     size = F.greatest(F.lit(1), F.octet_length(raw) - t.window)
     starts = [F.pmod(F.xxhash64("text", F.lit(k)), size.cast("long")).cast("int") + 1 for k in range(t.windows)]
     windows = F.array(*[F.substring(raw, s, F.lit(t.window)) for s in starts])
     picked = rows.where(drawn).select("lang", windows.alias("windows"), F.xxhash64("text").alias("key"))
-    picked = picked.dropDuplicates(["lang", "key"]).orderBy("key", "lang").limit(t.rows)
+    picked = picked.dropDuplicates(["lang", "key"])
     return sorted((r["lang"], [bytes(w) for w in r["windows"]]) for r in picked.toLocalIterator())
 
 

@@ -1,13 +1,17 @@
 """Shards by a hierarchical weighted hash tree.
 
-A document descends from the root through regions and racks to a shard. Every
-shard draws ``-ln(u) / weight`` with ``u`` hashed from the document's id and the
-shard's path; a subtree's draw is the least of its shards' draws, which is again
-an exponential draw at the subtree's weight. At every level the child with the
-least draw wins, so a child is chosen in proportion to its weight. A draw
-depends on nothing but that shard: when a weight changes, or a shard is added
-anywhere, only documents that the changed shard wins or loses move, and they
-move into or out of that shard alone.
+A document descends from the root through regions and racks to a shard. At each
+node every child draws ``-ln(u) / weight``, with ``u`` hashed from the
+document's id and the child's path and the weight that of all its shards, and
+the least draw wins: a child is chosen in proportion to its weight. Only the
+children of the nodes on the way draw, so a document costs fan-out times depth
+draws, whatever the number of shards.
+
+A draw depends on nothing but its child. Where a weight changes, documents move
+only into or out of the subtrees whose weights change. A shard that is added
+(``grow``) opens a subtree of its own at the top: no other weight changes, so it
+takes documents only into itself. Subtrees that have been added one by one are
+folded into racks by planning a new tree, which moves documents again.
 """
 
 from __future__ import annotations
@@ -20,9 +24,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fernweft.llm.common import id_hash
 from fernweft.materialize import materialize
-from fernweft.operators.prefix import bucket_bits, bucket_rows, running_total
+from fernweft.operators.order import places
 
-LEAVES = "array<struct<path:string,weight:double,shard:int,places:array<int>>>"
+NODES = "array<struct<shard:int,children:array<struct<path:string,weight:double,node:int>>>>"
 
 
 @dataclass(frozen=True)
@@ -44,35 +48,66 @@ class Node:
     def shards(self) -> int:
         return sum(1 for _ in self.leaves())
 
+    def total(self) -> float:
+        """Weight of all shards below."""
+        return sum(c.total() for c in self.children) if self.children else self.weight
+
+    def depth(self) -> int:
+        return 1 + max(c.depth() for c in self.children) if self.children else 0
+
+    def most_draws(self) -> int:
+        """Draws of a document at most: children of the nodes on its way."""
+        return len(self.children) + max(c.most_draws() for c in self.children) if self.children else 0
 
-def shard_tree(shards: int, per_rack: int = 8, racks: int = 8) -> Node:
-    """Equal shards, filled rack by rack and region by region.
 
-    Shard n is in the same rack and region under every count of shards, so a
-    tree of one shard more is the same tree with one leaf added."""
+def shard_tree(shards: int, per_rack: int = 8, racks: int = 8) -> Node:
+    """Equal shards, filled rack by rack and region by region. Shard n is in the
+    same rack and region under every count of shards."""
     leaves = [Node(f"shard{n}", shard=n) for n in range(shards)]
     parts = [Node(f"rack{k}", tuple(leaves[at : at + per_rack])) for k, at in enumerate(range(0, shards, per_rack))]
     tops = [Node(f"region{k}", tuple(parts[at : at + racks])) for k, at in enumerate(range(0, len(parts), racks))]
     return Node("root", tuple(tops))
 
 
+def grow(tree: Node, weight: float = 1.0) -> Node:
+    """The tree with one shard more, in a region and rack of its own."""
+    n = 1 + max((leaf.shard for _, leaf, _ in tree.leaves()), default=-1)
+    return Node(tree.name, (*tree.children, Node(f"region-of-{n}", (Node("rack0", (Node(f"shard{n}", shard=n, weight=weight),)),))))
+
+
 def draw(key: Column, path: Column, weight: Column) -> Column:
-    """A shard's draw for a document: exponential with the shard's weight."""
+    """A child's draw for a document: exponential with the child's weight."""
     bits = F.shiftrightunsigned(F.xxhash64(key, path), 11)
     return -F.log((bits.cast("double") + 0.5) / float(1 << 53)) / weight
 
 
-def descend(tree: Node, key: Column) -> Column:
-    """Shard, and child number at each level, that ``key`` reaches; a struct.
+def table_of(tree: Node) -> list[dict]:
+    """Nodes by number, the root first; a shard's only child is itself, so that
+    a descent may go on below it."""
+    rows: list[dict] = []
+
+    def number(node: Node, path: str) -> int:
+        at = len(rows)
+        rows.append({"shard": node.shard, "children": [{"path": path, "weight": 1.0, "node": at}]})
+        if node.children:
+            paths = [f"{path}/{c.name}" for c in node.children]
+            rows[at]["children"] = [{"path": p, "weight": c.total(), "node": number(c, p)} for p, c in zip(paths, node.children)]
+        return at
+
+    number(tree, "")
+    return rows
 
-    A level's winner is the child with the least draw, and a child's draw is
-    its shards' least, so the first least draw over all shards is at the end of
-    the descent. Ties go by place. The tree is one constant: the expression
-    has the same size for any number of shards."""
-    rows = [{"path": path, "weight": n.weight, "shard": n.shard, "places": places} for path, n, places in tree.leaves()]
-    leaves = F.from_json(F.lit(json.dumps(rows)), LEAVES)
-    drawn = F.transform(leaves, lambda x: F.struct(draw(key, x["path"], x["weight"]).alias("draw"), x["places"].alias("places"), x["shard"].alias("shard")))
-    return F.array_min(drawn)
+
+def descend(tree: Node, key: Column) -> Column:
+    """The shard that ``key`` reaches. Equal draws go to the child that is first
+    in the tree. The tree is one constant, and the expression has one step for
+    each of its levels."""
+    nodes = F.from_json(F.lit(json.dumps(table_of(tree))), NODES)
+    at = F.lit(0)
+    for _ in range(tree.depth()):
+        drawn = F.transform(F.get(nodes, at)["children"], lambda c: F.struct(draw(key, c["path"], c["weight"]).alias("draw"), c["node"].alias("node")))
+        at = F.array_min(drawn)["node"]
+    return F.get(nodes, at)["shard"]
 
 
 def assign(docs: DataFrame, tree: Node, grown: Node | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,7 +119,8 @@ def assign(docs: DataFrame, tree: Node, grown: Node | None = None, id_col: str =
     the id, then id, size and checksum; rows equal in all of these are
     interchangeable.
 
-    A null text has no bytes: size 1, checksum 0. Null ids count as one id.
+    A null text has no bytes: size 1, checksum 0. Null ids count as one id. A
+    repeated id, be it that of most rows, is dealt over many tasks.
     Repeated rows go to one shard and get slots of their own. Long texts are
     read whole, for their size and checksum, and never shuffled. An empty table
     gives no rows. Other columns are not read.
@@ -99,19 +135,18 @@ def assign(docs: DataFrame, tree: Node, grown: Node | None = None, id_col: str =
     placed = materialize(
         rows.select(
             "*",
-            descend(tree, key)["shard"].alias("shard"),
-            (descend(grown, key)["shard"] if grown else F.lit(None).cast("int")).alias("grown_shard"),
+            descend(tree, key).alias("shard"),
+            (descend(grown, key) if grown else F.lit(None).cast("int")).alias("grown_shard"),
             id_hash(key, "slot:").alias("place"),
         ),
         "shards",
     )
-    n = placed.count()
-    bits = bucket_bits(n // max(1, tree.shards()), bucket_rows(docs.sparkSession, n))
-    order = [F.col("place"), F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")]
-    numbered = running_total(
-        placed.withColumn("slice", F.shiftright("place", 60 - bits)), F.lit(1), "slot", within=["shard"], bucket="slice", order=order
-    )
-    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") - 1).cast("long").alias("slot"), "grown_shard")
+    # One order of all rows: each shard's begins where its first row stands.
+    order = [F.col("shard"), F.col("place"), F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")]
+    ordered = materialize(places(placed, order, "at"), "shard-order")
+    begins = ordered.groupBy("shard").agg(F.min("at").alias("begin")).hint("broadcast")  # one row a shard
+    numbered = ordered.join(begins, "shard")
+    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("at") - F.col("begin")).cast("long").alias("slot"), "grown_shard")
 
 
 def shard_of(docs: DataFrame, tree: Node, name: str = "shard", id_col: str = "doc_id") -> DataFrame:
@@ -119,4 +154,4 @@ def shard_of(docs: DataFrame, tree: Node, name: str = "shard", id_col: str = "do
 
     A column of the same name is replaced.
     """
-    return docs.withColumn(name, descend(tree, F.col(id_col).cast("long"))["shard"])
+    return docs.withColumn(name, descend(tree, F.col(id_col).cast("long")))

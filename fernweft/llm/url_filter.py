@@ -229,6 +229,8 @@ def judge(
     odds, prior = fit(docs, labels, text_col, model, None if url_labels is None else taught, url_labels)
     exact = F.round("odds", 9).cast("decimal(38,9)")
     scored = split.select("name", F.explode("words").alias("word")).join(odds, "word").groupBy("name").agg(F.sum(exact).alias("odds"))
+    # Written, as names like "com" are in most URLs: see the last join.
+    scored = materialize(scored, "scored-names")
     scores = parts.join(scored, "name").groupBy("url").agg(F.sum(F.col("odds") * F.col("times")).cast("double").alias("odds"))
     key, mark = fresh(pages.columns, "__url", "__judged")
     final = urls.join(scores, "url", "left").select(

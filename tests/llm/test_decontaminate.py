@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -220,3 +222,34 @@ def test_seeds_are_the_rarer_grams_of_each_item():
             assert chosen[mine].tolist() == (rarity <= bar).tolist()
     empty = Block([(1, "too short")], 3)
     assert Matcher(empty, empty.seeds(np.zeros(0, np.int64), 0.5), Matching()).find("too short a text") == []
+
+
+def test_items_with_a_common_prompt_cost_little():
+    """Twenty thousand items that begin alike, and a text of their beginning."""
+    rng = random.Random(2)
+    prompt = "answer the following question in one word"
+    items = [(i, f"{prompt} " + " ".join(f"w{rng.randrange(60_000)}" for _ in range(20))) for i in range(20_000)]
+    block = Block(items, 3)
+    counts = np.ones(len(block.grams_sorted), np.int64)
+    counts[np.unique(block.hits(block.encode(prompt))[1])] = 100_000
+    matcher = Matcher(block, block.seeds(counts, 0.5), Matching())
+    text = " ".join(f"{prompt} " + " ".join(f"x{rng.randrange(999)}" for _ in range(8)) for _ in range(200))
+    tracemalloc.start()
+    began = time.perf_counter()
+    assert matcher.find(text) == []
+    assert time.perf_counter() - began < 1 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert [h[:2] for h in matcher.find(f"{text} {items[7][1]} {text}")] == [(7, 1.0)]
+
+
+@pytest.mark.parametrize("lot", [1, 40])
+def test_lots_change_nothing(monkeypatch, lot):
+    rng = random.Random(lot)
+    some = lambda n: " ".join(rng.choice("a b c d e f g h".split()) for _ in range(n))
+    block = Block([(i, some(rng.randrange(5, 30))) for i in range(40)], 3)
+    matcher = Matcher(block, block.seeds(np.array(rng.sample(range(len(block.grams_sorted)), len(block.grams_sorted))), 0.5), Matching())
+    texts = [some(rng.randrange(60)) for _ in range(20)]
+    want = [(matcher.passages(block.encode(t)), matcher.find(t)) for t in texts]
+    monkeypatch.setattr(module, "LOT", lot)
+    assert [(matcher.passages(block.encode(t)), matcher.find(t)) for t in texts] == want
+    assert any(p for p, _ in want) and any(f for _, f in want)

@@ -247,3 +247,37 @@ def test_tables_with_nulls_repeats_and_clashing_columns(spark):
     pages = spark.createDataFrame([(1, None, "t"), (2, "<p>x", "t"), (2, "<p>x", "t")], "page_id bigint, html string, text string")
     assert [r.text for r in extract_pages(pages).orderBy("page_id").collect()] == ["", "x", "x"]
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+SENTENCES = "".join(f"<p>Sentence number {i}, with commas, and words enough for a paragraph of text.</p>" for i in range(5))
+
+
+@pytest.mark.parametrize("frame", ["<body>{}</body>", "<body><div>{}</div></body>", "<body><div><div>{}</div></div></body>"])
+def test_menus_and_notices_go_from_pages_without_marks(frame):
+    menu = "<ul>" + "".join(f"<li><a href=x>Entry {i}</a></li>" for i in range(8)) + "</ul>"
+    links = "<div><a href=a>Home</a> <a href=b>About us</a></div>"
+    text = extract(frame.format(f"{menu}<h1>A title</h1>{SENTENCES}{links}<p>© 2024 Example. All rights reserved.</p>"))
+    assert text.startswith("A title\nSentence number 0") and text.endswith("paragraph of text.")
+    assert not any(x in text for x in ("Entry", "Home", "©"))
+
+
+def test_lists_and_links_of_the_article_stay():
+    page = f"<body><h1>A title</h1>{SENTENCES}<ul><li>One item, with <a href=x>a link</a> in it</li><li>Another</li></ul><p>See <a href=x>this</a>.</p></body>"
+    assert extract(page).endswith("One item, with a link in it\nAnother\nSee this.")
+
+
+def test_title_and_parts_around_nested_containers_stay():
+    page = f"<div><h1>T</h1><div><div>{SENTENCES}</div></div><div><div><p>Last words.</p></div></div></div>"
+    assert extract(page).startswith("T\nSentence") and extract(page).endswith("\nLast words.")
+
+
+def test_text_shown_as_it_stands():
+    assert extract("<body><p>before, it is</p><xmp>a <b>raw</b> text</xmp></body>") == "before, it is\na <b>raw</b> text"
+
+
+def test_many_marked_spans_and_headers_take_little_time():
+    began = time.perf_counter()
+    page = "<body><p>" + '<span><span class="ad">x</span>text</span>' * 8000 + "</p></body>"
+    assert extract(page) == "text" * 8000
+    extract("<header>" * 8000 + "x")
+    assert time.perf_counter() - began < 4

@@ -73,9 +73,15 @@ def test_answers_of_texts_agree_with_plain_loops():
 
 def test_drawn_windows_are_as_long_as_the_nets(spark):
     docs = spark.createDataFrame([("é" * 900, "x"), ("日本語" * 300, "y"), ("short", "y"), ("rare", "z")], "text string, lang string")
-    drawn = sample(docs, Training(languages=2), "text", "lang")
-    assert {lang for lang, _ in drawn} == {"x", "y"}
-    assert sorted({len(w) for _, ws in drawn for w in ws}) == [5, 128]
+    drawn = sample(docs, Training(), "text", "lang")
+    assert sorted({len(w) for lang, ws in drawn for w in ws if lang != "z"}) == [5, 128]
+
+
+def test_every_language_is_learned_within_the_bound_of_rows(spark):
+    """Six hundred languages, more than the bound has rows for each."""
+    docs = spark.range(30_000).selectExpr("concat('text ', id) as text", "concat('l', id % 600) as lang")
+    drawn = sample(docs, Training(rows=3000, least_rows=8), "text", "lang")
+    assert len({lang for lang, _ in drawn}) == 600 and len(drawn) < 8 * 600 * 1.2
 
 
 def test_windows_cover_the_whole_text():
