@@ -20,11 +20,11 @@ def places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame
     table that is broadcast has one row for each shuffle partition."""
     numbered = df.withColumn("__tie", F.monotonically_increasing_id())
     ranged = numbered.repartitionByRange(*order, F.col("__tie")).sortWithinPartitions(*order, "__tie").drop("__tie")
-    held = materialize(ranged.withColumn("__at", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("__at", ROW_BITS)
+    held = materialize(ranged.withColumn("__sorted", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__sorted", ROW_BITS)
     sizes = held.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     begins = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__begin"))
-    within = F.col("__at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    within = F.col("__sorted").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     joined = held.withColumn("__part", part).join(F.broadcast(begins), "__part")
-    return joined.withColumn(name, F.col("__begin") + within).drop("__part", "__at", "__begin")
+    return joined.withColumn(name, F.col("__begin") + within).drop("__part", "__sorted", "__begin")

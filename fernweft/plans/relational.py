@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fernweft.operators.asof import asof_join, interval_join
+from fernweft.operators.closure import reachable
+from fernweft.operators.frames import row_frame, time_frame
 from fernweft.operators.percentiles import exact_percentiles
 from fernweft.operators.prefix import running_total
 from fernweft.operators.skew import salted_distinct_count, salted_join
@@ -282,6 +284,19 @@ CATALOG.add_sql(
 )
 
 
+@CATALOG.add("w4_slotted_frame", CATALOG.sql["w4_time_frame"])
+def slotted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames by time where a user may have most of the rows."""
+    events = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    return time_frame(events, ["user_id"], "ts", 86_400, top=F.max("value")).select("event_id", "top")
+
+
+@CATALOG.add("w5_slotted_frame", CATALOG.sql["w5_row_frame"])
+def slotted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    return row_frame(events, ["user_id"], [F.col("ts"), F.col("event_id")], 2, 1, low=F.min("value")).select("event_id", "low")
+
+
 @CATALOG.add(
     "w6_top_per_group",
     "select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 2",
@@ -318,3 +333,19 @@ CATALOG.add_sql(
     "region",
     "with recursive r(n, total) as (select r_regionkey, r_regionkey from {region} union all select n + 1, total + n from r where n < 40) select n, cast(total as bigint) as total from r",
 )
+
+
+@CATALOG.add(
+    "u3_reachable",
+    """with recursive edges as (
+         select distinct user_id as a, lead(user_id) over (partition by event_type, date_trunc('day', ts) order by ts, event_id) as b from events where event_type = 'error'
+       ), reached(start, node) as (
+         select a, b from edges where a % 20 = 0 and b is not null union select start, b from reached join edges on node = a where b is not null
+       ) select start, node from reached""",
+)
+def reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that an error can be handed on to, from one user to the next."""
+    errors = read_table(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", "ts", "event_id")
+    after = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
+    edges = errors.select(F.col("user_id").alias("a"), F.lead("user_id").over(after).alias("b"))
+    return reachable(edges, edges.where("a % 20 = 0").select(F.col("a").alias("node"))).select("start", "node")
