@@ -30,7 +30,7 @@ _tag = re.compile(
 )
 _attr = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _split = re.compile(r"[^a-z0-9]+")
-_notice = re.compile(r"(?:©|\(c\) *\d{4}|copyright (?:©|\(c\)|\d{4})|all rights reserved)", re.IGNORECASE)
+_notice = re.compile(r"(?:©|\(c\) *\d{4}|copyright (?:©|\(c\)|\d{4}))", re.IGNORECASE)
 
 # Groups of HTML elements.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"}
