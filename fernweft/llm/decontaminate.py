@@ -180,6 +180,9 @@ class Matcher:
         self.entry_rare, self.entry_owner, self.entry_offset = rare[order], block.owner[order], block.offset[order]
         #: Where each gram's entries begin, and beyond the last where they end.
         self.entries = np.searchsorted(block.gram[order], np.arange(len(block.grams_sorted) + 1))
+        #: Grams that are rare for some item.
+        self.gram_rare = np.zeros(len(block.grams_sorted), bool)
+        self.gram_rare[block.gram[rare]] = True
         self.sizes = np.array([len(item) for _, item in block.items], np.int64)
         self.pads = np.ceil(how.slack * self.sizes).astype(np.int64) + 2
         #: Words of all items in a row, where each item begins, and marks of the
@@ -220,13 +223,17 @@ class Matcher:
         of bounded size. So a text of grams that very many items share costs no
         more than one with few."""
         place, gram = self.block.hits(ids)
+        # Most texts have no gram of any item, or one that is common.
+        if not len(place) or len(place) < self.how.common and not self.gram_rare[gram].any():
+            return
         by_gram = np.argsort(gram, kind="stable")
-        place = place[by_gram]
-        grams, at, times = np.unique(gram[by_gram], return_index=True, return_counts=True)
+        place, gram = place[by_gram], gram[by_gram]
+        at = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1])
+        grams, times = gram[at], np.append(at[1:], len(gram)) - at
+        if len(grams) < self.how.common and not self.gram_rare[grams].any():
+            return
         entry, which = spread(self.entries[grams], self.entries[grams + 1] - self.entries[grams])
         owner = self.entry_owner[entry]
-        if not len(owner):
-            return
         chosen = np.flatnonzero(self.able(ids, owner, self.entry_rare[entry], reaching)[owner])
         chosen = chosen[np.argsort(owner[chosen], kind="stable")]
         entry, which, owner = entry[chosen], which[chosen], owner[chosen]
