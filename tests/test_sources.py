@@ -1,0 +1,136 @@
+"""Upserts that are cut off or run twice, and files with broken rows."""
+
+from __future__ import annotations
+
+import csv
+import io
+import json
+import random
+
+import pytest
+from pyspark.sql.types import StructType
+
+from fernweft.sources.checked import read_checked
+from fernweft.sources.upsert import UpsertTable, run_upserts
+
+SCHEMA = "user int, at int, value string"
+
+
+def batches(seed, n=4):
+    rng = random.Random(seed)
+    return [[(rng.choice([None, *range(20)]), rng.randrange(50), f"{k}-{i}") for i in range(30)] for k in range(n)]
+
+
+def latest(all_batches):
+    held = {}
+    for rows in all_batches:
+        for row in sorted(rows, key=lambda r: (r[1],)):
+            if row[0] is not None and (row[0] not in held or row[1] >= held[row[0]][1]):
+                held[row[0]] = row
+    return {k: v[1] for k, v in held.items()}
+
+
+def table(spark, tmp_path, buckets=4):
+    return UpsertTable(spark, StructType.fromDDL(SCHEMA), ["user"], ["at"], f"file://{tmp_path}/table", buckets)
+
+
+def test_batches_keep_the_latest_row_of_each_key(spark, tmp_path):
+    held, given = table(spark, tmp_path), batches(1)
+    assert held.read().count() == 0
+    for n, rows in enumerate(given):
+        held.merge(spark.createDataFrame(rows, SCHEMA), n)
+        assert {r.user: r.at for r in held.read().collect()} == latest(given[: n + 1])
+    again = table(spark, tmp_path, buckets=99)
+    assert {r.user: r.at for r in again.read().collect()} == latest(given) and again.buckets == 4
+
+
+def test_a_batch_run_twice_leaves_one_result(spark, tmp_path):
+    held, given = table(spark, tmp_path), batches(2, 2)
+    for n in (0, 0, 1, 1, 0):
+        held.merge(spark.createDataFrame(given[n], SCHEMA), n)
+    want = sorted(map(tuple, held.read().collect()))
+    assert {u: a for u, a, _ in want} == latest(given)
+    assert len(want) == len({u for u, _, _ in want})
+
+
+def test_a_killed_batch_loses_nothing(spark, tmp_path, monkeypatch):
+    held, given = table(spark, tmp_path), batches(3, 2)
+    held.merge(spark.createDataFrame(given[0], SCHEMA), 0)
+    before = sorted(map(tuple, held.read().collect()))
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(UpsertTable, "_commit", killed)
+        held.merge(spark.createDataFrame(given[1], SCHEMA), 1)
+    assert sorted(map(tuple, table(spark, tmp_path).read().collect())) == before
+    held.merge(spark.createDataFrame(given[1], SCHEMA), 1)
+    assert {r.user: r.at for r in held.read().collect()} == latest(given)
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    held = table(spark, tmp_path)
+    held.merge(spark.createDataFrame([(u, 1, "a") for u in range(40)], SCHEMA), 0)
+    held.merge(spark.createDataFrame([(7, 2, "b")], SCHEMA), 1)
+    held.merge(spark.createDataFrame([(None, 2, "b")], SCHEMA), 2)
+    assert len(list((tmp_path / "table/data/batch=0").glob("bucket=*"))) == 4
+    assert len(list((tmp_path / "table/data/batch=1").glob("bucket=*"))) == 1
+    assert held.read().count() == 40 and held.read().where("value = 'b'").count() == 1
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    given = batches(5)
+    for upto in (2, 4):
+        for k in range(upto - 2, upto):
+            spark.createDataFrame(given[k], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        held = run_upserts(stream, table(spark, tmp_path))
+        assert {r.user: r.at for r in held.read().collect()} == latest(given[:upto])
+
+
+def broken_lines(seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["a b", 'say "x"', "ü, comma", ""]), rng.random()) for i in range(60)]
+    return rng, rows
+
+
+def test_broken_json_is_put_aside_and_counted(spark, tmp_path):
+    rng, rows = broken_lines(1)
+    lines = [json.dumps({"id": i, "name": n, "v": v} | ({"more": 1} if i % 7 == 0 else {})) for i, n, v in rows]
+    lines = [x[: len(x) // 2] if k % 5 == 0 else x.replace('"id": ', '"id": "no') if k % 5 == 1 and rng.random() < 0 else x for k, x in enumerate(lines)]
+    lines += ['{"id": "text", "name": "n", "v": 1.0}', "[1, 2", '{"id": 100}', "", "null-ish"]
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json/a.json").write_text("\n".join(lines[:30]))
+    (tmp_path / "json/b.json").write_text("\n".join(lines[30:]))
+
+    def fits(line):
+        try:
+            return isinstance(json.loads(line).get("id"), int)
+        except (ValueError, AttributeError):
+            return False
+
+    got = read_checked(spark, f"{tmp_path}/json", "json", StructType.fromDDL("id int, name string, v double"))
+    want = [json.loads(x) for x in lines if fits(x)]
+    assert sorted((r.id, r.name, r.v) for r in got.good.where("id < 100").collect()) == sorted((w["id"], w["name"], w["v"]) for w in want if w["id"] < 100)
+    assert got.good.where("id = 100 and name is null and v is null").count() == 1
+    assert sorted(r.raw for r in got.bad.collect()) == sorted(x for x in lines if x and not fits(x))
+    assert got.counts() == (len(want), len([x for x in lines if x]) - len(want))
+    assert {r.file.rpartition("/")[2] for r in got.bad.collect()} == {"a.json", "b.json"}
+
+
+def test_broken_csv_is_put_aside_and_counted(spark, tmp_path):
+    _, rows = broken_lines(2)
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows(rows)
+    lines = out.getvalue().splitlines()
+    bad = ["x1,name,1.0", "2,name,one", "3", "4,name,1.0,too many"]
+    (tmp_path / "rows.csv").write_text("\n".join(["id,name,v", *lines[:20], *bad, *lines[20:]]))
+    got = read_checked(spark, f"{tmp_path}/rows.csv", "csv", StructType.fromDDL("id int, name string, v double"))
+    assert sorted(r.raw for r in got.bad.collect()) == sorted(bad)
+    assert sorted((r.id, r.name or "", r.v) for r in got.good.collect()) == sorted(rows)
+
+
+def test_other_formats_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="cannot be checked"):
+        read_checked(spark, str(tmp_path), "parquet", StructType.fromDDL("id int"))
