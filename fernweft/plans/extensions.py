@@ -11,8 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fernweft.functions.ivf import Lists, VectorIndex
 from fernweft.functions.vectors import dot, top_neighbours
+from fernweft.materialize import new_path
+from fernweft.operators.sketches import heavy_hitters, merged, sketch_table
 from fernweft.plans.catalog import Catalog
+from fernweft.sources.checked import read_checked
 from fernweft.sources.files import round_trip
+from fernweft.sources.upsert import UpsertTable, run_upserts
+from fernweft.streaming.runs import stream_table
 from fernweft.tables import read_table
 
 CATALOG = Catalog()
@@ -41,12 +46,51 @@ def partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(orders, "parquet", ["o_orderstatus"]).where("o_orderstatus = 'F'")
 
 
+@CATALOG.add(
+    "s5_upserts",
+    "select user_id, max(ts) as ts, arg_max(event_id, (ts, event_id)) as event_id from events group by user_id",
+)
+def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user, kept by a stream that merges its batches."""
+    events = stream_table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    return run_upserts(events, UpsertTable(spark, events.schema, ["user_id"], ["ts", "event_id"])).read()
+
+
+@CATALOG.add(
+    "s3_broken_rows",
+    """select case when c_custkey % 10 > 0 then c_custkey end as c_custkey, case when c_custkey % 10 > 0 then c_name end as c_name,
+              case when c_custkey % 10 = 0 then 'x' || c_custkey || ',' || c_name end as raw from customer""",
+)
+def broken_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as lines of CSV, each tenth with a key that is no number."""
+    path, key = new_path(spark, "broken"), F.col("c_custkey").cast("string")
+    customers = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    lines = customers.select(F.concat_ws(",", F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("x"), key)).otherwise(key), "c_name"))
+    lines.write.text(path)
+    got = read_checked(spark, path, "csv", customers.schema, header="false")
+    return got.good.unionByName(got.bad.select("raw"), allowMissingColumns=True)
+
+
 @CATALOG.add("a8_approx_distinct")
 def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An estimate; tests hold it to its error bound."""
     return read_table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.approx_count_distinct("o_custkey", 0.02).alias("customers"))
 
 
+@CATALOG.add("a13_merged_sketches")
+def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of events kept as sketches, and half a month of them merged."""
+    events = read_table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type", "user_id", "value")
+    days = sketch_table(events, ["day", "event_type"], "user_id", "value")
+    half = merged(days.where("day between date '2024-01-08' and date '2024-01-22'"), ["event_type"], [0.25, 0.5, 0.75])
+    return half.select("event_type", "n", F.col("distinct").alias("users"), "quantiles")
+
+
+@CATALOG.add("a13_heavy_hitters", "select user_id, count(*) as n from events group by user_id having count(*) >= 0.005 * (select count(*) from events)")
+def heavy_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heavy_hitters(read_table(spark, sf_dir, "events").select("user_id"), "user_id", 0.005)
+
+
 @CATALOG.add("a13_sketches")
 def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mergeable estimates; tests hold them to their error bounds."""

@@ -10,6 +10,7 @@ from fernweft.materialize import new_path
 from fernweft.plans.catalog import Catalog
 from fernweft.streaming.replay import replay
 from fernweft.streaming.runs import ROCKSDB, run_append, run_append_parts, run_complete, run_memory, stream_table
+from fernweft.streaming.timers import timed_sessions
 from fernweft.streaming.windows import first_seen, paired, running_counts, sessions, sliding, timed, tumbling
 from fernweft.tables import read_table
 
@@ -121,6 +122,18 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("user_id").agg(F.max("n").alias("n"))
 
 
+@CATALOG.add(
+    "t8_timer_sessions",
+    f"""select user_id, window_start as first, window_end - interval 2 hour as last, n from ({SESSIONS})
+        where date_trunc('milliseconds', window_end) <= (select date_trunc('milliseconds', max(ts)) from events)""",
+)
+def timer_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions in state of our own, each closed by a timer."""
+    events = read_table(spark, sf_dir, "events").select("ts", "user_id")
+    found = replay(events, "ts", SLICE, lambda stream: timed_sessions(timed(stream(), "ts", "0 seconds"), "user_id", "ts", 2 * 3600), "timers", ROCKSDB)
+    return plain(found.rows)
+
+
 @CATALOG.add("s4_memory_sink", "select event_type, count(*) as n from events group by event_type")
 def memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each type of event fits the driver."""

@@ -23,7 +23,7 @@ def timed_sessions(df: DataFrame, key: str, ts: str, gap: int, longest: int | No
     they come, so it wants them in order. Null times are left out; null keys are
     a key. Needs the RocksDB provider of state.
     """
-    kind = dict(df.dtypes)[key]
+    name, kind = key, dict(df.dtypes)[key]
     micros, most = gap * 1_000_000, None if longest is None else longest * 1_000_000
 
     def stamp(column: pd.Series) -> list[int]:
@@ -54,7 +54,7 @@ def timed_sessions(df: DataFrame, key: str, ts: str, gap: int, longest: int | No
             else:
                 self.open.clear()
 
-        def handleInputRows(self, key_: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
             spans = self.spans()
             before = {due(s) for s in spans}
             times = sorted(at for part in rows for at in stamp(part[ts].dropna()))
@@ -68,12 +68,12 @@ def timed_sessions(df: DataFrame, key: str, ts: str, gap: int, longest: int | No
                 self.handle.registerTimer(t)
             return iter([])
 
-        def handleExpiredTimer(self, key_: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
-            now, spans = expired.getExpiryTimeInMs(), self.spans()
+        def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+            now, spans = expiredTimerInfo.getExpiryTimeInMs(), self.spans()
             over = [s for s in spans if due(s) <= now]
             self.keep([s for s in spans if due(s) > now])
             if over:
-                columns = {key: [key_[0]] * len(over), "first": [s[0] for s in over], "last": [s[1] for s in over], "n": [s[2] for s in over]}
+                columns = {name: [key[0]] * len(over), "first": [s[0] for s in over], "last": [s[1] for s in over], "n": [s[2] for s in over]}
                 yield pd.DataFrame(columns)
 
         def close(self) -> None:
