@@ -100,7 +100,7 @@ def theta_count(left: DataFrame, right: DataFrame, on: list[Inequality], name: s
 
     near = cut.groupBy("xs").applyInPandas(same_x, SLICED).groupBy("ys").applyInPandas(same_y, SLICED)
     counted = near.select("__row", "n", "xs", "ys").join(_beyond(cut, slices), ["xs", "ys"])
-    summed = counted.select("__row", (F.col("n") + F.col("beyond")).alias(name))
+    summed = materialize(counted.select("__row", (F.col("n") + F.col("beyond")).alias(name)), "theta-counts")
     return held.join(summed, "__row", "left").drop("__row").na.fill(0, [name])
 
 
