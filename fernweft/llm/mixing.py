@@ -7,8 +7,9 @@ cut at the total budget, so every source has then given close to its target.
 A source whose target exceeds its size queues again, up to a number of epochs.
 
 Only DataFrame functions are used. Running totals go through buckets (see
-``fernweft.operators.prefix``), so a source with most of the rows is spread
-over many tasks; rows carried through the shuffles are ids and counts.
+``fernweft.operators.prefix``) cut by place in a range-sorted order, so a source
+or an id with most of the rows is spread over many tasks; rows carried through
+the shuffles are ids and counts.
 """
 
 from __future__ import annotations
@@ -19,10 +20,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fernweft.llm.common import WORD, fresh, id_hash, word_count
 from fernweft.materialize import materialize
+from fernweft.operators.order import places
 from fernweft.operators.prefix import bucket_bits, bucket_rows, running_total
 
-HASH_BITS = 60
-
 
 @dataclass(frozen=True)
 class Mix:
@@ -89,19 +89,14 @@ def queue(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str
     goals = materialize(targets(rows, mix), "mix-targets")
     n, budget = goals.agg(F.sum("rows"), F.max("budget")).first()
     each = bucket_rows(docs.sparkSession, n or 0)
-    # A source has slices in proportion to its rows: about log2(rows / each)
-    # leading bits of the hash.
-    shift = HASH_BITS - F.length(F.regexp_replace(F.bin(F.floor(F.col("rows") / each)), "^0+", ""))
-    goal = goals.select(F.col("source").alias("__source"), "rank", F.col("size_all").alias("source_size"), "target", shift.alias("shift"))
+    goal = goals.select(F.col("source").alias("__source"), "rank", F.col("size_all").alias("source_size"), "target")
     known = rows.join(goal, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    # Slices are cut by place in one order of all rows, not by hash of the id:
+    # the rows of a repeated or null id, be they most of the table, are many.
+    queued = places(known, [F.col("rank"), F.col("place"), F.col("doc_id").asc_nulls_first(), F.col("size")], "at")
     lined = running_total(
-        known.withColumn("slice", F.expr("shiftright(place, shift)")).drop("shift"),
-        F.col("size"),
-        "cum",
-        within=["rank"],
-        bucket="slice",
-        order=[F.col("place"), F.col("doc_id").asc_nulls_first(), F.col("size")],
-    )
+        queued.withColumn("slice", F.floor(F.col("at") / each)), F.col("size"), "cum", within=["rank"], bucket="slice", order=[F.col("at")]
+    ).drop("at")
     lined = materialize(lined, "mix-queue")
     # A source's queue is dense in its finish time, so slices of equal width
     # hold like numbers of rows.
@@ -133,8 +128,8 @@ def plan_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col
     the mix wants of the source), ``takes`` (times) and ``taken`` (words).
 
     A null text has no words; rows without words are never taken. A null
-    source is a source, last in order. Ids may be null or repeat; rows alike in
-    source, id and size are interchangeable. An empty table gives an empty plan.
+    source is a source, last in order. Ids may be null or repeat, in most rows
+    too; rows alike in source, id and size are interchangeable. An empty table gives an empty plan.
     Other columns are not read.
     """
     rows = queue(docs, mix, id_col, text_col, source_col)

@@ -10,6 +10,7 @@ import pytest
 
 from fernweft.llm.mixing import Mix, apply_mix, plan_mix
 from fernweft.llm.queries.op9 import ORACLE
+from fernweft.operators.prefix import running_total
 from tests.test_plans import plan as plan_of
 from tools.compare import differences
 
@@ -69,6 +70,23 @@ def test_buckets_do_not_change_the_plan(spark, monkeypatch):
     assert differences(plan(spark, rows), whole) == ""
 
 
+def test_an_id_of_most_rows_is_many_buckets(spark, monkeypatch):
+    """Null and repeated ids, with equal and unlike sizes, hold most rows."""
+    rows = [(None, "w " * (i % 7), "hot") for i in range(150)] + [(5, "a b c", "hot")] * 150 + make(40)
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})  # noqa: F841  read by DuckDB
+    con, most = duckdb.connect(), []
+    con.register("documents", documents)
+
+    def watched(df, value, name, *, within, bucket, order):
+        most.append((name, df.groupBy(*within, bucket).count().agg({"count": "max"}).first()[0]))
+        return running_total(df, value, name, within=within, bucket=bucket, order=order)
+
+    monkeypatch.setattr("fernweft.llm.mixing.running_total", watched)
+    monkeypatch.setattr("fernweft.llm.mixing.bucket_rows", lambda spark, n: 10)
+    assert differences(plan(spark, rows), con.execute(ORACLE).df()) == ""
+    assert dict(most)["cum"] <= 10 and dict(most)["served"] <= 30
+
+
 def test_applied_mix_repeats_rows_as_planned(spark):
     rows = [(*r, "kept", i) for i, r in enumerate(make(60, hot=30))]
     docs = spark.createDataFrame(rows, SCHEMA + ", __mark string, __nth int")
