@@ -23,11 +23,3 @@ def salted_join(facts: DataFrame, lookup: DataFrame, key: str, salts: int = 16,
     salt = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
     spread = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return facts.withColumn("__salt", salt).join(spread, [key, "__salt"], how).drop("__salt")
-
-
-def two_step_sum(df: DataFrame, keys: list[str], value: Column, name: str, salts: int = 16) -> DataFrame:
-    """Sum by salted keys first and keys then. Spark's own partial sums do the
-    same for most inputs; the salt helps where partial sums are skipped."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-    first = df.groupBy(*keys, salt.alias("__salt")).agg(F.sum(value).alias(name))
-    return first.groupBy(*keys).agg(F.sum(name).alias(name))
