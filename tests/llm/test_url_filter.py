@@ -10,9 +10,10 @@ from collections import Counter
 
 import pytest
 
+from fernweft.llm import url_filter
 from fernweft.llm.queries import op2
 from fernweft.llm.url_filter import NEUTRAL_WORDS, Rule, UrlModel, fit, judge, segment, viterbi, word_counts
-
+from fernweft.materialize import materialize
 from tests.test_plans import plan
 
 
@@ -186,6 +187,33 @@ def test_a_hot_url_meets_a_plain_shuffle_on_both_sides(spark, tables):
     assert len(re.findall(r"^\(\d+\) SortMergeJoin", text, re.M)) == 1 and len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 2
 
 
+def test_a_hot_name_meets_a_plain_shuffle_on_both_sides(spark, tables, monkeypatch):
+    """Names like "com" are in most URLs: their join must be one that splits."""
+    trees = {}
+
+    def written(df, name):
+        out = materialize(df, name)
+        trees[name] = df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(url_filter, "materialize", written)
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.createDataFrame([(i, f"http://a{i}.com/") for i in range(50)], "page_id bigint, url string")
+        assert judge(pages, *tables, []).count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    # Operators with their depth; a join's sides are the nearest below it.
+    nodes = [(len(m[1]), m[2]) for m in re.finditer(r"^([ :+-]*)(?:\*\(\d+\) )?(.*)$", trees["judged-urls"].split("== Initial Plan ==")[-1], re.M)]
+    (at,) = [i for i, (_, text) in enumerate(nodes) if re.match(r"SortMergeJoin \[name#", text)]
+    end = next((i for i in range(at + 1, len(nodes)) if nodes[i][0] <= nodes[at][0]), len(nodes))
+    below = [text.split(" ")[0].split("(")[0] for _, text in nodes[at + 1 : end] if not text.startswith("Project")]
+    assert below[:2] == ["Sort", "Exchange"]
+    right = below.index("Sort", 1)
+    assert below[right : right + 2] == ["Sort", "Exchange"] and "HashAggregate" not in below[right:]
+
+
 def test_counts_cover_all_documents(spark, tables):
     model = UrlModel(seed_share=0.0)
     counts, _ = word_counts(tables[0], "text", model)
