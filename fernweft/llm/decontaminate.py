@@ -14,6 +14,7 @@ further blocks, what one has found is written before the next is sent.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -49,7 +50,7 @@ class Matching:
     ``least_score``: alignment score over that of a verbatim copy.
     ``slack``: words, as a share of the item, that a passage reaches beyond it.
     ``block_chars``: characters of benchmark text that executors hold at once;
-    a worker needs about 14 bytes for each.
+    a worker needs about 6 bytes for each.
     """
 
     n: int = 3
@@ -58,7 +59,7 @@ class Matching:
     common: int = 2
     least_score: float = 0.5
     slack: float = 0.3
-    block_chars: int = 16_000_000
+    block_chars: int = 32_000_000
 
 
 def words(text: str | None) -> list[str]:
@@ -78,27 +79,35 @@ def pieces(text: str, size: int) -> Iterator[str]:
 
 
 class Block:
-    """A block of items: vocabulary, grams and where items have each gram."""
+    """A block of items: vocabulary, words of all items in a row, and grams.
+
+    Where items have each gram is known in the driver only; executors search by
+    a matcher's entries."""
 
     def __init__(self, items: list[tuple[int, str]], n: int, least_words: int = 1):
         self.n = n
         self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
+        row, item_ids, sizes = array("i"), [], []
         for item_id, text in items:
             found = words(text)
             if len(found) >= max(n, least_words):
-                self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found], np.int32)))
-        keys, owners, offsets = [], [], []
-        for k, (_, ids) in enumerate(self.items):
-            grams = self.grams(ids, np.arange(len(ids) - n + 1))
-            keys.append(grams)
-            owners.append(np.full(len(grams), k, np.int32))
-            offsets.append(np.arange(len(grams), dtype=np.int32))
-        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        self.grams_sorted, gram = np.unique(key, return_inverse=True)
+                row.extend(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found)
+                item_ids.append(item_id)
+                sizes.append(len(found))
+        self.flat, self.item_ids, self.sizes = np.array(row, np.int32), np.array(item_ids, np.int64), np.array(sizes, np.int64)
+        #: Where each item begins in the row, and beyond the last where it ends.
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
+        place, owner = spread(self.begins[:-1], self.sizes - n + 1)
+        self.owner, self.offset = owner.astype(np.int32), (place - self.begins[owner]).astype(np.int32)
+        self.grams_sorted, gram = np.unique(self.grams(self.flat, place), return_inverse=True)
         self.gram = gram.astype(np.int32)
-        self.owner = np.concatenate(owners) if owners else np.zeros(0, np.int32)
-        self.offset = np.concatenate(offsets) if offsets else np.zeros(0, np.int32)
+
+    def __getstate__(self) -> dict[str, object]:
+        return {name: value for name, value in self.__dict__.items() if name not in ("owner", "offset", "gram")}
+
+    def item(self, k: int) -> np.ndarray:
+        """Word ids of an item, given its number."""
+        return self.flat[self.begins[k] : self.begins[k + 1]]
 
     def grams(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Keys of the n-grams that start at the given places."""
@@ -134,7 +143,7 @@ class Block:
     def seeds(self, counts: np.ndarray, share: float) -> np.ndarray:
         """Which entries (item, offset) are rare, given each gram's count."""
         rarity = counts[self.gram]
-        starts = np.searchsorted(self.owner, np.arange(len(self.items) + 1))
+        starts = np.searchsorted(self.owner, np.arange(len(self.item_ids) + 1))
         last = starts[:-1] + np.maximum(0, np.ceil(share * np.diff(starts)).astype(np.int64) - 1)
         bars = rarity[np.lexsort((rarity, self.owner))[last]]
         return rarity <= bars[self.owner]
@@ -179,16 +188,12 @@ class Matcher:
         order = order[np.append(True, other) | np.append(other, True)] if len(order) else order
         self.entry_rare, self.entry_owner, self.entry_offset = rare[order], block.owner[order], block.offset[order]
         #: Where each gram's entries begin, and beyond the last where they end.
-        self.entries = np.searchsorted(block.gram[order], np.arange(len(block.grams_sorted) + 1))
+        self.entries = np.searchsorted(block.gram[order], np.arange(len(block.grams_sorted) + 1)).astype(np.int32)
         #: Grams that are rare for some item.
         self.gram_rare = np.zeros(len(block.grams_sorted), bool)
         self.gram_rare[block.gram[rare]] = True
-        self.sizes = np.array([len(item) for _, item in block.items], np.int64)
-        self.pads = np.ceil(how.slack * self.sizes).astype(np.int64) + 2
-        #: Words of all items in a row, where each item begins, and marks of the
-        #: words that the text at hand has.
-        self.flat = np.concatenate([item for _, item in block.items]) if block.items else np.zeros(0, np.int32)
-        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.pads = np.ceil(how.slack * block.sizes).astype(np.int64) + 2
+        #: Marks of the words that the text at hand has.
         self.present = np.zeros(len(block.vocabulary), bool)
 
     def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
@@ -197,7 +202,7 @@ class Matcher:
         ids = self.block.encode(text)
         best: dict[int, tuple[int, int, int]] = {}
         for k, lo, hi in self.searched(ids, True):
-            _, item = self.block.items[k]
+            item = self.block.item(k)
             passage = ids[lo:hi]
             # No score exceeds that of the item's words that the passage has.
             least = self.how.least_score * MATCH * len(item)
@@ -206,7 +211,7 @@ class Matcher:
             score, start, end = align(item, passage)
             if score >= least and score > best.get(k, (0, 0, 0))[0]:
                 best[k] = (score, lo + start, lo + end)
-        return [(self.block.items[k][0], score / (MATCH * self.sizes[k]), start, end) for k, (score, start, end) in best.items()]
+        return [(int(self.block.item_ids[k]), score / (MATCH * self.block.sizes[k]), start, end) for k, (score, start, end) in best.items()]
 
     def passages(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
         """Item number, and first and beyond last word, of each passage that
@@ -254,10 +259,10 @@ class Matcher:
         items = np.flatnonzero(enough)
         known = ids[ids >= 0]
         self.present[known] = True
-        at, _ = spread(self.begins[items], self.sizes[items])
-        had = np.add.reduceat(self.present[self.flat[at]], np.concatenate([[0], np.cumsum(self.sizes[items])[:-1]]), dtype=np.int64) if len(items) else items
+        at, _ = spread(self.block.begins[items], self.block.sizes[items])
+        had = np.add.reduceat(self.present[self.block.flat[at]], np.concatenate([[0], np.cumsum(self.block.sizes[items])[:-1]]), dtype=np.int64) if len(items) else items
         self.present[known] = False
-        enough[items] = MATCH * had >= self.how.least_score * MATCH * self.sizes[items]
+        enough[items] = MATCH * had >= self.how.least_score * MATCH * self.block.sizes[items]
         return enough
 
     def lot_passages(self, ids: np.ndarray, grams: np.ndarray, places: np.ndarray, at: np.ndarray, times: np.ndarray, which: np.ndarray, entry: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -268,7 +273,7 @@ class Matcher:
         rare, gram = self.entry_rare[entry][number], grams[which][number]
         chosen = np.lexsort((begin, owner))
         owner, begin, rare, gram = owner[chosen], begin[chosen], rare[chosen], gram[chosen]
-        cut = (owner[1:] != owner[:-1]) | (np.diff(begin) > (self.sizes + 2 * self.pads)[owner[1:]])
+        cut = (owner[1:] != owner[:-1]) | (np.diff(begin) > (self.block.sizes + 2 * self.pads)[owner[1:]])
         starts = np.concatenate([[0], np.flatnonzero(cut) + 1])
         lasts = np.append(starts[1:], len(owner)) - 1
         number = np.repeat(np.arange(len(starts)), lasts - starts + 1)
@@ -276,7 +281,7 @@ class Matcher:
         new = np.concatenate([[True], (np.diff(number[by_gram]) != 0) | (np.diff(gram[by_gram]) != 0)])
         seeded = np.logical_or.reduceat(rare, starts) | (np.bincount(number[by_gram], new) >= self.how.common)
         k, lo, hi = owner[starts[seeded]], begin[starts[seeded]], begin[lasts[seeded]]
-        lo, hi = np.maximum(0, lo - self.pads[k]), np.minimum(len(ids), hi + self.sizes[k] + self.pads[k])
+        lo, hi = np.maximum(0, lo - self.pads[k]), np.minimum(len(ids), hi + self.block.sizes[k] + self.pads[k])
         yield from zip(k.tolist(), lo.tolist(), hi.tolist())
 
 

@@ -164,7 +164,7 @@ def test_recall_against_alignment_of_all_pairs(spark, rate, least):
     block = Block(list(enumerate(map(" ".join, items))), 3)
     want = set()
     for i, text in docs:
-        for k, ids in block.items:
+        for k, ids in zip(block.item_ids.tolist(), map(block.item, range(len(items)))):
             if align(ids, block.encode(text))[0] >= Matching().least_score * 2 * len(ids):
                 want.add((i, k))
     tables = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
@@ -201,10 +201,10 @@ def test_passages_that_cannot_reach_the_bar_are_not_aligned(monkeypatch):
         ids, want = block.encode(text), {}
         passages = matcher.passages(ids)
         for k, lo, hi in passages:
-            score, start, end = align(block.items[k][1], ids[lo:hi])
-            if score / (2 * len(block.items[k][1])) >= how.least_score and score > want.get(k, (0,))[0]:
+            score, start, end = align(block.item(k), ids[lo:hi])
+            if score / (2 * len(block.item(k))) >= how.least_score and score > want.get(k, (0,))[0]:
                 want[k] = (score, lo + start, lo + end)
-        assert matcher.find(text) == [(block.items[k][0], s / (2 * len(block.items[k][1])), a, b) for k, (s, a, b) in want.items()]
+        assert matcher.find(text) == [(block.item_ids[k], s / (2 * len(block.item(k))), a, b) for k, (s, a, b) in want.items()]
         assert len(passages) > 20 and (not item_of.get(text) or item_of[text] - 1 in want)
     possible = sum(len(matcher.passages(block.encode(text))) for text in texts)
     assert len(aligned) < possible / 2
