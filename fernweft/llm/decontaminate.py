@@ -370,6 +370,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", how:
         chosen = block.seeds(gram_counts(docs, block, text_col), how.seed_share)
         shared = spark.sparkContext.broadcast(Matcher(block, chosen, how))
         found = found.withColumn(name, F.concat(F.col(name), matched(shared, F.col(text_col))))
+        del block  # before the driver makes the next
     return found
 
 
