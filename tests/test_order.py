@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fernweft.materialize import written
 from fernweft.operators.order import places
 from fernweft.operators.percentiles import exact_percentiles
 from fernweft.operators.theta import later_of_later, theta_count, theta_join
@@ -100,3 +101,16 @@ def test_percentiles_of_many_values_and_of_none(spark):
     assert exact_percentiles(many.limit(0), ["g"], "v", [0.5]).count() == 0
     whole = exact_percentiles(many, [], "v", [0.0, 1.0], most=1000).collect()
     assert sorted(r.value for r in whole) == list(many.agg(F.min("v"), F.max("v")).first())
+
+
+def test_pairs_are_not_written(spark):
+    """Each row meets each other: 4 million pairs of 4,000 rows."""
+    a = spark.range(2_000).select(F.col("id").alias("a"), F.lit(1).alias("n"))
+    b = spark.range(2_000).select((F.col("id") + 5_000).alias("c"), F.lit(2).alias("d"))
+    earlier = set(written(spark))
+    pairs = theta_join(a, b, [("a", "<", "c"), ("n", "<=", "d")], 300)
+    new = [p for p in written(spark) if p not in earlier]
+    assert sum(spark.read.parquet(p).count() for p in new) <= 20_000
+    assert pairs.count() == 4_000_000
+    assert theta_join(a, b, [("a", "<", "c"), ("n", "<=", "d")], 10, 1).count() == 4_000_000
+    assert theta_join(a, b, [("a", ">", "c"), ("n", "<=", "d")], 300).count() == 0
