@@ -19,7 +19,11 @@ def salted_join(facts: DataFrame, lookup: DataFrame, key: str, salts: int = 16,
 
     Facts draw a salt from a hash of the whole row, and each lookup row is
     there once for each salt: a hot key is spread over ``salts`` tasks. For
-    lookups too large to broadcast where adaptive splitting does not apply."""
+    lookups too large to broadcast where adaptive splitting does not apply.
+
+    The copies are merged and never broadcast: Spark's estimate of the lookup
+    does not count them, so it would send ``salts`` times what it takes for
+    small through the driver."""
     salt = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
     spread = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return facts.withColumn("__salt", salt).join(spread, [key, "__salt"], how).drop("__salt")
+    return facts.withColumn("__salt", salt).join(spread.hint("merge"), [key, "__salt"], how).drop("__salt")

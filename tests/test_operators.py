@@ -92,6 +92,13 @@ def test_salted_forms_agree_with_plain_ones(spark):
     assert counts == {"hot": 7, "cold": 1, None: 1}
 
 
+def test_salted_copies_are_not_broadcast(spark):
+    """A lookup that Spark takes for small is there ``salts`` times."""
+    lookup = spark.range(100).select(F.col("id").alias("k"), F.lit(1).alias("w"))
+    joined = salted_join(spark.range(1000).select((F.col("id") % 7).alias("k")), lookup, "k", 4)
+    assert joined.count() == 1000 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_top_per_group_prunes_before_the_shuffle(spark):
     df = spark.range(100).select(F.col("id") % 3, "id").toDF("g", "id")
     top = top_per_group(df, ["g"], [F.desc("id")], 2)
