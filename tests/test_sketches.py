@@ -86,3 +86,13 @@ def test_timers_close_sessions(spark, longest):
     want = sorted((u, START + timedelta(seconds=a), START + timedelta(seconds=b), n) for u, a, b, n in sessions_of(rows, gap, longest and longest * 60) if b + gap <= end)
     assert sorted((r.user, r["first"].replace(tzinfo=None), r["last"].replace(tzinfo=None), r.n) for r in got.rows.collect()) == want
     assert got.batches >= 5
+
+
+def test_state_and_timers_are_by_bucket(spark):
+    """600 keys of four sessions each: a batch does not call for each of them."""
+    df = spark.range(2400).select((F.col("id") % 600).alias("user"), (F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id"))).alias("ts"))
+    df = df.withColumn("user", F.when(F.col("user") > 0, F.col("user")))
+    got = replay(df, "ts", 86_400, lambda stream: timed_sessions(timed(stream(), "ts", "0 seconds"), "user", "ts", 300, buckets=8), "timers", ROCKSDB)
+    rows = got.rows.collect()
+    assert len(rows) == 2395 and len({(r.user, r["first"]) for r in rows}) == 2395 and all(r.n == 1 for r in rows)
+    assert sum(r.user is None for r in rows) == 4 and got.most_state <= 8 * 3
