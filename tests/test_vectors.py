@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
 from fernweft.functions.ivf import Lists, VectorIndex, k_means, nearest
-from fernweft.functions.vectors import top_neighbours
+from fernweft.functions.vectors import Best, top_neighbours
 from fernweft.plans.extensions import CATALOG as EXTENSIONS
 
 
@@ -72,3 +74,35 @@ def test_k_means_fills_all_lists():
     points = np.repeat(rng.standard_normal((5, 3)), 30, axis=0)
     centroids = k_means(points, 5, 10, 2)
     assert len(np.unique(nearest(points, centroids))) == 5
+
+
+@pytest.mark.parametrize("rows_back", [False, True])
+def test_memory_is_not_that_of_all_scores(rows_back):
+    """20,000 queries and a batch of 10,000 rows, many of them copies: their
+    scores alone are 1.6 GB."""
+    rng = np.random.default_rng(3)
+    rows = np.repeat(rng.standard_normal((500, 8)), 20, axis=0)
+    ids = np.arange(10_000)[:: -1 if rows_back else 1].copy()
+    queries = rng.standard_normal((20_000, 8))
+    best = Best(np.arange(20_000) + 9_990, queries, 5)
+    tracemalloc.start()
+    best.meet(ids, rows)
+    got = [b.to_pydict() for b in best.batches()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    found = {}
+    for b in got:
+        for q, n in zip(b["query_id"], b["neighbour_id"]):
+            found.setdefault(q, []).append(n)
+    for q in (0, 5, 19_999):
+        scores = np.einsum("ij,ij->i", np.repeat(queries[q : q + 1], 10_000, 0), rows)
+        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != q + 9_990][:5]
+        assert found[q + 9_990] == ids[order].tolist()
+
+
+def test_numbers_of_lists_are_chosen_in_tiles(rows):
+    """Lists of a batch are not made into Python numbers; all queries have theirs."""
+    index = VectorIndex.build(rows, "i", "v", Lists(lists=24))
+    asked = index.probed(rows, "i", "v", 24).collect()
+    assert len(asked) == 602 and all(sorted(r.lists) == list(range(24)) for r in asked)
