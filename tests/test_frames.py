@@ -8,7 +8,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import Window, functions as F
 
-from fernweft.operators.closure import reachable
+from fernweft.materialize import written
+from fernweft.operators.closure import reachable, reached_nodes
 from fernweft.operators.frames import row_frame, time_frame
 
 START = datetime(2024, 1, 1)
@@ -83,3 +84,23 @@ def test_reachable_agrees_with_a_search(spark, seed):
 def test_reachable_without_edges(spark):
     none = spark.createDataFrame([], "a int, b int")
     assert reachable(none, spark.createDataFrame([(1,)], "node int")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reached_nodes_follow_chains_and_rings(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(20 + 20 * seed)] + [(1, 1), (100, 101), (101, 102), (102, 100), (101, 110), (110, 111)]
+    edges += [(n, n + 1) for n in range(200, 290)] + [(3, 200), (290, 4), (500, 500), (500, 501), (600, 601), (601, 602)]
+    start = [*range(0, 40, 3), *range(200, 290, 7), 100, 102, 110, 500, 600, 999]
+    got = reached_nodes(spark.createDataFrame([*edges, (None, 3), (3, None)], "a int, b int"), spark.createDataFrame([(s,) for s in [*start, 0, None]], "node int")).collect()
+    assert {tuple(r) for r in got} == {(s, n) for s, n, _ in search(edges, start)} and len(got) == len({tuple(r) for r in got})
+
+
+def test_reached_pairs_are_not_written(spark):
+    """All 400 nodes of a ring with shortcuts reach each other: 160,000 pairs."""
+    nodes = spark.range(400).select(F.col("id").alias("node"))
+    edges = nodes.selectExpr("node as a", "(node + 1) % 400 as b").union(nodes.selectExpr("node as a", "(node * 7 + 3) % 400 as b"))
+    earlier = set(written(spark))
+    got = reached_nodes(edges, nodes)
+    assert sum(spark.read.parquet(p).count() for p in written(spark) if p not in earlier) < 20_000
+    assert got.count() == 160_000
