@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from fernweft.functions.vectors import BLOCK_BYTES
+from fernweft.functions.vectors import BLOCK_BYTES, TILE, Best, few_tasks, stacked
 from fernweft.materialize import materialize, new_path, release
 
 
@@ -34,15 +34,11 @@ class Lists:
     seed: int = 5
 
 
-def stacked(column: pa.Array) -> np.ndarray:
-    """Rows of an Arrow column of lists as a matrix."""
-    rows = column.to_numpy(zero_copy_only=False)
-    return np.stack(rows).astype(np.float64) if len(rows) else np.zeros((0, 0))
-
-
 def nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """The nearest centroid of each vector."""
-    return ((centroids**2).sum(1)[None, :] - 2 * vectors @ centroids.T).argmin(1)
+    """The nearest centroid of each vector, a tile of distances at a time."""
+    squares, step = (centroids**2).sum(1)[None, :], max(1, TILE // max(1, len(centroids)))
+    parts = [(squares - 2 * vectors[i : i + step] @ centroids.T).argmin(1) for i in range(0, len(vectors), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def k_means(vectors: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -104,11 +100,14 @@ class VectorIndex:
         centroids = self.centroids
 
         def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
+            step = max(1, TILE // max(1, len(centroids)))
+            for whole in batches:
+                for i in range(0, whole.num_rows, step):
+                    batch = whole.slice(i, step)
                     near = stacked(batch.column(1)) @ centroids.T if len(centroids) else np.zeros((batch.num_rows, 0))
-                    lists = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists.tolist(), pa.list_(pa.int32()))], ["id", "vector", "lists"])
+                    lists = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                    ends = pa.array(np.arange(batch.num_rows + 1) * lists.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(lists.ravel()))], ["id", "vector", "lists"])
 
         known = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
         return known.mapInArrow(look, "id bigint, vector array<double>, lists array<int>")
@@ -140,36 +139,29 @@ class VectorIndex:
 
     def _block(self, block: DataFrame, k: int) -> DataFrame:
         held = block.select("id", "vector", "lists").toArrow()
-        ids = held["id"].to_numpy()
-        matrix = stacked(held["vector"].combine_chunks()) if held.num_rows else np.zeros((0, 1))
-        lists = stacked(held["lists"].combine_chunks()).astype(np.int64)
-        askers = {i: np.flatnonzero((lists == i).any(1)) for i in np.unique(lists).tolist()}
-        shared = self.spark.sparkContext.broadcast((ids, matrix, askers))
+        ids, matrix = held["id"].to_numpy(), stacked(held["vector"].combine_chunks())
+        lists = held["lists"].combine_chunks()
+        number = lists.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+        order = np.argsort(number, kind="stable")
+        cuts = np.searchsorted(number[order], np.arange(len(self.centroids) + 1))
+        shared = self.spark.sparkContext.broadcast((ids, matrix, owner[order], cuts))
+        del held, lists, number, owner, order
 
         def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, against, by_list = shared.value
-            kept = np.full((len(query_ids), k), -np.inf)
-            kept_ids = np.full((len(query_ids), k), np.iinfo(np.int64).max)
+            query_ids, against, askers, cuts = shared.value
+            kept = Best(query_ids, against, k)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                own, row_ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                vectors = stacked(batch.column(2))
-                for number in np.unique(own).tolist():
-                    who, rows = by_list.get(number), np.flatnonzero(own == number)
-                    if who is None:
-                        continue
-                    scores = against[who] @ vectors[rows].T
-                    scores[query_ids[who][:, None] == row_ids[rows][None, :]] = -np.inf
-                    both = np.concatenate([kept[who], scores], axis=1)
-                    both_ids = np.concatenate([kept_ids[who], np.broadcast_to(row_ids[rows], scores.shape)], axis=1)
-                    order = np.lexsort((both_ids, -both), axis=1)[:, :k]
-                    kept[who], kept_ids[who] = np.take_along_axis(both, order, 1), np.take_along_axis(both_ids, order, 1)
-            known = np.isfinite(kept)
-            columns = [np.repeat(query_ids, known.sum(1)), kept_ids[known], kept[known]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "neighbour_id", "score"])
-
-        found = self.rows.mapInArrow(best, "query_id bigint, neighbour_id bigint, score double")
+                own, row_ids, vectors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), stacked(batch.column(2))
+                for i in np.unique(own).tolist():
+                    who, rows = askers[cuts[i] : cuts[i + 1]], np.flatnonzero(own == i)
+                    if len(who):
+                        kept.meet(row_ids[rows], vectors[rows], who)
+            yield from kept.batches()
+
+        found = few_tasks(self.rows).mapInArrow(best, "query_id bigint, neighbour_id bigint, score double")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id"))
         rows = materialize(found.withColumn("rank", place).where(F.col("rank") <= k), "neighbours")
         shared.destroy()
