@@ -114,3 +114,14 @@ def test_pairs_are_not_written(spark):
     assert pairs.count() == 4_000_000
     assert theta_join(a, b, [("a", "<", "c"), ("n", "<=", "d")], 10, 1).count() == 4_000_000
     assert theta_join(a, b, [("a", ">", "c"), ("n", "<=", "d")], 300).count() == 0
+
+
+def test_a_file_of_pairs_stays_small(spark, tmp_path):
+    """Nine million pairs of rows that are not alike, in a fraction of a byte each."""
+    a = spark.range(4_000).selectExpr("xxhash64(id) as id", "pmod(xxhash64(id, 1), 100000) as x", "pmod(xxhash64(id, 2), 100000) as y")
+    b = spark.range(4_000).selectExpr("xxhash64(id, 3) as tag", "pmod(xxhash64(id, 4), 200000) as u", "pmod(xxhash64(id, 5), 150000) - 60000 as v", "id % 7 as n")
+    pairs = theta_join(a, b, [("x", "<", "u"), ("y", ">=", "v")]).select("id", "right_tag", "right_n", "right_u")
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    n = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert n == a.join(b, (F.col("x") < F.col("u")) & (F.col("y") >= F.col("v"))).count() > 8_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.8 * n
