@@ -104,3 +104,20 @@ def test_reached_pairs_are_not_written(spark):
     got = reached_nodes(edges, nodes)
     assert sum(spark.read.parquet(p).count() for p in written(spark) if p not in earlier) < 20_000
     assert got.count() == 160_000
+
+
+def test_no_task_holds_the_pairs_of_a_head(spark, tmp_path):
+    """3,000 starts lead to one head and on to its chain of 1,000 nodes."""
+    nodes = spark.range(10_000, 13_000).select(F.col("id").alias("node"))
+    edges = nodes.selectExpr("node as a", "0L as b").union(spark.range(1_000).selectExpr("id as a", "id + 1 as b"))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = reached_nodes(edges, nodes)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        got.write.parquet(f"{tmp_path}/pairs")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert sum(sizes) == 3_000 * 1_001 and max(sizes) < sum(sizes) / 2
+    found = spark.read.parquet(f"{tmp_path}/pairs")
+    assert found.distinct().count() == 3_000 * 1_001 and found.where("start < 10000 or node > 1000").isEmpty()
